@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from .common import table
 from .simhash_golay import op1_rows
+from .token_counts import count_tokens
 
 
 def op1_simhash_golay(spark, sf_dir):
     return op1_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_golay,)}
+def op6_token_counts(spark, sf_dir):
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_golay, op6_token_counts)}
 SQL: dict[str, str] = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .secret_scan import scan_secrets
 from .simhash_golay import op1_rows
 from .token_counts import count_tokens
 
@@ -11,9 +12,13 @@ def op1_simhash_golay(spark, sf_dir):
     return op1_rows(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark, sf_dir):
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_golay, op6_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_simhash_golay, op5_secret_scan, op6_token_counts)}
 SQL: dict[str, str] = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .pii_bootstrap import find_pii
 from .secret_scan import scan_secrets
 from .simhash_golay import op1_rows
 from .token_counts import count_tokens
@@ -20,5 +21,9 @@ def op6_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_golay, op5_secret_scan, op6_token_counts)}
+def op7_pii_bootstrap(spark, sf_dir):
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_golay, op5_secret_scan, op6_token_counts, op7_pii_bootstrap)}
 SQL: dict[str, str] = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .embedding_e8 import embedding_links
 from .pii_bootstrap import find_pii
 from .secret_scan import scan_secrets
 from .simhash_golay import op1_rows
@@ -25,5 +26,23 @@ def op7_pii_bootstrap(spark, sf_dir):
     return find_pii(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_golay, op5_secret_scan, op6_token_counts, op7_pii_bootstrap)}
-SQL: dict[str, str] = {}
+def op8_embedding_e8(spark, sf_dir):
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_golay, op5_secret_scan, op6_token_counts, op7_pii_bootstrap, op8_embedding_e8)}
+SQL: dict[str, str] = {
+    "op8_embedding_e8": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), r(a, b) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a
+), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON v.vec_id = c.vec_id LEFT JOIN n ON v.vec_id = n.vec_id
+""",
+}

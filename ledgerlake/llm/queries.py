@@ -8,6 +8,7 @@ from .pii_bootstrap import find_pii
 from .secret_scan import scan_secrets
 from .simhash_golay import op1_rows
 from .token_counts import count_tokens
+from .warc_fixity import op9_rows
 
 
 def op1_simhash_golay(spark, sf_dir):
@@ -30,7 +31,11 @@ def op8_embedding_e8(spark, sf_dir):
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_golay, op5_secret_scan, op6_token_counts, op7_pii_bootstrap, op8_embedding_e8)}
+def op9_warc_fixity(spark, sf_dir):
+    return op9_rows(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_golay, op5_secret_scan, op6_token_counts, op7_pii_bootstrap, op8_embedding_e8, op9_warc_fixity)}
 SQL: dict[str, str] = {
     "op8_embedding_e8": """
 WITH RECURSIVE v AS (
@@ -44,5 +49,27 @@ WITH RECURSIVE v AS (
 ), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
 SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
 FROM v JOIN c ON v.vec_id = c.vec_id LEFT JOIN n ON v.vec_id = n.vec_id
+""",
+    "op9_warc_fixity": """
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+         CASE WHEN sha256(CAST(page_id AS VARCHAR)) LIKE 'a7%' THEN reverse(coalesce(html, '')) ELSE coalesce(html, '') END AS other
+  FROM pages
+), t AS (
+  SELECT page_id, coalesce(page_id, 0) >> 10 AS file_no, chr(13) || chr(10) AS nl,
+         'WARC/1.1' || nl || 'WARC-Type: response' || nl || 'WARC-Target-URI: ' || url || nl || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' AS head,
+         head || octet_length(encode(html)) || nl || nl || html || nl || nl AS a,
+         head || octet_length(encode(other)) || nl || nl || other || nl || nl AS b
+  FROM p
+), h AS (SELECT page_id, file_no, sha256(a) AS sha, sha256(b) AS sha_b, octet_length(encode(a)) AS record_length FROM t
+), first AS (
+  SELECT page_id, file_no, sha, record_length, row_number() OVER w - 1 AS seq,
+         coalesce(sum(record_length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS record_offset
+  FROM h WINDOW w AS (PARTITION BY file_no ORDER BY page_id NULLS FIRST, sha)
+), second AS (
+  SELECT file_no, sha_b, row_number() OVER (PARTITION BY file_no ORDER BY page_id NULLS FIRST, sha_b) - 1 AS seq FROM h
+)
+SELECT page_id, file_no, seq, CAST(record_offset AS BIGINT) AS record_offset, CAST(record_length AS BIGINT) AS record_length, sha, sha <> sha_b AS damaged
+FROM first JOIN second USING (file_no, seq)
 """,
 }

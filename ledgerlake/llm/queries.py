@@ -7,6 +7,7 @@ from .embedding_e8 import embedding_links
 from .pii_bootstrap import find_pii
 from .secret_scan import scan_secrets
 from .simhash_golay import op1_rows
+from .source_mixing import op3_rows
 from .token_counts import count_tokens
 from .warc_fixity import op9_rows
 
@@ -15,6 +16,10 @@ def op1_simhash_golay(spark, sf_dir):
     return op1_rows(table(spark, sf_dir, "documents"))
 
 
+def op3_source_mixing(spark, sf_dir):
+    return op3_rows(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark, sf_dir):
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op9_warc_fixity(spark, sf_dir):
     return op9_rows(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_golay, op5_secret_scan, op6_token_counts, op7_pii_bootstrap, op8_embedding_e8, op9_warc_fixity)}
+QUERIES = {f.__name__: f for f in (op1_simhash_golay, op3_source_mixing, op5_secret_scan, op6_token_counts, op7_pii_bootstrap, op8_embedding_e8, op9_warc_fixity)}
 SQL: dict[str, str] = {
     "op8_embedding_e8": """
 WITH RECURSIVE v AS (

@@ -6,6 +6,7 @@ from .common import table
 from .embedding_e8 import embedding_links
 from .pii_bootstrap import find_pii
 from .secret_scan import scan_secrets
+from .sentencepiece_nbest import encode_documents
 from .simhash_golay import op1_rows
 from .source_mixing import op3_rows
 from .token_counts import count_tokens
@@ -20,6 +21,10 @@ def op3_source_mixing(spark, sf_dir):
     return op3_rows(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece_nbest(spark, sf_dir):
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark, sf_dir):
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op9_warc_fixity(spark, sf_dir):
     return op9_rows(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_golay, op3_source_mixing, op5_secret_scan, op6_token_counts, op7_pii_bootstrap, op8_embedding_e8, op9_warc_fixity)}
+QUERIES = {f.__name__: f for f in (op1_simhash_golay, op3_source_mixing, op4_sentencepiece_nbest, op5_secret_scan, op6_token_counts, op7_pii_bootstrap, op8_embedding_e8, op9_warc_fixity)}
 SQL: dict[str, str] = {
     "op8_embedding_e8": """
 WITH RECURSIVE v AS (

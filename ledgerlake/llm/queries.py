@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import table
 from .embedding_e8 import embedding_links
 from .pii_bootstrap import find_pii
+from .quality_bayes import quality, trained
 from .secret_scan import scan_secrets
 from .sentencepiece_nbest import encode_documents
 from .simhash_golay import op1_rows
@@ -17,6 +18,11 @@ def op1_simhash_golay(spark, sf_dir):
     return op1_rows(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_bayes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, trained(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_source_mixing(spark, sf_dir):
     return op3_rows(table(spark, sf_dir, "documents"))
 
@@ -45,7 +51,7 @@ def op9_warc_fixity(spark, sf_dir):
     return op9_rows(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_golay, op3_source_mixing, op4_sentencepiece_nbest, op5_secret_scan, op6_token_counts, op7_pii_bootstrap, op8_embedding_e8, op9_warc_fixity)}
+QUERIES = {f.__name__: f for f in (op1_simhash_golay, op2_quality_bayes, op3_source_mixing, op4_sentencepiece_nbest, op5_secret_scan, op6_token_counts, op7_pii_bootstrap, op8_embedding_e8, op9_warc_fixity)}
 SQL: dict[str, str] = {
     "op8_embedding_e8": """
 WITH RECURSIVE v AS (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chroma_print import op10_rows
 from .common import table
 from .embedding_e8 import embedding_links
 from .pii_bootstrap import find_pii
@@ -51,7 +52,11 @@ def op9_warc_fixity(spark, sf_dir):
     return op9_rows(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_golay, op2_quality_bayes, op3_source_mixing, op4_sentencepiece_nbest, op5_secret_scan, op6_token_counts, op7_pii_bootstrap, op8_embedding_e8, op9_warc_fixity)}
+def op10_chroma_print(spark, sf_dir):
+    return op10_rows(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_golay, op2_quality_bayes, op3_source_mixing, op4_sentencepiece_nbest, op5_secret_scan, op6_token_counts, op7_pii_bootstrap, op8_embedding_e8, op9_warc_fixity, op10_chroma_print)}
 SQL: dict[str, str] = {
     "op8_embedding_e8": """
 WITH RECURSIVE v AS (

@@ -229,13 +229,21 @@ def masked(text: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def mask_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the secrets in `text` replaced; null stays null. All rows and columns stay."""
+def mask_secrets(docs: DataFrame, text: str = "text", n_chars: str | None = None) -> DataFrame:
+    """docs with the secrets in `text` replaced; null stays null. All rows and columns stay. Where n_chars
+    names a column, it gets the new length of the texts that changed."""
 
     def run(batches):
         for batch in batches:
             k = batch.schema.get_field_index(text)
-            new = pa.array([None if (t := x.as_py()) is None else masked(t) for x in batch.column(k)], pa.string())
-            yield batch.set_column(k, text, new)
-
-    return docs.withColumn(text, F.col(text).cast("string")).mapInArrow(run, docs.schema)
+            old = batch.column(k).to_pylist()
+            new = [None if t is None else masked(t) for t in old]
+            batch = batch.set_column(k, batch.schema.field(k), pa.array(new, batch.schema.field(k).type))
+            if n_chars is not None:
+                c = batch.schema.get_field_index(n_chars)
+                sizes = [n if a == b else len(b) for a, b, n in zip(old, new, batch.column(c).to_pylist())]
+                batch = batch.set_column(c, batch.schema.field(c), pa.array(sizes, batch.schema.field(c).type))
+            yield batch
+
+    docs = docs.withColumn(text, F.col(text).cast("string"))
+    return docs.mapInArrow(run, docs.schema)

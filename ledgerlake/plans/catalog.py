@@ -1,4 +1,266 @@
-"""Whole queries over the driver tables, with their SQL."""
+"""Whole queries over the driver tables, with their SQL.
+
+documents stand in for a library's files (name: source_id, content: text), labelled documents and benchmark
+passages for the catalog. Good entries carry digests, toxic ones a SHA-256 that no file has, poor ones none.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlake.functions import names, texts
+from ledgerlake.functions.digests import crc32, digests
+from ledgerlake.operators import cache, dedup, fixdat, identify, playlist, reconcile, rename, report, spans, stats
+
+#: Catalog ids of benchmark passages start here, above those of documents.
+BENCHMARK_IDS = 1 << 40
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _local(spark, sf_dir):
+    name = F.concat_ws("_", "source", "doc_id")
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), name.alias("name"), *(c.alias(a) for a, c in digests(F.col("text"), ("md5", "sha1", "sha256")).items()))
+
+
+def _catalog(spark, sf_dir):
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").distinct()
+    good, bad = F.col("quality") == 1, F.col("toxic") == 1
+    size = F.octet_length("text").cast("long")
+    none = F.lit(None).cast("string")
+    known = docs.join(labels, "doc_id").select(
+        F.col("doc_id").alias("catalog_id"), F.col("doc_id").alias("game_id"), F.col("source").alias("grp"), F.concat_ws("_", "source", "doc_id").alias("file_name"), size.alias("size_bytes"),
+        F.when(bad, F.sha2(F.concat("text", F.lit("!")), 256)).when(good, F.sha2("text", 256)).alias("sha256"), F.when(good, F.sha1("text")).alias("sha1"), F.when(good & ~bad, F.md5("text")).alias("md5"))
+    bench = _table(spark, sf_dir, "benchmark")
+    more = bench.select((F.col("item_id") + BENCHMARK_IDS).alias("catalog_id"), (F.col("item_id") + BENCHMARK_IDS).alias("game_id"), F.lit("benchmark").alias("grp"), F.concat_ws("_", F.lit("benchmark"), "item_id").alias("file_name"), size.alias("size_bytes"), F.sha2("text", 256).alias("sha256"), none.alias("sha1"), none.alias("md5"))
+    return known.unionByName(more)
+
+
+_CATALOG_SQL = f"""
+loc AS (
+  SELECT doc_id AS file_id, concat(source, '_', doc_id) AS name, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, octet_length(encode(text)) AS size_bytes FROM documents
+), cat AS (
+  SELECT d.doc_id AS catalog_id, d.source AS grp, concat(d.source, '_', d.doc_id) AS file_name, octet_length(encode(text)) AS size_bytes,
+         CASE WHEN toxic = 1 THEN sha256(text || '!') WHEN quality = 1 THEN sha256(text) END AS sha256,
+         CASE WHEN quality = 1 THEN sha1(text) END AS sha1, CASE WHEN quality = 1 AND toxic = 0 THEN md5(text) END AS md5
+  FROM documents d JOIN (SELECT DISTINCT doc_id, quality, toxic FROM labels) l ON d.doc_id = l.doc_id
+  UNION ALL
+  SELECT item_id + {BENCHMARK_IDS}, 'benchmark', concat('benchmark_', item_id), octet_length(encode(text)), sha256(text), NULL, NULL FROM benchmark
+)"""
+_FOUND_SQL = f"""{_CATALOG_SQL}, c AS (
+  SELECT file_id, catalog_id, file_name, 0 AS rung FROM loc JOIN cat ON loc.sha256 = cat.sha256
+  UNION ALL SELECT file_id, catalog_id, file_name, 1 FROM loc JOIN cat ON loc.sha1 = cat.sha1
+  UNION ALL SELECT file_id, catalog_id, file_name, 2 FROM loc JOIN cat ON loc.md5 = cat.md5
+  UNION ALL SELECT file_id, catalog_id, file_name, 4 FROM loc JOIN cat ON loc.name = cat.file_name AND loc.size_bytes = cat.size_bytes
+), b AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY rung, catalog_id) AS k FROM c
+), found AS (
+  SELECT loc.file_id, b.catalog_id, CASE WHEN rung IS NULL THEN NULL ELSE list_value('sha256', 'sha1', 'md5', 'crc32', 'name_size')[rung + 1] END AS match_algo,
+         CASE WHEN rung IS NULL THEN 'unknown' WHEN rung = 4 THEN 'hint' WHEN lower(loc.name) <> lower(b.file_name) THEN 'misnamed' ELSE 'verified' END AS verdict
+  FROM loc LEFT JOIN b ON loc.file_id = b.file_id AND b.k = 1
+)"""
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def kept(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return kept
+
+
+@query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, octet_length(encode(text)) AS size_bytes FROM documents")
+def digest_documents(spark, sf_dir):
+    d = digests(F.col("text"), ("md5", "sha1", "sha256"))
+    return _table(spark, sf_dir, "documents").select("doc_id", *(c.alias(a) for a, c in d.items()))
+
+
+@query()
+def crc32_documents(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", crc32(F.col("text")).alias("crc32"))
+
+
+def _scanned(spark, sf_dir):
+    catalog = _catalog(spark, sf_dir)
+    return identify.scan(_local(spark, sf_dir), catalog, catalog.select("game_id", F.col("file_name").alias("game_name")))
+
+
+@query(f"WITH {_FOUND_SQL} SELECT file_id, catalog_id, match_algo, verdict FROM found")
+def identify_ranked(spark, sf_dir):
+    return _scanned(spark, sf_dir).select("file_id", "catalog_id", "match_algo", "verdict")
+
+
+@query(f"WITH {_FOUND_SQL} SELECT verdict, count(*) AS n FROM found GROUP BY verdict")
+def scan_summary(spark, sf_dir):
+    return report.by_verdict(_scanned(spark, sf_dir))
+
+
+_MISSING_SQL = """NOT CASE WHEN sha256 IS NOT NULL THEN sha256 IN (SELECT sha256 FROM loc) WHEN sha1 IS NOT NULL THEN sha1 IN (SELECT sha1 FROM loc)
+  WHEN md5 IS NOT NULL THEN md5 IN (SELECT md5 FROM loc) ELSE false END"""
+
+
+@query(f"WITH {_CATALOG_SQL} SELECT grp AS game_id, count(*) AS missing FROM cat WHERE {_MISSING_SQL} GROUP BY grp")
+def fixdat_missing(spark, sf_dir):
+    return fixdat.missing_by_game(_catalog(spark, sf_dir).withColumn("game_id", F.col("grp")), _local(spark, sf_dir))
+
+
+@query(f"WITH {_CATALOG_SQL} SELECT catalog_id, file_name, size_bytes, sha256 FROM cat WHERE {_MISSING_SQL}")
+def fixdat_files(spark, sf_dir):
+    return fixdat.missing(_catalog(spark, sf_dir), _local(spark, sf_dir)).select("catalog_id", "file_name", "size_bytes", "sha256")
+
+
+@query("SELECT sha256(text) AS content, min(doc_id) AS keep, count(*) AS copies FROM documents GROUP BY 1")
+def dedup_content(spark, sf_dir):
+    return dedup.by_content(_local(spark, sf_dir))
+
+
+@query("""SELECT count(*) FILTER (WHERE s = 'ok') AS n_ok, count(*) FILTER (WHERE s = 'skipped') AS n_skipped, count(*) FILTER (WHERE s = 'failed') AS n_failed,
+  CAST(coalesce(sum(n) FILTER (WHERE s = 'ok'), 0) AS BIGINT) AS bytes_in
+FROM (SELECT octet_length(encode(text)) AS n, CASE WHEN quality = 1 THEN 'ok' WHEN toxic = 1 OR quality = 0 THEN 'failed' ELSE 'skipped' END AS s
+      FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) z""")
+def tally_status(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
+    status = F.when(F.col("quality") == 1, "ok").when((F.col("toxic") == 1) | (F.col("quality") == 0), "failed").otherwise("skipped")
+    return report.tally(docs, status, F.octet_length("text").cast("long"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_extendedprice > 0 THEN sign(x) * floor(abs(x) + 0.5e0) / 10 END AS ratio_pct
+FROM (SELECT *, (1 - (l_extendedprice * (1 - l_discount)) / l_extendedprice) * 1000 AS x FROM lineitem) z""")
+def report_ratio(spark, sf_dir):
+    ratio = texts.ratio_pct(F.col("l_extendedprice"), F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", ratio.alias("ratio_pct"))
+
+
+_START_SQL = """coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"""
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, {_START_SQL} AS start FROM lineitem")
+def cue_offsets(spark, sf_dir):
+    return spans.running_offset(_table(spark, sf_dir, "lineitem"), ["l_orderkey"], LINE_ORDER, "l_quantity").select("l_orderkey", "l_linenumber", "l_partkey", "start")
+
+
+@query(f"""SELECT l_orderkey, min(CASE WHEN start = before THEN 1 ELSE 0 END) AS ok FROM (
+  SELECT l_orderkey, start, coalesce(lag(start + l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate), 0) AS before
+  FROM (SELECT *, {_START_SQL} AS start FROM lineitem) y) z GROUP BY l_orderkey""")
+def contiguous_spans(spark, sf_dir):
+    placed = spans.running_offset(_table(spark, sf_dir, "lineitem"), ["l_orderkey"], LINE_ORDER, "l_quantity")
+    return spans.contiguous(placed, ["l_orderkey"], LINE_ORDER, "l_quantity")
+
+
+@query("SELECT event_id, lead(event_id) OVER (ORDER BY event_id) - event_id AS length FROM events")
+def block_lengths(spark, sf_dir):
+    got = spans.next_in_order(_table(spark, sf_dir, "events").select("event_id"), "event_id", "event_id")
+    return got.select("event_id", (F.col("next") - F.col("event_id")).alias("length"))
+
+
+@query("""SELECT user_id, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS sigma
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) z WHERE k > 1 GROUP BY user_id""")
+def warm_stats(spark, sf_dir):
+    got = stats.warm(_table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value")
+    return got.select("user_id", F.round("mean", 4).alias("mean"), F.round("sigma", 4).alias("sigma"))
+
+
+@query("SELECT p_partkey, lower(p_name) AS collision_key, count(*) OVER (PARTITION BY lower(p_name)) AS n FROM part")
+def rename_collisions(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").withColumn("collision_key", names.collision_key(F.col("p_name")))
+    return rename.counted_collisions(part, F.col("collision_key")).select("p_partkey", "collision_key", "n")
+
+
+@query("SELECT b.label, count(*) AS n FROM part JOIN (VALUES (1, 10, 'a'), (11, 30, 'b'), (31, 50, 'c')) b(low, high, label) ON p_size BETWEEN low AND high GROUP BY b.label")
+def span_range_join(spark, sf_dir):
+    ranges = spark.createDataFrame([(1, 10, "a"), (11, 30, "b"), (31, 50, "c")], "low int, high int, label string")
+    return spans.in_ranges(_table(spark, sf_dir, "part"), F.col("p_size"), ranges, "low", "high", 16).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, string_agg(role, ',' ORDER BY turn, role) AS members, count(*) AS n, count(*) > count(DISTINCT turn) AS duplicated FROM conversations GROUP BY conv_id")
+def playlist_groups(spark, sf_dir):
+    got = playlist.groups(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role")
+    return got.withColumn("members", F.array_join("members", ","))
+
+
+@query("""WITH o AS (SELECT DISTINCT d.doc_id, md5(text) AS md5, CAST(NULL AS VARCHAR) AS sha1 FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+n AS (SELECT doc_id, CASE WHEN lang = 'en' THEN md5(text) END AS md5, sha1(text) AS sha1 FROM documents WHERE lang <> 'de')
+SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.md5, o.md5) AS md5, coalesce(n.sha1, o.sha1) AS sha1 FROM o FULL OUTER JOIN n ON o.doc_id = n.doc_id""")
+def union_cache_merge(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    old = docs.join(_table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("doc_id", F.md5("text").alias("md5"), F.lit(None).cast("string").alias("sha1"))
+    new = docs.where("lang <> 'de'").select("doc_id", F.when(F.col("lang") == "en", F.md5("text")).alias("md5"), F.sha1("text").alias("sha1"))
+    return cache.merged(old, new, "doc_id", ("md5", "sha1"))
+
+
+@query("""SELECT d.doc_id, d.n_chars, l.doc_id IS NOT NULL AND l.quality = 1 AS hit FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels) l ON d.doc_id = l.doc_id""")
+def cache_lookup(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    zero = F.lit(0).cast("long")
+    files = docs.select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"), zero.alias("mtime_secs"), F.lit(0).alias("mtime_nanos"), "doc_id")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality").distinct()
+    raw = F.struct(F.when(F.col("quality") == 1, F.sha1("text")).alias("sha1"))
+    entries = docs.join(labels, "doc_id").select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"), zero.alias("mtime_secs"), F.lit(0).alias("mtime_nanos"), raw.alias("raw"))
+    return cache.lookup(files, entries, ("sha1",)).select("doc_id", F.col("size").alias("n_chars"), F.col("cached").isNotNull().alias("hit"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def cue_uncovered_files(spark, sf_dir):
+    cues = _table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.array("l_orderkey").alias("members"))
+    return playlist.uncovered(_table(spark, sf_dir, "orders"), cues, "o_orderkey").select("o_orderkey")
+
+
+@query("""SELECT d.doc_id, CASE WHEN l.ok IS NULL THEN 'new' WHEN l.ok THEN 'keep_valid' ELSE 'rewrite_invalid' END AS decision
+FROM documents d LEFT JOIN (SELECT doc_id, bool_and(quality = 1) AS ok FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id""")
+def conflict_plan(spark, sf_dir):
+    existing = _table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("valid"))
+    return rename.conflict_plan(_table(spark, sf_dir, "documents").select("doc_id"), existing, "overwrite-invalid", "doc_id").select("doc_id", "decision")
+
+
+@query(r"""SELECT page_id, lower(regexp_extract(base, '^.+\.([^.]*)$', 1)) AS ext, base, len(string_split(url, '/')) AS depth
+FROM (SELECT page_id, url, regexp_extract(url, '([^/\\]*)$', 1) AS base FROM pages) z""")
+def page_paths(spark, sf_dir):
+    url = F.col("url")
+    return _table(spark, sf_dir, "pages").select("page_id", names.extension(url).alias("ext"), names.basename(url).alias("base"), names.depth(url).cast("long").alias("depth"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[,"' || chr(13) || chr(10) || ']') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS field,
+  replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html FROM conversations""")
+def report_fields(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", texts.csv_field(F.col("text")).alias("field"), texts.html_escape(F.col("text")).alias("html"))
+
+
+@query("""SELECT event_id, printf('%02d:%02d:%02d', (event_id // 4500) % 256, (event_id // 75) % 60, event_id % 75) AS msf FROM events""")
+def msf_times(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", texts.msf(F.col("event_id")).alias("msf"))
+
+
+@query("SELECT conv_id, sha1(string_agg(sha1(text), '' ORDER BY sha1(text))) AS root, count(*) AS n FROM conversations GROUP BY conv_id")
+def hash_roots(spark, sf_dir):
+    leaf = F.array_sort(F.collect_list(F.sha1("text")))
+    return _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sha1(F.array_join(leaf, "")).alias("root"), F.count("*").alias("n"))
+
+
+@query("""SELECT l_orderkey AS container, count(*) AS n_blocks, count(*) FILTER (WHERE l_returnflag = 'R') AS n_raw, sum(l_quantity) AS stored, CAST(sum(50) AS BIGINT) AS logical,
+  sum(l_quantity) / sum(50) * 100 AS compression_ratio FROM lineitem GROUP BY l_orderkey""")
+def container_summary(spark, sf_dir):
+    blocks = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("container"), (F.col("l_returnflag") == "R").alias("raw"), F.col("l_quantity").alias("stored_len"), F.lit(50).cast("long").alias("expected_len"))
+    return stats.block_summary(blocks)
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag <> 'R' THEN CAST(sum(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END) OVER (
+  PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) END AS slot FROM lineitem""")
+def used_slots(spark, sf_dir):
+    return spans.slots(_table(spark, sf_dir, "lineitem"), ["l_orderkey"], LINE_ORDER, F.col("l_returnflag") != "R").select("l_orderkey", "l_linenumber", "l_partkey", "slot")
+
+
+@query()
+def missing_tracks_greedy(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations")
+    none = F.lit(None).cast("string")
+    base = turns.select(F.col("conv_id").cast("string").alias("set_id"), F.col("turn").alias("ordinal"), F.octet_length("text").cast("long").alias("size_bytes"), none.alias("sha256"), F.sha1("text").alias("sha1"), F.md5("text").alias("md5"), crc32(F.col("text")).alias("crc32"), F.concat_ws("_", "role", "turn").alias("file_name"))
+    remote = base.withColumn("sha1", F.when(F.col("file_name").startswith("user"), F.col("sha1")))
+    return reconcile.reconcile(base, remote)

@@ -40,10 +40,10 @@ def ratio_pct(before: Column, after: Column) -> Column:
     return F.when(before > 0, F.signum(x) * F.floor(F.abs(x) + 0.5) / 10)
 
 
-def size_delta(before: Column, after: Column) -> Column:
-    """Saved bytes with thousands marks, and in percent."""
-    d = (before - after).cast("long")
-    return F.format_string("%s%s B (%+.4f %%)", F.when(d >= 0, F.lit("+")).otherwise(F.lit("")), F.format_number(d, 0), d * 100.0 / before)
+def size_delta(ours: Column, theirs: Column) -> Column:
+    """The difference in bytes with thousands marks, and in percent of theirs."""
+    d = (ours - theirs).cast("long")
+    return F.format_string("%s%s B (%+.4f %%)", F.when(d >= 0, F.lit("+")).otherwise(F.lit("")), F.format_number(d, 0), d * 100.0 / theirs)
 
 
 def format_duration(ms: Column) -> Column:

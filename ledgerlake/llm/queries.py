@@ -58,6 +58,40 @@ def op10_chroma_print(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_simhash_golay, op2_quality_bayes, op3_source_mixing, op4_sentencepiece_nbest, op5_secret_scan, op6_token_counts, op7_pii_bootstrap, op8_embedding_e8, op9_warc_fixity, op10_chroma_print)}
 SQL: dict[str, str] = {
+    "op3_source_mixing": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce('=' || source, '-') AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS x,
+         md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS mark
+  FROM documents
+), t AS (SELECT k, CAST(sum(x) AS BIGINT) AS t FROM d GROUP BY k HAVING sum(x) > 0
+), p AS (SELECT k, t, t / CAST(sum(t) OVER () AS DOUBLE) AS p, CAST(sum(t) OVER () AS DOUBLE) AS budget FROM t
+), g AS (
+  SELECT list(p) AS ps, list(p / t) AS pt, list(t) AS ts, any_value(budget) AS budget, count(*) AS n, -sum(p * ln(p)) AS h FROM p
+), g2 AS (SELECT *, h + 0.5 * (ln(n) - h) AS target FROM g
+), e(i, low, high) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) UNION ALL
+  SELECT i + 1, CASE WHEN ln(z) - a * zl / z >= target THEN a ELSE low END, CASE WHEN ln(z) - a * zl / z >= target THEN high ELSE a END
+  FROM (SELECT i, low, high, (low + high) / 2 AS a, target, list_sum(list_transform(ps, lambda q: pow(q, (low + high) / 2))) AS z,
+               list_sum(list_transform(ps, lambda q: pow(q, (low + high) / 2) * ln(q))) AS zl FROM e, g2 WHERE i < 60) y
+), m(i, low, high) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) UNION ALL
+  SELECT i + 1, CASE WHEN most / z * budget <= 4 THEN low ELSE a END, CASE WHEN most / z * budget <= 4 THEN a ELSE high END
+  FROM (SELECT i, low, high, (low + high) / 2 AS a, budget, list_sum(list_transform(ps, lambda q: pow(q, (low + high) / 2))) AS z,
+               list_max(list_transform(list_zip(ps, ts), lambda q: pow(q[1], (low + high) / 2) / q[2])) AS most FROM m, g2 WHERE i < 60) y
+), x AS (
+  SELECT CASE WHEN n < 2 THEN 1 WHEN list_max(list_transform(ts, lambda q: budget / n / q)) <= 4 THEN round(e.low, 9) ELSE round(greatest(e.low, m.high), 9) END AS a
+  FROM g2, e, m WHERE e.i = 60 AND m.i = 60
+), w AS (SELECT k, t, CAST(round(pow(p, a) / sum(pow(p, a)) OVER () * budget) AS BIGINT) AS quota, CAST(ceil(budget / 1000000) AS BIGINT) AS blocks FROM p, x
+), o AS (
+  SELECT d.*, t, quota, blocks, CAST(coalesce(sum(x) OVER (PARTITION BY d.k ORDER BY mark, x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins
+  FROM d JOIN w ON d.k = w.k
+), c AS (
+  SELECT *, unnest(range(0, quota // t + CASE WHEN begins < quota % t THEN 1 ELSE 0 END)) AS epoch FROM o
+)
+SELECT doc_id, source, x AS n_tokens, epoch, CAST(floor((epoch * t + begins) / CAST(quota AS DOUBLE) * greatest(blocks, 1)) AS BIGINT) AS block,
+       md5(concat(mark, ':', epoch)) AS slot
+FROM c
+""",
     "op8_embedding_e8": """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings

@@ -34,13 +34,13 @@ HELD = 2_000_000
 #: Samples that are transformed at once.
 SAMPLES = 1 << 20
 #: Cuts between the four levels of a filter's log ratio.
-LEVELS = (-0.25, 0.0, 0.25)
+LEVELS = (-0.15, 0.0, 0.15)
 
 
 def filters() -> list[tuple[int, int, int, int]]:
-    """(kind, first pitch class, height, width) of the sixteen filters: the kinds in turn, over bands that
-    step through the pitch classes, in three widths."""
-    return [(k % 4, (5 * k) % 12, 4 + 2 * (k % 3), (4, 8, 16)[(k // 4) % 3]) for k in range(16)]
+    """(kind, first pitch class, height, width) of the sixteen filters, all different: the kinds in turn,
+    over bands that step through the pitch classes, in three widths."""
+    return [(k % 4, (5 * k + k // 4) % 12, 4 + 2 * (k % 3), (4, 8, 16)[(k // 4) % 3]) for k in range(16)]
 
 
 class Printer:
@@ -163,6 +163,10 @@ class Block:
         self.ints = ints[order]
         self.query = np.repeat(np.arange(len(prints)), [len(p) for p in prints])[order]
         self.place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(p)) for p in prints)])[order]
+        self.flat = np.concatenate([np.zeros(0, np.int32), *prints])
+        self.sizes = np.array([len(p) for p in prints], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.keys = np.array(ids, np.int64)
 
     def votes(self, print_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, offset, votes) of every offset that has a vote; offset: the query's place minus the recording's."""
@@ -192,17 +196,25 @@ class Block:
             return []
         most = np.zeros(len(self.ids), np.int64)
         np.maximum.at(most, query, votes)
+        low = np.maximum(0, offset)
+        overlap = np.minimum(self.sizes[query], len(print_) + offset) - low
+        tried = np.nonzero((votes == most[query]) & (overlap >= OVERLAP) & (self.keys[query] != own))[0]
         best: dict[int, tuple] = {}
-        top = votes == most[query]
-        for q, d, v in zip(query[top].tolist(), offset[top].tolist(), votes[top].tolist()):
-            theirs = self.prints[q]
-            a, b = max(0, d), min(len(theirs), len(print_) + d)
-            if b - a < OVERLAP or self.ids[q] == own:
-                continue
-            differ = int(np.bitwise_count(theirs[a:b] ^ print_[a - d : b - d]).sum()) / (32 * (b - a))
-            if differ <= BIT_ERROR:
-                best[q] = min(best.get(q, (2.0,)), (differ, d, b - a, v))
-        return [{"query": self.ids[q], "offset": d, "overlap": n, "votes": v, "bit_error": e} for q, (e, d, n, v) in best.items()]
+        ends = np.cumsum(overlap[tried])
+        k = 0
+        while k < len(tried):
+            stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + HELD, "right")))
+            at, k = tried[k:stop], stop
+            n = overlap[at]
+            first = np.cumsum(n) - n
+            step = np.arange(n.sum()) - np.repeat(first, n)
+            theirs = self.flat[np.repeat(self.starts[query[at]] + low[at], n) + step]
+            differ = np.add.reduceat(np.bitwise_count(theirs ^ print_[np.repeat(low[at] - offset[at], n) + step]), first, dtype=np.int64) / (32 * n)
+            for j in np.nonzero(differ <= BIT_ERROR)[0].tolist():
+                i = at[j]
+                q = int(query[i])
+                best[q] = min(best.get(q, (2.0,)), (float(differ[j]), int(offset[i]), int(n[j]), int(votes[i])))
+        return [{"query": self.ids[q], "offset": d, "overlap": n, "votes": v, "bit_error": e} for q, (e, d, n, v) in sorted(best.items())]
 
 
 _ALIGNED = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("query", T.LongType()), ("offset", T.LongType()), ("overlap", T.LongType()), ("votes", T.LongType()), ("bit_error", T.DoubleType()))]))

@@ -21,6 +21,10 @@ def pcm(x):
     return bytes(np.clip(np.rint((x + 1) * 128), 0, 255).astype(np.uint8))
 
 
+def test_filters_differ():
+    assert len(set(filters())) == 16
+
+
 def test_windows_match_sums_without_the_integral_image():
     x = tune(1, 1)
     frames = np.array([x[k : k + 128] for k in range(0, len(x) - 127, 32)])
@@ -37,7 +41,7 @@ def test_windows_match_sums_without_the_integral_image():
             pairs = {0: (box(s, w, c, half), box(s, w, c + 6, half)), 1: (box(s, w, c, half), box(s, w, c + half, half)), 2: (box(s, w // 2, c, h), box(s + w // 2, w // 2, c, h))}
             pairs[3] = (box(s, w // 2, c, half) + box(s + w // 2, w // 2, c + half, half), box(s, w // 2, c + half, half) + box(s + w // 2, w // 2, c, half))
             a, b = pairs[kind]
-            level = sum(np.log((a + 0.05) / (b + 0.05)) > cut for cut in (-0.25, 0, 0.25))
+            level = sum(np.log((a + 0.05) / (b + 0.05)) > cut for cut in (-0.15, 0, 0.15))
             bits = bits << 2 | (level ^ level >> 1)
         assert int(got[at]) == bits
 
@@ -111,5 +115,25 @@ def test_documents(spark, sf_dir):
     for k, r in rows.items():
         if r.class_id == k:
             want = {q for q in asked if q != k and len(prints[q]) >= 16 and len(prints[k]) >= 16 and brute(prints[q], prints[k])}
-            assert {m.query for m in r.aligned} <= asked
-            assert len(want & {m.query for m in r.aligned}) >= 0.9 * len(want)
+            assert {m.query for m in r.aligned} <= want
+        else:
+            assert r.aligned is None
+
+
+def test_recall_on_near_copies_of_documents(spark, sf_dir):
+    """Copies with some words replaced, all bytes after them shifted or not: at least nine of ten alignments
+    that a search over every offset finds are found."""
+    rng = np.random.default_rng(12)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if 1500 < len(r.text) < 4000][:60]
+    copies = []
+    for t in texts:
+        words = t.split(" ")
+        for k in rng.integers(0, len(words), 1 + len(words) // 100):
+            words[k] = words[k][::-1]
+        copies.append(" ".join(words))
+    prints = PRINTER.prints([samples(t.encode()) for t in texts + copies])
+    n = len(texts)
+    block = Block(list(range(n)), prints[:n])
+    want = {(k, n + k) for k in range(n) if brute(prints[k], prints[n + k])}
+    got = {(m["query"], n + k) for k in range(n) for m in block.aligned(n + k, prints[n + k])}
+    assert len(want) > n / 2 and len(want & got) >= 0.9 * len(want)

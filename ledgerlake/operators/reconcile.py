@@ -55,14 +55,16 @@ def reconcile(local: DataFrame, remote: DataFrame) -> DataFrame:
     """
 
     def one(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("ordinal").to_dict("records"), b.sort_values("ordinal").to_dict("records")
+        a, b = a.sort_values("ordinal").to_dict("records"), b.rename(columns=lambda c: c.removeprefix("r_")).sort_values("ordinal").to_dict("records")
         given, left = assigned(a, b)
         ok = bool(a) and all(k is not None for k, _ in given) and not left
         names = [b[k]["file_name"] for k in left]
         return pd.DataFrame([(key[0], x["ordinal"], None if k is None else b[k]["ordinal"], algo, ok, names) for x, (k, algo) in zip(a, given)], columns=["set_id", "ordinal", "remote_ordinal", "algo", "ok", "missing"]).astype({"remote_ordinal": "Int64"})
 
     cols = ["set_id", "ordinal", "size_bytes", *STRENGTH[:4]]
-    return local.select(cols).groupBy("set_id").cogroup(remote.select(*cols, "file_name").groupBy("set_id")).applyInPandas(one, OUT)
+    # both sides may come from one table: new names keep their columns apart in the plan
+    other = remote.select(*(F.col(c).alias(f"r_{c}") for c in [*cols, "file_name"]))
+    return local.select(cols).groupBy("set_id").cogroup(other.groupBy("r_set_id")).applyInPandas(one, OUT)
 
 
 def unused_remotes(matches: DataFrame, remote: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,3 +64,21 @@ def free_name(taken: list[str], wanted: str) -> str:
     while wanted.lower() in low:
         wanted += "_"
     return wanted
+
+
+#: What operators hold in this Python worker between tasks: how to let go of it, by operator.
+_HELD: dict = {}
+
+
+def enter(operator: str, let_go=None) -> None:
+    """Called where an operator's work starts in a worker: what other operators hold there is let go, so a
+    chain of operators in one application needs no more memory than its largest one."""
+    others = [k for k in _HELD if k != operator]
+    for k in others:
+        _HELD.pop(k)()
+    if let_go is not None:
+        _HELD[operator] = let_go
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # freed memory goes back to the system, where glibc is there
+            ctypes.CDLL(None).malloc_trim(0)

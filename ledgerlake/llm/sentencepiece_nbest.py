@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from functools import lru_cache
 from itertools import count
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_text
+from .common import as_text, enter, free_name
 
 DEFAULT_MODEL = "piece_bpe_32k.model"
 N_BEST = 4
 SPACE = "▁"
-#: Entries that a worker's memory of segmented words may have before it is emptied.
-REMEMBERED = 800_000
+#: Words, characters and pieces that a worker's memory of segmented words may hold before it is emptied.
+REMEMBERED_WORDS, REMEMBERED_SIZE = 1_300_000, 16_000_000
 #: How far below the least one-character piece a byte piece scores.
 BYTE_PENALTY = 10.0
 _NONE = float("-inf")
+_BY_SCORE = itemgetter(0)
 _CUT = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -68,10 +71,17 @@ class PieceLattice:
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = what
-        self._memory: dict[str, tuple] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty memory: a number for each word; by number its score and its gap to the second best; and
+        the pieces of all words in a row, with the places where each word's begin."""
+        self._number: dict[str, int] = {}
+        self._scores, self._gaps, self._pieces, self._starts, self._size = array("d"), array("d"), array("i"), array("q", [0]), 0
 
     def _arcs(self, cut: str):
-        """Arcs into each place, (start, ids, score), and the best score of each prefix."""
+        """Arcs into each place, (minus the best score through it so far, start, ids, score), and the best
+        score of each prefix."""
         n, trie = len(cut), self._trie
         best = [_NONE] * (n + 1)
         best[0] = 0.0
@@ -82,13 +92,13 @@ class PieceLattice:
                 j += 1
                 if "" in node:
                     ids, score = node[""]
-                    arcs[j].append((i, ids, score))
+                    arcs[j].append((-so_far - score, i, ids, score))
                     if so_far + score > best[j]:
                         best[j] = so_far + score
-            if not arcs[i + 1] or arcs[i + 1][-1][0] != i:
+            if not arcs[i + 1] or arcs[i + 1][-1][1] != i:
                 data = cut[i].encode("utf-8", "replace")
                 score = self._byte_score * len(data)
-                arcs[i + 1].append((i, tuple(self._bytes[b] for b in data), score))
+                arcs[i + 1].append((-so_far - score, i, tuple(self._bytes[b] for b in data), score))
                 if so_far + score > best[i + 1]:
                     best[i + 1] = so_far + score
         return arcs, best
@@ -105,11 +115,10 @@ class PieceLattice:
                 if not in_order[place]:
                     in_order[place] = True
                     if len(into) > 1:
-                        into.sort(key=lambda a: -best[a[0]] - a[2])
+                        into.sort(key=_BY_SCORE)
                 if k + 1 < len(into):
-                    start, _, score = into[k + 1]
-                    heapq.heappush(heap, (-(done + score + best[start]), next(ticket), place, k + 1, done, tail))
-                place, ids, score = into[k]
+                    heapq.heappush(heap, (into[k + 1][0] - done, next(ticket), place, k + 1, done, tail))
+                _, place, ids, score = into[k]
                 done, tail, k = done + score, (ids, tail), 0
             path = []
             while tail:
@@ -118,15 +127,16 @@ class PieceLattice:
             out.append((done, path))
         return out
 
-    def _word(self, key: str) -> tuple[bytes, float, float]:
-        """(ids as bytes, score, gap to the second best) of the cut made of U+2581 and key."""
+    def _word(self, key: str) -> int:
+        """The number of the cut made of U+2581 and key, which is segmented and remembered."""
         found = self.nbest(SPACE + key, 2)
-        entry = (np.array(found[0][1], np.int32).tobytes(), found[0][0], found[0][0] - found[1][0] if len(found) > 1 else -_NONE)
-        if len(key) <= 64:
-            if len(self._memory) >= REMEMBERED:
-                self._memory.clear()
-            self._memory[key] = entry
-        return entry
+        n = self._number[key] = len(self._scores)
+        self._scores.append(found[0][0])
+        self._gaps.append(found[0][0] - found[1][0] if len(found) > 1 else -_NONE)
+        self._pieces.extend(found[0][1])
+        self._starts.append(len(self._pieces))
+        self._size += len(key)
+        return n
 
     @staticmethod
     def cuts(text: str) -> list[str]:
@@ -137,23 +147,29 @@ class PieceLattice:
             return text.split(" ")
         return [c[1:] for c in _CUT.findall(SPACE + text.replace(" ", SPACE))]
 
-    def encode(self, text: str) -> tuple[bytes, list[float], list[str]]:
-        """(ids of the best segmentation as 32-bit numbers, the N best scores, what differs in each).
+    def encode(self, text: str) -> tuple[np.ndarray, list[float], list[str]]:
+        """(ids of the best segmentation, the N best scores, what differs in each).
 
         A difference lists cut:ids for the cuts that are not segmented as in the best; the best has none.
         """
         keys = self.cuts(text)
         if not keys:
-            return b"", [], []
-        known = self._memory.get
-        words = [known(k) or self._word(k) for k in keys]
-        top = sum([w[1] for w in words])
+            return np.zeros(0, np.int32), [], []
+        if len(self._scores) > REMEMBERED_WORDS or max(self._size, len(self._pieces)) > REMEMBERED_SIZE:
+            self._forget()
+        number = self._number
+        try:
+            words = np.fromiter(map(number.__getitem__, keys), np.int64, len(keys))
+        except KeyError:
+            get = number.get
+            words = np.array([n if (n := get(k)) is not None else self._word(k) for k in keys], np.int64)
+        top = float(np.frombuffer(self._scores)[words].sum())
         # only the cuts with the smallest gaps to their second best can change within the N best
-        gaps, options = [w[2] for w in words], []
+        gaps, options = np.frombuffer(self._gaps)[words], []
         for _ in range(self.n_best - 1):
-            if (least := min(gaps)) == -_NONE:
+            k = int(gaps.argmin())
+            if gaps[k] == -_NONE:
                 break
-            k = gaps.index(least)
             gaps[k] = -_NONE
             ways = self.nbest(SPACE + keys[k])
             options.append(([ways[0][0] - x for x, _ in ways[1:]], k, ways))
@@ -173,7 +189,10 @@ class PieceLattice:
         for choice in changes:
             parts = sorted((k, ways[c][1]) for c, (_, k, ways) in zip(choice, options) if c)
             texts.append(";".join(f"{k}:" + " ".join(map(str, ids)) for k, ids in parts))
-        return b"".join([w[0] for w in words]), scores, texts
+        starts = np.frombuffer(self._starts, np.int64)
+        first, sizes = starts[words], starts[words + 1] - starts[words]
+        ids = np.frombuffer(self._pieces, np.int32)[np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+        return ids, scores, texts
 
     def decode(self, ids) -> str:
         """The text of piece ids: bytes joined, the leading space taken off. Bytes that are no UTF-8 become U+FFFD."""
@@ -205,23 +224,24 @@ def encode_documents(docs: DataFrame, model: str | None = None, n_best: int = N_
     def run(batches):
         import public_tokenizers
 
+        enter("sentencepiece", lattice.cache_clear)
         pieces = lattice(model or public_tokenizers.path(DEFAULT_MODEL), n_best)
         for batch in batches:
-            blobs, scores, changes, sound = [], [], [], []
+            found, scores, changes, sound = [], [], [], []
             for t in batch.column(len(keep)):
                 s = t.as_py()
-                blob, best, differ = pieces.encode(s)
-                blobs.append(blob)
+                ids, best, differ = pieces.encode(s)
+                found.append(ids)
                 scores.append(best)
                 changes.append(differ)
-                sound.append(pieces.decode(np.frombuffer(blob, np.int32).tolist()) == s.replace(SPACE, " "))
-            sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+                sound.append(pieces.decode(ids.tolist()) == s.replace(SPACE, " "))
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
             cols = [ids, pa.array(sizes), *(pa.array(x, t) for x, (_, _, t) in zip((scores, changes, sound), _ADDED[2:]))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], names=[*keep, *(n for n, _, _ in _ADDED)])
 
-    got = docs.select(*keep, as_text(text).alias("__text"))
+    got = docs.select(*keep, as_text(text).alias(free_name(list(keep), "__text")))
     return got.mapInArrow(run, T.StructType([*got.schema.fields[: len(keep)], *(T.StructField(n, t) for n, t, _ in _ADDED)]))
 
 

@@ -14,7 +14,7 @@ from ledgerlake.llm.quality_bayes import keep_good, trained
 from ledgerlake.llm.secret_scan import mask_secrets
 from ledgerlake.llm.sentencepiece_nbest import encode_documents
 from ledgerlake.llm.simhash_golay import keep_one_of_each
-from ledgerlake.llm.source_mixing import mixture
+from ledgerlake.llm.source_mixing import mixed
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +29,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets, decoded layers included, are replaced by their kind; n_chars follows the new text."""
-    return mask_secrets(docs, n_chars="n_chars")
+    return mask_secrets(docs, n_chars="n_chars" if "n_chars" in docs.columns else None)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are mixed half way to even entropy; a copy of a document is a row."""
-    return mixture(docs).select(docs.columns)
+    return mixed(docs)
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

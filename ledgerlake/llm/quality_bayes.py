@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_text, free_name, written
+from .common import as_text, enter, free_name, written
 
 #: Labelled documents the model is fitted on at most: those whose ids have the smallest hashes.
 MAX_TRAINING = 20_000
@@ -104,6 +104,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
     weights, intercept = model.weights, model.intercept
 
     def run(batches):
+        enter("quality")
         own = Model(weights, intercept, 0.5)
         for batch in batches:
             x = np.array([features(t.as_py()) for t in batch.column(len(keep))], float).reshape(-1, len(FEATURES))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_text
+from .common import as_text, enter
 from .spans import digest, joined
 
 KINDS = ("assign", "access", "hex")
@@ -200,6 +200,7 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
 
     def run(batches):
+        enter("secrets")
         for batch in batches:
             out = []
             for t in batch.column(1):
@@ -234,7 +235,8 @@ def mask_secrets(docs: DataFrame, text: str = "text", n_chars: str | None = None
     names a column, it gets the new length of the texts that changed."""
 
     def run(batches):
-        for batch in batches:
+        enter("secrets")
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             k = batch.schema.get_field_index(text)
             old = batch.column(k).to_pylist()
             new = [None if t is None else masked(t) for t in old]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_text, drop, free_name, scratch, written
+from .common import as_text, drop, enter, free_name, scratch, written
 from .components import connected_components
 
 SEED = 42
@@ -65,12 +65,13 @@ def with_fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
     """The columns `keep` and the signed 64-bit fingerprint of `text` under `name`."""
 
     def run(batches):
+        enter("simhash")
         for batch in batches:
             texts = batch.column(len(keep))
             out = np.fromiter((fingerprint(t.as_py() or "") for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out.view(np.int64))], names=[*keep, name])
 
-    got = docs.select(*keep, as_text(text).alias("__text"))
+    got = docs.select(*keep, as_text(text).alias(free_name([*keep, name], "__text")))
     return got.mapInArrow(run, T.StructType([*got.schema.fields[: len(keep)], T.StructField(name, T.LongType())]))
 
 
@@ -102,6 +103,7 @@ def key_table(fingerprints: DataFrame) -> DataFrame:
     """(key, fp) for the distinct fingerprints of the column fp."""
 
     def run(batches):
+        enter("golay", golay_index.cache_clear)
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
             u = fp.view(np.uint64)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_text
+from .common import as_text, enter
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 OVER = 1024
@@ -159,6 +159,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, text: str = "te
     def run(batches):
         import public_tokenizers
 
+        enter("tokens", counter.cache_clear)
         count = counter(vocabulary or public_tokenizers.path(DEFAULT_VOCABULARY)).count
         for batch in batches:
             n = np.fromiter((count(t.as_py()) for t in batch.column(1)), np.int64, batch.num_rows)

@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.source_mixing import mixture, op3_rows, quotas
+from ledgerlake.llm.source_mixing import mixed, mixture, op3_rows, quotas
 
 
 def plain_exponent(t, budget, evenness, max_repeats):
@@ -72,6 +72,15 @@ def test_blocks_hold_each_source_in_proportion(spark):
         assert len(n) == 10 and max(n) - min(n) <= 20
 
 
+def test_mixed_rows_are_those_of_the_mixture(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for budget, even in ((None, 0.5), (1_000, 1.0), (300_000, 0.9), (7, 0.0)):
+        want = mixture(docs, budget, even, 100.0).select(docs.columns)
+        got = mixed(docs, budget, even, 100.0)
+        assert got.columns == docs.columns
+        assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in want.collect())
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None, 5), (2, "", "a", 6), (None, "x y", "a", 7), (None, "x y", "a", 7), (3, "w " * 50_000, "b", 8), (4, None, "c", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_epoch int")
@@ -81,3 +90,6 @@ def test_odd_rows(spark):
     assert {r.source for r in kept} == {"a", "b"}
     assert sum(r.text == "x y" for r in kept) % 2 == 0
     assert mixture(df.limit(0)).count() == 0
+    thin = mixed(df)
+    assert thin.columns == df.columns and {r.source for r in thin.collect()} == {"a", "b"}
+    assert mixed(df.limit(0)).count() == 0

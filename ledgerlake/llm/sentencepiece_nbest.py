@@ -32,7 +32,7 @@ DEFAULT_MODEL = "piece_bpe_32k.model"
 N_BEST = 4
 SPACE = "▁"
 #: Words, characters and pieces that a worker's memory of segmented words may hold before it is emptied.
-REMEMBERED_WORDS, REMEMBERED_SIZE = 1_300_000, 16_000_000
+REMEMBERED_WORDS, REMEMBERED_SIZE = 900_000, 16_000_000
 #: How far below the least one-character piece a byte piece scores.
 BYTE_PENALTY = 10.0
 _NONE = float("-inf")

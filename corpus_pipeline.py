@@ -23,8 +23,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document with the smallest id stays."""
-    return keep_one_of_each(docs)
+    """Of each group of near copies (SimHash within two bits, or Jaccard similarity of five-word shingles of 0.8
+    or more) the document with the smallest id stays."""
+    return keep_one_of_each(docs, similar=True)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

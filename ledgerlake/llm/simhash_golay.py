@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from .common import as_text, drop, enter, free_name, scratch, written
 from .components import connected_components
+from .near_jaccard import mark, shingles, similar_links
 
 SEED = 42
 SHINGLE = 3
@@ -140,17 +141,38 @@ def fingerprint_links(fingerprints: DataFrame, paired: int = PAIRED) -> DataFram
     return pairs.unionByName(stars)
 
 
-def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _with_sets(docs: DataFrame) -> DataFrame:
+    """The columns doc_id, fp, t and x of docs (doc_id, text), as `similar_links` asks for."""
+
+    def run(batches):
+        enter("simhash")
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(1)]
+            fp = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
+            sets = [mark(h) if len(h := shingles(t)) else None for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(sets, pa.int64()), batch.column(2)], names=["doc_id", "fp", "t", "x"])
+
+    got = docs.select("doc_id", "text", F.xxhash64("text").alias("x"))
+    return got.mapInArrow(run, T.StructType([got.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("fp", "t", "x"))]))
+
+
+def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: bool = False) -> DataFrame:
     """(doc_id, fp, grp, component_id): one row for each row of docs.
 
+    similar also links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
     grp names the group (its least fingerprint, signed). component_id is the smallest id among all rows
     reachable over links of at most two differing bits. Null text counts as empty (fingerprint zero,
     linked like any other). A row with a null id gets its group's smallest known id, or null. Repeated
     rows each get a row. Other columns are ignored. An empty table gives an empty result.
     """
-    prints = written(with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))), "prints")
+    docs = docs.select(F.col(doc_id).alias("doc_id"), as_text(text).alias("text"))
+    prints = written(_with_sets(docs) if similar else with_fingerprints(docs), "prints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    parts = connected_components(fingerprint_links(distinct))
+    links = fingerprint_links(distinct)
+    if similar:
+        links = links.unionByName(similar_links(docs.select("text"), prints))
+    parts = connected_components(links)
     group = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("grp"))
     group = written(group, "groups")
     least = group.groupBy("grp").agg(F.min("least").alias("component_id"))
@@ -163,13 +185,14 @@ def op1_rows(docs: DataFrame) -> DataFrame:
     return simhash_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: bool = False) -> DataFrame:
     """docs without all but one document of each near-duplicate group; the row with the smallest id stays.
+    similar: as in `simhash_groups`.
 
     Rows that repeat that id count as copies of it. A group in which no row has an id keeps one of its
     rows. Columns and their names stay as they are.
     """
-    groups = simhash_groups(docs, doc_id, text)
+    groups = simhash_groups(docs, doc_id, text, similar)
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
     named = docs.join(kept, doc_id, "left_semi").select(docs.columns).dropDuplicates([doc_id])
     fp, grp = free_name(docs.columns, "__fp"), free_name(docs.columns, "__grp")

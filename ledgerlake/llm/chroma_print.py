@@ -27,6 +27,8 @@ from .common import written
 WINDOW = 16
 #: Largest share of differing bits and fewest overlapping windows of an alignment.
 BIT_ERROR, OVERLAP = 0.15, 16
+#: The same share where a recording has fewer windows than OVERLAP and overlaps with all of them.
+SHORT_ERROR = 0.125
 #: Integers of query fingerprints in a block. A block is broadcast.
 BLOCK = 1_000_000
 #: Votes that are held at once.
@@ -190,7 +192,8 @@ class Block:
 
     def aligned(self, own: int, print_: np.ndarray) -> list[dict]:
         """Alignments with the block's queries other than `own`: of the offsets with most votes the one with
-        fewest differing bits (then the smallest) decides; it counts where the whole overlap agrees well enough."""
+        fewest differing bits (then the smallest) decides; it counts where the whole overlap agrees well enough.
+        Recordings of fewer than OVERLAP windows align over their whole length."""
         query, offset, votes = self.votes(print_)
         if not len(query):
             return []
@@ -198,7 +201,7 @@ class Block:
         np.maximum.at(most, query, votes)
         low = np.maximum(0, offset)
         overlap = np.minimum(self.sizes[query], len(print_) + offset) - low
-        tried = np.nonzero((votes == most[query]) & (overlap >= OVERLAP) & (self.keys[query] != own))[0]
+        tried = np.nonzero((votes == most[query]) & (overlap >= np.minimum(OVERLAP, np.minimum(self.sizes[query], len(print_)))) & (self.keys[query] != own))[0]
         best: dict[int, tuple] = {}
         ends = np.cumsum(overlap[tried])
         k = 0
@@ -210,7 +213,7 @@ class Block:
             step = np.arange(n.sum()) - np.repeat(first, n)
             theirs = self.flat[np.repeat(self.starts[query[at]] + low[at], n) + step]
             differ = np.add.reduceat(np.bitwise_count(theirs ^ print_[np.repeat(low[at] - offset[at], n) + step]), first, dtype=np.int64) / (32 * n)
-            for j in np.nonzero(differ <= BIT_ERROR)[0].tolist():
+            for j in np.nonzero(differ <= np.where(n < OVERLAP, SHORT_ERROR, BIT_ERROR))[0].tolist():
                 i = at[j]
                 q = int(query[i])
                 best[q] = min(best.get(q, (2.0,)), (float(differ[j]), int(offset[i]), int(n[j]), int(votes[i])))

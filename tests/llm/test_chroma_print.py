@@ -137,3 +137,24 @@ def test_recall_on_near_copies_of_documents(spark, sf_dir):
     want = {(k, n + k) for k in range(n) if brute(prints[k], prints[n + k])}
     got = {(m["query"], n + k) for k in range(n) for m in block.aligned(n + k, prints[n + k])}
     assert len(want) > n / 2 and len(want & got) >= 0.9 * len(want)
+
+
+def test_short_recordings_align_over_their_whole_length(spark, sf_dir):
+    """Copies of texts under 1,088 bytes with a word reversed, against a search over every offset without a floor."""
+    rng = np.random.default_rng(6)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if len(r.text.encode()) < 1088 and len(r.text.split()) > 20][:60]
+    copies = []
+    for t in texts:
+        words = t.split(" ")
+        k = rng.integers(0, len(words))
+        words[k] = words[k][::-1]
+        copies.append(" ".join(words))
+    prints = PRINTER.prints([samples(t.encode()) for t in texts + copies])
+    n = len(texts)
+    block = Block(list(range(n)), prints[:n])
+    want = {(k, n + k) for k in range(n) if brute(prints[k], prints[n + k], least=min(len(prints[k]), len(prints[n + k])))}
+    got = {(m["query"], n + k) for k in range(n) for m in block.aligned(n + k, prints[n + k])}
+    assert len(want) > n / 2 and len(want & got) >= 0.85 * len(want)
+    long = tune(3, 2)
+    whole, part = PRINTER.prints([long, long[320:1120]])
+    assert len(part) < 16 and [(m["offset"], m["overlap"]) for m in Block([1], [whole]).aligned(2, part)] == [(10, len(part))]

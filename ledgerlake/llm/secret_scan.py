@@ -30,6 +30,8 @@ from .spans import digest, joined
 KINDS = ("assign", "access", "hex")
 #: Bytes to which one compressed stream may expand. Larger ones are counted in n_refused, not entered.
 MAX_EXPANDED = 32 << 20
+#: Bytes that are decompressed at once.
+PIECE = 1 << 20
 #: Patterns and shortest lengths that the result's contract fixes.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ASSIGN_LEAST = 8
@@ -41,6 +43,7 @@ _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|\\U00[01][
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
 _LINES64 = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}")
 _URLSAFE = str.maketrans("-_", "+/", "\r\n")
+_BROKEN = (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError)
 _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f�]")
 
 
@@ -103,25 +106,47 @@ def _unicode(m: re.Match) -> str | None:
         return None
 
 
-def _expand(data: bytes) -> bytes | None:
-    """The content of a compressed stream, None where data is none; raises MemoryError past MAX_EXPANDED."""
+def _tool(data: bytes):
+    """The decompressor of the stream that starts data, None where data is none."""
     if data[:2] == b"\x1f\x8b":
-        tool = zlib.decompressobj(47)
-    elif len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-        tool = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        tool = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        tool = lzma.LZMADecompressor(memlimit=4 * MAX_EXPANDED)
-    else:
-        return None
-    try:
-        out = tool.decompress(data, MAX_EXPANDED + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    if len(out) > MAX_EXPANDED:
-        raise MemoryError
-    return out if out and tool.eof else None
+        return zlib.decompressobj(47)
+    if len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=4 * MAX_EXPANDED)
+    return None
+
+
+def _drained(tool, data: bytes):
+    """What tool makes of data, in pieces of at most PIECE bytes."""
+    while True:
+        out = tool.decompress(data, PIECE)
+        if out:
+            yield out
+        data = getattr(tool, "unconsumed_tail", b"")
+        if tool.eof or getattr(tool, "needs_input", not data and len(out) < PIECE):
+            return
+
+
+def _expand(data: bytes) -> bytes | None:
+    """The content of all members of a compressed stream, None where data is none; raises MemoryError past
+    MAX_EXPANDED. What follows the last member is left out."""
+    parts, size, whole = [], 0, False
+    while (tool := _tool(data)) is not None:
+        try:
+            for part in _drained(tool, data):
+                parts.append(part)
+                size += len(part)
+                if size > MAX_EXPANDED:
+                    raise MemoryError
+        except _BROKEN:
+            break
+        if not tool.eof:
+            break
+        whole, data = True, tool.unused_data.lstrip(b"\0")
+    return b"".join(parts) if whole and parts else None
 
 
 def _readable(data: bytes) -> str | None:

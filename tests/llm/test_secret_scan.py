@@ -2,6 +2,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import zlib
@@ -83,3 +84,12 @@ def test_odd_rows(spark):
     assert scan_secrets(df.limit(0)).count() == 0
     clean = mask_secrets(df)
     assert clean.columns == df.columns and sorted(str(r.text) for r in clean.collect()) == sorted(["", "None", "[assign]", "[assign]"])
+
+
+def test_all_members_of_compressed_streams_are_read():
+    for compress in (gzip.compress, bz2.compress, lzma.compress, zlib.compress):
+        for parts in ([b"plain words here", SECRET.encode()], [b"x", b"y" * 3_000_000, SECRET.encode(), b"z"]):
+            inner = base64.b64encode(b"".join(map(compress, parts))).decode()
+            assert find_secrets(f"a {inner} b")[1] == [("assign", 2, 2 + len(inner))]
+    padded = base64.b64encode(gzip.compress(b"one") + bytes(512) + gzip.compress(SECRET.encode()) + b"rubbish").decode()
+    assert find_secrets(padded)[1] == [("assign", 0, len(padded.rstrip("=")) + padded.count("="))]

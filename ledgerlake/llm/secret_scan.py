@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import html
 import lzma
@@ -28,8 +29,10 @@ from .common import as_text, enter
 from .spans import digest, joined
 
 KINDS = ("assign", "access", "hex")
-#: Bytes to which one compressed stream may expand. Larger ones are counted in n_refused, not entered.
+#: Bytes to which one compressed stream may expand at once. Larger ones are scanned in windows and counted in n_refused.
 MAX_EXPANDED = 32 << 20
+#: Characters of a window and of its overlap with the next; longer encoded runs are decoded as they pass.
+WINDOW, OVERLAP = 4 << 20, 1 << 20
 #: Bytes that are decompressed at once.
 PIECE = 1 << 20
 #: Patterns and shortest lengths that the result's contract fixes.
@@ -44,6 +47,9 @@ _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
 _LINES64 = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}")
 _URLSAFE = str.maketrans("-_", "+/", "\r\n")
 _BROKEN = (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError)
+_RUN_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-\r\n"
+_RUN = re.compile(r"[A-Za-z0-9+/_\r\n-]*")
+_SPACES = re.compile(r"\x20{2,}")
 _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f�]")
 
 
@@ -157,15 +163,131 @@ def _readable(data: bytes) -> str | None:
     return text if text and not _CONTROL.search(text) else None
 
 
-def _unwrap(token: str) -> str | None:
-    """The text inside base64, through any compressed streams."""
+class _Found:
+    """The kinds in a text that passes in parts: all layers of overlapping windows, and what is inside runs that
+    are longer than the overlap. Only kinds are kept, since the whole stream maps to one run of its parent."""
+
+    def __init__(self, kinds: set):
+        self.kinds, self.text, self.fresh, self.run = kinds, "", 0, None
+        self.decoder = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, data: bytes, last: bool = False) -> None:
+        new = self.decoder.decode(data, last)
+        self.text += new
+        self.fresh += len(new)
+        if self.fresh >= WINDOW or last:
+            self._scan(last)
+
+    def close(self) -> None:
+        self.feed(b"", True)
+
+    def _scan(self, last: bool) -> None:
+        text, old = self.text, len(self.text) - self.fresh
+        if len(self.kinds) < len(KINDS):
+            self.kinds.update(s[0] for part in find_secrets(text)[:2] for s in part)
+        if self.run is not None:
+            end = _RUN.match(text, old).end()
+            self.run.feed(text[old:end])
+            if end < len(text):
+                self.run.close()
+                self.run = None
+        if self.run is None and not last:
+            start = len(text.rstrip(_RUN_CHARS))
+            if len(text) - start > OVERLAP:
+                self.run = _Run(self.kinds)
+                self.run.feed(text[start:])
+        if last and self.run is not None:
+            self.run.close()
+        # an assignment may hold any number of spaces
+        self.text, self.fresh = _SPACES.sub(" ", text)[-OVERLAP:], 0
+
+
+class _Run:
+    """The kinds inside a base64 run that passes in parts."""
+
+    def __init__(self, kinds: set):
+        self.inner, self.rest = _Stream(kinds), ""
+
+    def feed(self, part: str) -> None:
+        self.rest += part.translate(_URLSAFE)
+        whole = len(self.rest) // 4 * 4
+        self.inner.feed(base64.b64decode(self.rest[:whole]))
+        self.rest = self.rest[whole:]
+
+    def close(self) -> None:
+        if len(self.rest) > 1:
+            self.inner.feed(base64.b64decode(self.rest + "=" * (-len(self.rest) % 4)))
+        self.inner.close()
+
+
+class _Stream:
+    """The kinds in bytes that pass in parts: the members of compressed streams, or text."""
+
+    def __init__(self, kinds: set):
+        self.kinds, self.head, self.tool, self.inner = kinds, b"", None, None
+
+    def feed(self, data: bytes, last: bool = False) -> None:
+        while data or last:
+            if self.tool is None:
+                if isinstance(self.inner, _Found):
+                    self.inner.feed(data)
+                    return
+                data, self.head = self.head + data, b""
+                if self.inner is not None:  # between members
+                    data = data.lstrip(b"\0")
+                if len(data) < 6 and not last:
+                    self.head = data
+                    return
+                self.tool = _tool(data)
+                if self.tool is None:
+                    if self.inner is None:
+                        self.inner = _Found(self.kinds)
+                        self.inner.feed(data)
+                    return
+                self.inner = self.inner or _Stream(self.kinds)
+            try:
+                for part in _drained(self.tool, data):
+                    self.inner.feed(part)
+                    if len(self.kinds) == len(KINDS):
+                        return
+            except _BROKEN:
+                self.tool = None
+                self.head = b""
+                return
+            if not self.tool.eof:
+                return
+            data, self.tool = self.tool.unused_data, None
+
+    def close(self) -> None:
+        if self.tool is None and self.head:
+            self.feed(b"", True)
+        if self.inner is not None:
+            self.inner.close()
+
+
+def _bytes_in(token: str) -> bytes | None:
+    """What base64 encodes, None where token is none."""
     plain = token.translate(_URLSAFE).rstrip("=")
     if len(plain) % 4 == 1:
         return None
     try:
-        data = base64.b64decode(plain + "=" * (-len(plain) % 4), validate=True)
+        return base64.b64decode(plain + "=" * (-len(plain) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
+
+
+def _kinds_in(token: str) -> set:
+    """The kinds inside base64 whose streams are too large to be held, in all of their layers."""
+    stream = _Stream(kinds := set())
+    stream.feed(_bytes_in(token))
+    stream.close()
+    return kinds
+
+
+def _unwrap(token: str) -> str | None:
+    """The text inside base64, through any compressed streams."""
+    if (data := _bytes_in(token)) is None:
+        return None
     seen = set()
     while (mark := hashlib.sha256(data).digest()) not in seen and (more := _expand(data)) is not None:
         seen.add(mark)
@@ -174,12 +296,13 @@ def _unwrap(token: str) -> str | None:
 
 
 def layers(text: str):
-    """(layer text, mapping of its spans to text, refused) for each decoded layer, the text itself first."""
+    """(layer text, mapping of its spans to text, spans in streams too large to be layers, number of these) for
+    each decoded layer, the text itself first."""
     seen = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
     work = [(text, lambda a, b: (a, b))]
     while work:
         now, up = work.pop()
-        refused = 0
+        large, refused = [], 0
         fresh = []
         for mark, pattern, decode in (("%", _PERCENT, _percent), ("\\&", _UNICODE, _unicode)):
             if any(c in now for c in mark):
@@ -193,6 +316,7 @@ def layers(text: str):
                     inner = _unwrap(m[0])
                 except MemoryError:
                     refused += 1
+                    large += [(kind, *up(*m.span())) for kind in _kinds_in(m[0])]
                     continue
                 if inner is not None:
                     fresh.append((inner, lambda a, b, to=up(*m.span()): to))
@@ -203,14 +327,15 @@ def layers(text: str):
             if layer[0] and mark not in seen:
                 seen.add(mark)
                 work.append(layer)
-        yield now, up, refused
+        yield now, up, large, refused
 
 
 def find_secrets(text: str) -> tuple[list, list, int]:
-    """(base spans, spans that decoding adds, streams refused for their size)."""
+    """(base spans, spans that decoding adds, streams scanned in windows for their size)."""
     base, added, refused = [], set(), 0
-    for k, (layer, up, no) in enumerate(layers(text)):
+    for k, (layer, up, large, no) in enumerate(layers(text)):
         refused += no
+        added.update(large)
         if k == 0:
             base = scan(layer)
         else:
@@ -220,7 +345,7 @@ def find_secrets(text: str) -> tuple[list, list, int]:
 
 def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added,
-    n_refused. Null text counts as empty. Null ids, repeated rows and very long texts are rows like any
+    n_refused (streams of more than MAX_EXPANDED bytes, which are scanned in windows). Null text counts as empty. Null ids, repeated rows and very long texts are rows like any
     other; other columns are ignored.
     """
 

@@ -93,3 +93,21 @@ def test_all_members_of_compressed_streams_are_read():
             assert find_secrets(f"a {inner} b")[1] == [("assign", 2, 2 + len(inner))]
     padded = base64.b64encode(gzip.compress(b"one") + bytes(512) + gzip.compress(SECRET.encode()) + b"rubbish").decode()
     assert find_secrets(padded)[1] == [("assign", 0, len(padded.rstrip("=")) + padded.count("="))]
+
+
+def test_streams_beyond_the_limit_are_scanned_whole():
+    rng = random.Random(1)
+    filler = b"some words of no interest, "
+    deep = base64.b64encode(gzip.compress(b"k " + SECRET.encode()))
+    noise = base64.b64encode(rng.randbytes(2_500_000)) + b"\n"
+    long = base64.b64encode(zlib.compress(noise * 2 + b" AKIAABCDEFGH1234 ", 0))
+    for inner, kind in ((SECRET.encode(), "assign"), (deep, "assign"), (b"token" + b" " * 6_000_000 + b"= abcdefgh12", "assign"), (long, "access"), (b"%70assword%3Dhunter2hunter2", "assign"), (b"deadbeef" * 900_000, "hex")):
+        for before in (34 << 20, (32 << 20) - 7):
+            data = (filler * (before // len(filler) + 1))[:before] + b" " + inner + b" " + filler * 100_000
+            run = base64.b64encode(gzip.compress(data[:1000], 1) + gzip.compress(data[1000:], 1)).decode()
+            base, added, large = find_secrets(f"a {run} b")
+            assert not base and large == 1 and (kind, 2, 2 + len(run)) in added
+    clean = base64.b64encode(gzip.compress(filler * 2_000_000)).decode()
+    assert find_secrets(clean)[1:] == ([], 1)
+    two = base64.b64encode(gzip.compress(gzip.compress(filler * 2_000_000 + SECRET.encode()))).decode()
+    assert masked(f"a {two} b") == "a [assign] b"

@@ -192,10 +192,15 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Rows that repeat that id count as copies of it. A group in which no row has an id keeps one of its
     rows. Columns and their names stay as they are.
     """
-    groups = simhash_groups(docs, doc_id, text, similar)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    named = docs.join(kept, doc_id, "left_semi").select(docs.columns).dropDuplicates([doc_id])
     fp, grp = free_name(docs.columns, "__fp"), free_name(docs.columns, "__grp")
+    groups = written(simhash_groups(docs, doc_id, text, similar), "grouped")
+    kept = groups.where("doc_id = component_id").groupBy("grp").agg(F.min("doc_id").alias(doc_id), F.min("fp").alias(fp)).drop("grp")
+    # an id of several groups does not tell its rows apart: their fingerprints do
+    split = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias(doc_id)).agg(F.min("grp").alias("least"), F.max("grp").alias("most")).where("least <> most").select(doc_id)
+    split = written(split, "splitids")
+    named = docs.join(kept.join(split, doc_id, "left_anti"), doc_id, "left_semi").select(docs.columns).dropDuplicates([doc_id])
+    shared = with_fingerprints(docs.join(split, doc_id, "left_semi").select(docs.columns), text, tuple(docs.columns), fp)
+    named = named.unionByName(shared.join(kept, [doc_id, fp], "left_semi").dropDuplicates([doc_id, fp]).select(docs.columns))
     nameless = with_fingerprints(docs.where(F.col(doc_id).isNull()), text, tuple(docs.columns), fp)
     alone = groups.where("doc_id is null and component_id is null").select(F.col("fp").alias(fp), F.col("grp").alias(grp)).distinct()
     return named.unionByName(nameless.join(alone, fp).dropDuplicates([grp]).select(docs.columns))

@@ -94,3 +94,11 @@ def test_odd_rows(spark):
 def test_fingerprint_of_fixed_texts():
     for text in ("", "a", "A b", "Ab  c d\te\x0bf", "é É x " * 50):
         assert fingerprint(text) == plain_fingerprint(text)
+
+
+def test_every_group_keeps_one_where_ids_repeat_across_groups(spark):
+    rows = [(5, "alpha beta gamma delta"), (5, "quite another text here"), (3, "quite another text here"), (5, "third one of its own"), (7, "third one of its own"), (5, "alpha beta gamma delta")]
+    for n in range(3):
+        df = spark.createDataFrame(rows[n:] + rows[:n], "doc_id long, text string").repartition(3)
+        for similar in (False, True):
+            assert sorted((r.doc_id, r.text) for r in keep_one_of_each(df, similar=similar).collect()) == [(3, rows[1][1]), (5, rows[0][1]), (5, rows[3][1])]

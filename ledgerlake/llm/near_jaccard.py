@@ -96,19 +96,22 @@ _CAN = "5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) and 9 * least(a.n - a.pos,
 def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar, by their sets."""
     ends = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct()
-    wanted = written(texts.join(ends, "t", "left_semi").select("x").distinct(), "jaccardwanted")
-    few = docs.withColumn("x", F.xxhash64("text")).join(wanted, "x", "left_semi").select("text")
+    wanted = written(texts.join(ends, "t", "left_semi").groupBy("t").agg(F.min("x").alias("x")).select("x"), "jaccardwanted")
+    few = docs.withColumn("x", F.xxhash64("text")).join(wanted, "x", "left_semi").dropDuplicates(["x"])
+    named = few.join(texts.groupBy("t").agg(F.min("x").alias("x")), "x").select("t", "text")
+    named = written(named, "jaccardnamed")
+    both = pairs.join(named.select(F.col("t").alias("a"), F.col("text").alias("ta")), "a").join(named.select(F.col("t").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches):
         enter("jaccard")
         for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
-            got = [shingles(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([mark(h) for h in got], pa.int64()), pa.array(got, pa.list_(pa.int64()))], names=["t", "s"])
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = shingles(x.as_py()), shingles(y.as_py())
+                good.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    sets = written(few.mapInArrow(run, "t long, s array<long>").dropDuplicates(["t"]), "jaccardsets")
-    both = pairs.join(sets.select(F.col("t").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("t").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(9 * shared >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def similar_links(docs: DataFrame, fp: DataFrame, paired: int = PAIRED) -> DataFrame:
@@ -118,14 +121,10 @@ def similar_links(docs: DataFrame, fp: DataFrame, paired: int = PAIRED) -> DataF
     texts = written(fp.where("t is not null").groupBy("t", "x").agg(F.min("fp").alias("fp")), "jaccardtexts")
     one = written(texts.groupBy("t").agg(F.min("fp").alias("one")), "jaccardones")
     same = texts.join(one, "t").where("fp <> one").select(F.col("one").alias("a"), F.col("fp").alias("b"))
-    posts = written(_postings(docs), "jaccardposts")
-    live = posts.groupBy("tok").agg(F.min("t").alias("hub"), F.max("t").alias("top")).where("hub <> top").select("tok", "hub")
-    met = written(posts.join(live, "tok").distinct(), "jaccardmet")
-    sized = met.groupBy("tok").agg(F.count("*").alias("size"))
-    met = written(met.join(sized, "tok"), "jaccardlists")
-    small = met.where(F.col("size") <= paired).groupBy("tok").agg(F.array_sort(F.collect_list(F.struct("t", "n", "pos"))).alias("l"))
-    small = small.select(F.posexplode("l").alias("i", "a"), "l").select("a", F.explode(F.expr("slice(l, i + 2, size(l))")).alias("b"))
-    full = met.where(F.col("size") > paired)
+    lists = _postings(docs).groupBy("tok").agg(F.collect_set(F.struct("t", "n", "pos")).alias("l")).where("size(l) > 1")
+    lists = written(lists.select("tok", F.array_sort("l").alias("l")), "jaccardlists")
+    small = lists.where(F.size("l") <= paired).select(F.posexplode("l").alias("i", "a"), "l").select("a", F.explode(F.expr("slice(l, i + 2, size(l))")).alias("b"))
+    full = lists.where(F.size("l") > paired).select("tok", F.col("l")[0]["t"].alias("hub"), F.explode("l").alias("e")).select("tok", "hub", "e.*")
     stars = full.where("hub <> t").select(F.col("hub").alias("a"), F.col("t").alias("b"))
     pairs = written(small.where(_CAN).select(F.col("a.t").alias("a"), F.col("b.t").alias("b")).unionByName(stars).distinct(), "jaccardpairs")
     good = written(_verified(pairs, docs, texts), "jaccardgood")

@@ -1,16 +1,19 @@
 """Secret scans that unwrap nested encodings.
 
 Each text starts a worklist of layers. A layer is scanned for secrets and then decoded in each way that
-applies: percent escapes, Unicode and HTML escapes, base64, and gzip, zlib, bzip2 or xz streams inside
-base64. Every decoded text is a new layer, until none is left. A layer whose content was seen before in
-that text is not entered again, so cycles end. Spans in a layer are mapped back to the whole text: to the
-escaped characters where single characters were escaped, to the encoded run where a run was.
+applies: percent escapes, Unicode, HTML and JSON escapes, base64, and gzip, zlib, bzip2 or xz streams inside
+any of them. Every decoded text is a new layer, until none is left. A layer whose content was seen before at
+that place is not entered again, so cycles end. Spans in a layer are mapped back to the whole text: to the
+escaped characters where single characters were escaped, to the encoded characters where a run was.
+
+A run of base64 characters may hold more than one encoded value: a path or a key may stand before it, other
+bytes after it. It is therefore decoded in all four alignments, and every stretch of readable text (UTF-8 or
+UTF-16, as long as the shortest secret) and every compressed stream inside the bytes is a layer of its own.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import codecs
 import hashlib
@@ -19,6 +22,8 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
+from itertools import chain
+from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,15 +47,26 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}+")
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|\\U00[01][0-9A-Fa-f]{5}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[A-Za-z]{2,8};")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
+_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|\\U00[01][0-9A-Fa-f]{5}|\\[\"'\\/bfnrt]|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[A-Za-z]{2,8};")
+#: Where two backslashes meet, the second may also start an escape of its own.
+_SINGLE = re.compile(_UNICODE.pattern.replace(r"""|\\["'\\/bfnrt]""", ""))
+_JSON = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
 _LINES64 = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}")
+#: Compressed streams start like this, as bytes and as characters below U+0100.
+_STARTS = rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00"
+_START = re.compile(_STARTS)
+_START_CHARS = re.compile(_STARTS.decode("latin-1"))
+_BYTE_CHARS = re.compile("[\x00-\xff]+")
+_QUOTED_BYTES = re.compile(r"(?<![^\s%\"'<>])[^\s%\"'<>]*+(?:%[0-9A-Fa-f]{2}[^\s%\"'<>]*+)++")
+#: Readable stretches in decoded bytes. The shortest secret is `token=` and eight characters.
+_READABLE = re.compile(rb"(?:[\x09-\x0d\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){14,}+")
+_WIDE = (("utf-16-le", re.compile(rb"(?:[\x09-\x0d\x20-\x7e]\x00){14,}+")), ("utf-16-be", re.compile(rb"(?:\x00[\x09-\x0d\x20-\x7e]){14,}+")))
 _URLSAFE = str.maketrans("-_", "+/", "\r\n")
 _BROKEN = (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError)
 _RUN_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-\r\n"
 _RUN = re.compile(r"[A-Za-z0-9+/_\r\n-]*")
 _SPACES = re.compile(r"\x20{2,}")
-_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f�]")
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -103,6 +119,8 @@ def _unicode(m: re.Match) -> str | None:
         if s[0] == "&":
             new = html.unescape(s)
             return None if new == s else new
+        if len(s) == 2:
+            return _JSON.get(s[1], s[1])
         if s[1] == "x":
             return bytes.fromhex(s.replace("\\x", "")).decode("latin-1")
         if s[1] == "U":
@@ -136,31 +154,75 @@ def _drained(tool, data: bytes):
             return
 
 
-def _expand(data: bytes) -> bytes | None:
-    """The content of all members of a compressed stream, None where data is none; raises MemoryError past
-    MAX_EXPANDED. What follows the last member is left out."""
-    parts, size, whole = [], 0, False
-    while (tool := _tool(data)) is not None:
+def _expand(data: bytes) -> tuple[bytes, int] | None:
+    """The content of all members of a compressed stream at the start of data, and how many bytes it takes; None
+    where data is none; raises MemoryError past MAX_EXPANDED. What a broken stream gives before it breaks counts
+    where something in it is readable."""
+    parts, size, rest, whole = [], 0, data, False
+    while (tool := _tool(rest)) is not None:
         try:
-            for part in _drained(tool, data):
+            for part in _drained(tool, rest):
                 parts.append(part)
                 size += len(part)
                 if size > MAX_EXPANDED:
                     raise MemoryError
         except _BROKEN:
+            rest = b""
             break
         if not tool.eof:
+            rest = b""
             break
-        whole, data = True, tool.unused_data.lstrip(b"\0")
-    return b"".join(parts) if whole and parts else None
-
-
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and not _CONTROL.search(text) else None
+        whole, rest = True, tool.unused_data.lstrip(b"\0")
+    out = b"".join(parts)
+    return (out, len(data) - len(rest)) if size and (whole or _READABLE.search(out)) else None
+
+
+def _texts(data: bytes) -> list[tuple[int, int, str]]:
+    """(start, end, text) of the readable stretches of data."""
+    out = [(*m.span(), m[0].decode("utf-8", "replace")) for m in _READABLE.finditer(data)]
+    if data.count(b"\0") >= 14:
+        at = 0
+        for code, pattern in _WIDE:
+            for m in pattern.finditer(data):
+                if m.start() >= at or code == "utf-16-le":
+                    out.append((*m.span(), m[0].decode(code)))
+                    at = max(at, m.end())
+    return out
+
+
+def _decoded(data: bytes) -> str:
+    """The content of a stream as text: wide where it is UTF-16, else UTF-8 with U+FFFD for bad bytes."""
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff") or 3 * data[:1000].count(b"\0") > len(data[:1000]):
+        big = data[:2] == b"\xfe\xff" or data[:2] != b"\xff\xfe" and data[:1000:2].count(b"\0") > data[1:1000:2].count(b"\0")
+        return data.decode("utf-16-be" if big else "utf-16-le", "replace")
+    return data.decode("utf-8", "replace")
+
+
+def _inside(data: bytes):
+    """(start, end, text, data) of all that bytes hold: readable stretches, and compressed streams through streams
+    in them, up to the end of data. Where a stream is too large to be held, text is None and data starts with it."""
+    at, taken = 0, []
+    while (m := _START.search(data, at)) is not None:
+        at = m.start()
+        try:
+            got, seen = _expand(data[at:] if at else data), set()
+            if got is None:
+                at += 1
+                continue
+            content, used = got
+            while (mark := hashlib.sha256(content).digest()) not in seen and (more := _expand(content)) is not None:
+                seen.add(mark)
+                content = more[0]
+        except MemoryError:
+            yield at, len(data), None, data[at:]
+            taken.append((at, len(data)))
+            break
+        yield at, len(data), _decoded(content), None
+        taken.append((at, at + max(used, 1)))
+        at = taken[-1][1]
+    for a, b, text in _texts(data):
+        if not any(x <= a and b <= y for x, y in taken):
+            yield a, b, text, None
 
 
 class _Found:
@@ -203,21 +265,25 @@ class _Found:
 
 
 class _Run:
-    """The kinds inside a base64 run that passes in parts."""
+    """The kinds inside a base64 run that passes in parts, in all four alignments."""
 
     def __init__(self, kinds: set):
-        self.inner, self.rest = _Stream(kinds), ""
+        self.inner, self.rest, self.begun = [_Stream(kinds) for _ in range(4)], [""] * 4, False
 
     def feed(self, part: str) -> None:
-        self.rest += part.translate(_URLSAFE)
-        whole = len(self.rest) // 4 * 4
-        self.inner.feed(base64.b64decode(self.rest[:whole]))
-        self.rest = self.rest[whole:]
+        part = part.translate(_URLSAFE)
+        for k in range(4):
+            rest = self.rest[k] + (part if self.begun else part[k:])
+            whole = len(rest) // 4 * 4
+            self.inner[k].feed(base64.b64decode(rest[:whole]))
+            self.rest[k] = rest[whole:]
+        self.begun = True
 
     def close(self) -> None:
-        if len(self.rest) > 1:
-            self.inner.feed(base64.b64decode(self.rest + "=" * (-len(self.rest) % 4)))
-        self.inner.close()
+        for k in range(4):
+            if len(self.rest[k]) > 1:
+                self.inner[k].feed(base64.b64decode(self.rest[k] + "=" * (-len(self.rest[k]) % 4)))
+            self.inner[k].close()
 
 
 class _Stream:
@@ -265,34 +331,53 @@ class _Stream:
             self.inner.close()
 
 
-def _bytes_in(token: str) -> bytes | None:
-    """What base64 encodes, None where token is none."""
-    plain = token.translate(_URLSAFE).rstrip("=")
-    if len(plain) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(plain + "=" * (-len(plain) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+def _aligned(plain: str, k: int) -> bytes:
+    """What base64 characters encode from the k-th on."""
+    part = plain[k:]
+    part = part[:-1] if len(part) % 4 == 1 else part
+    return base64.b64decode(part + "=" * (-len(part) % 4))
 
 
-def _kinds_in(token: str) -> set:
-    """The kinds inside base64 whose streams are too large to be held, in all of their layers."""
+def _kinds_in(data: bytes) -> set:
+    """The kinds inside a compressed stream that is too large to be held, in all of its layers."""
     stream = _Stream(kinds := set())
-    stream.feed(_bytes_in(token))
+    for k in range(0, len(data), PIECE):
+        stream.feed(data[k : k + PIECE])
     stream.close()
     return kinds
 
 
-def _unwrap(token: str) -> str | None:
-    """The text inside base64, through any compressed streams."""
-    if (data := _bytes_in(token)) is None:
-        return None
-    seen = set()
-    while (mark := hashlib.sha256(data).digest()) not in seen and (more := _expand(data)) is not None:
-        seen.add(mark)
-        data = more
-    return _readable(data)
+def _encoded(now: str):
+    """(start, end, text, data) of all that base64 runs of a text hold, as `_inside` gives them."""
+    for pattern in (_BASE64, _LINES64) if "\n" in now else (_BASE64,):
+        for m in pattern.finditer(now):
+            token = m[0].rstrip("=")
+            plain = token.translate(_URLSAFE)
+            places = [i for i, c in enumerate(token) if c not in "\r\n"] if len(plain) < len(token) else range(len(plain))
+            for k in range(min(4, len(plain))):
+                data = _aligned(plain, k)
+                for a, b, text, raw in _inside(data):
+                    first, last = k + a * 4 // 3, min(k - (-4 * b // 3), len(plain))
+                    end = m.end() if b == len(data) else m.start() + places[last - 1] + 1
+                    yield m.start() + places[first], end, text, raw
+
+
+def _raw(now: str):
+    """The same of compressed streams that stand in a text as bytes, each byte a character or escaped by percent."""
+    for m in _START_CHARS.finditer(now):
+        end = _BYTE_CHARS.match(now, m.start()).end()
+        try:
+            got = _expand(data := now[m.start() : end].encode("latin-1"))
+        except MemoryError:
+            yield m.start(), end, None, data
+            continue
+        if got is not None:
+            yield m.start(), m.start() + got[1], _decoded(got[0]), None
+    if "%" in now:
+        for m in _QUOTED_BYTES.finditer(now):
+            data = unquote_to_bytes(m[0])
+            if _START.search(data):
+                yield from ((*m.span(), text, raw) for _, _, text, raw in _inside(data))
 
 
 def layers(text: str):
@@ -304,22 +389,18 @@ def layers(text: str):
         now, up = work.pop()
         large, refused = [], 0
         fresh = []
-        for mark, pattern, decode in (("%", _PERCENT, _percent), ("\\&", _UNICODE, _unicode)):
-            if any(c in now for c in mark):
+        for marks, pattern, decode in ((("%",), _PERCENT, _percent), (("\\", "&"), _UNICODE, _unicode), (("\\\\",), _SINGLE, _unicode)):
+            if any(c in now for c in marks):
                 runs = [(*m.span(), new) for m in pattern.finditer(now) if (new := decode(m)) is not None]
                 if runs:
                     whole = _Whole(up, now, runs)
                     fresh.append((whole.text, whole.up))
-        for pattern in (_BASE64, _LINES64) if "\n" in now else (_BASE64,):
-            for m in pattern.finditer(now):
-                try:
-                    inner = _unwrap(m[0])
-                except MemoryError:
-                    refused += 1
-                    large += [(kind, *up(*m.span())) for kind in _kinds_in(m[0])]
-                    continue
-                if inner is not None:
-                    fresh.append((inner, lambda a, b, to=up(*m.span()): to))
+        for a, b, inner, data in chain(_encoded(now), _raw(now)):
+            if inner is not None:
+                fresh.append((inner, lambda a, b, to=up(a, b): to))
+            else:
+                refused += 1
+                large += [(kind, *up(a, b)) for kind in _kinds_in(data)]
         for layer in fresh:
             mark = hashlib.sha256(layer[0].encode("utf-8", "surrogatepass")).digest()
             # runs with the same content at other places are layers of their own: the place is part of the mark

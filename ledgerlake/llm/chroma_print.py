@@ -6,15 +6,14 @@ compared by sixteen filters. Each comparison is quantised to two bits in Gray co
 integer for each window.
 
 Recordings with equal fingerprints form a class and are compared once. Query classes are taken in blocks of
-bounded size. For every other class, equal integers vote for offsets, the offset with most votes is taken
+bounded size. For every other class, equal integers vote for offsets, the offsets with most votes are taken
 for each query, and the pair is aligned where the bits differ little over the whole overlap.
 """
 
 from __future__ import annotations
 
 import hashlib
-import io
-import wave
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +28,8 @@ WINDOW = 16
 BIT_ERROR, OVERLAP = 0.15, 16
 #: The same share where a recording has fewer windows than OVERLAP and overlaps with all of them.
 SHORT_ERROR = 0.125
+#: Offsets of a pair that are verified: those with most votes, and all that tie with the last of them.
+VERIFIED = 8
 #: Integers of query fingerprints in a block. A block is broadcast.
 BLOCK = 1_000_000
 #: Votes that are held at once.
@@ -124,28 +125,71 @@ class Printer:
         return out
 
 
-def samples(data: bytes | None) -> np.ndarray:
-    """Mono samples of WAV data (8 or 16 bit, channels averaged), or of bytes as unsigned 8-bit samples."""
+def _wave(data: bytes) -> tuple[np.ndarray, int] | None:
+    """(mono samples, rate) of RIFF WAVE data with linear PCM of 8 to 32 bits or floats; None for anything else.
+    A data chunk that ends early counts as far as it goes."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+        return None
+    at, form = 12, None
+    while at + 8 <= len(data):
+        name, size = struct.unpack_from("<4sI", data, at)
+        at += 8
+        if name == b"fmt " and size >= 16 and at + 16 <= len(data):
+            code, channels, rate, _, align, bits = struct.unpack_from("<HHIIHH", data, at)
+            if code == 0xFFFE and size >= 26 and at + 26 <= len(data):
+                code = struct.unpack_from("<H", data, at + 24)[0]
+            form = (code, channels, rate, bits // 8)
+            if not channels or not rate or align != channels * (bits // 8) or (code, bits) not in ((1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)):
+                return None
+        elif name == b"data":
+            if form is None:
+                return None
+            code, channels, rate, wide = form
+            raw = data[at : at + size]
+            raw = raw[: len(raw) // (channels * wide) * channels * wide]
+            if code == 3:
+                x = np.frombuffer(raw, f"<f{wide}").astype(np.float32)
+                x = np.clip(np.nan_to_num(x), -1, 1)
+            elif wide == 1:
+                x = np.frombuffer(raw, np.uint8).astype(np.float32) / 128 - 1
+            elif wide == 3:
+                b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+                x = (((b[:, 2] << 24) | (b[:, 1] << 16) | (b[:, 0] << 8)) >> 8).astype(np.float32) / (1 << 23)
+            else:
+                x = np.frombuffer(raw, f"<i{wide}").astype(np.float32) / (1 << (8 * wide - 1))
+            return x.reshape(-1, channels).mean(1, dtype=np.float32), rate
+        at += size + size % 2
+    return None
+
+
+def samples(data: bytes | None, rate: int = 8000) -> np.ndarray:
+    """Mono samples at `rate`: of WAV data (channels averaged, other rates resampled linearly), or of any other
+    bytes, broken or unusual WAV data included, as unsigned 8-bit samples. Null and no bytes have none."""
     if not data:
         return np.zeros(0, np.float32)
-    if data[:4] == b"RIFF" and data[8:12] == b"WAVE":
-        with wave.open(io.BytesIO(data)) as w:
-            raw, wide, channels = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels()
-        x = np.frombuffer(raw, np.uint8 if wide == 1 else "<i2").astype(np.float32)
-        x = x / 128 - 1 if wide == 1 else x / 32768
-        return x[: len(x) // channels * channels].reshape(-1, channels).mean(1)
-    return np.frombuffer(data, np.uint8).astype(np.float32) / 128 - 1
+    if (wave := _wave(data)) is None:
+        return np.frombuffer(data, np.uint8).astype(np.float32) / 128 - 1
+    x, own = wave
+    if own == rate or not len(x):
+        return x
+    return np.interp(np.arange(max(1, len(x) * rate // own)) * (own / rate), np.arange(len(x)), x).astype(np.float32)
 
 
 def fingerprints(media: DataFrame, rec_id: str, audio: Column, rate: int = 8000, frame: int = 128, hop: int = 32) -> DataFrame:
-    """(rec_id, print array<int>, digest) of each row; digest is equal where fingerprints are."""
+    """(rec_id, print array<int>, digest) of each row; digest is equal where fingerprints are.
+
+    Null and empty audio have an empty fingerprint; any other bytes have one, see `samples`; recordings shorter
+    than a window are filled up with silence. Null ids and repeated rows are rows like any other, further columns
+    are ignored, an empty table gives an empty result. A recording's fingerprint is a cell: of 2 GB of 8-bit
+    samples it has 64 million integers.
+    """
 
     def run(batches):
         printer = Printer(rate, frame, hop)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                got = printer.prints([samples(x.as_py()) for x in part.column(1)])
+                got = printer.prints([samples(x.as_py(), rate) for x in part.column(1)])
                 marks = [hashlib.md5(p.tobytes()).hexdigest() for p in got]
                 offsets = np.concatenate(([0], np.cumsum([len(p) for p in got]))).astype(np.int32)
                 ints = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(got).astype(np.int32)))
@@ -191,17 +235,20 @@ class Block:
         return keys >> 32, (keys & 0xFFFFFFFF) - (1 << 31), sums
 
     def aligned(self, own: int, print_: np.ndarray) -> list[dict]:
-        """Alignments with the block's queries other than `own`: of the offsets with most votes the one with
-        fewest differing bits (then the smallest) decides; it counts where the whole overlap agrees well enough.
+        """Alignments with the block's queries other than `own`: of the VERIFIED offsets with most votes the one
+        with fewest differing bits (then the smallest) decides; it counts where the whole overlap agrees well enough.
         Recordings of fewer than OVERLAP windows align over their whole length."""
         query, offset, votes = self.votes(print_)
         if not len(query):
             return []
-        most = np.zeros(len(self.ids), np.int64)
-        np.maximum.at(most, query, votes)
+        order = np.lexsort((-votes, query))  # each query's offsets by votes; the VERIFIED-th has the least that count
+        first = np.nonzero(np.concatenate(([True], query[order][1:] != query[order][:-1])))[0]
+        ends = np.concatenate((first[1:], [len(order)]))
+        least = np.zeros(len(self.ids), np.int64)
+        least[query[order][first]] = votes[order][np.minimum(first + VERIFIED, ends) - 1]
         low = np.maximum(0, offset)
         overlap = np.minimum(self.sizes[query], len(print_) + offset) - low
-        tried = np.nonzero((votes == most[query]) & (overlap >= np.minimum(OVERLAP, np.minimum(self.sizes[query], len(print_)))) & (self.keys[query] != own))[0]
+        tried = np.nonzero((votes >= least[query]) & (overlap >= np.minimum(OVERLAP, np.minimum(self.sizes[query], len(print_)))) & (self.keys[query] != own))[0]
         best: dict[int, tuple] = {}
         ends = np.cumsum(overlap[tried])
         k = 0

@@ -61,7 +61,7 @@ SQL: dict[str, str] = {
     "op3_source_mixing": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce('=' || source, '-') AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS x,
-         md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS mark
+         md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) || md5(coalesce(text, '')) AS mark
   FROM documents
 ), t AS (SELECT k, CAST(sum(x) AS BIGINT) AS t FROM d GROUP BY k HAVING sum(x) > 0
 ), p AS (SELECT k, t, t / CAST(sum(t) OVER () AS DOUBLE) AS p, CAST(sum(t) OVER () AS DOUBLE) AS budget FROM t

@@ -88,8 +88,10 @@ def _key(source: str) -> Column:
 
 
 def _mark(doc_id: str, text: str) -> Column:
-    """What orders a source's documents at random: a hash of the id, or of the text where there is none."""
-    return F.md5(F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))))
+    """What orders a source's documents at random: a hash of the id, or of the text where there is none, and after
+    it a hash of the text, which tells rows with the same id apart."""
+    own = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return F.concat(F.md5(F.coalesce(F.col(doc_id).cast("string"), own)), own)
 
 
 def _range_of(mark: str, ranges: str) -> Column:
@@ -145,8 +147,9 @@ def mixed(docs: DataFrame, budget: int | None = None, evenness: float = EVENNESS
 
     Of each source only the place where its last, partial time through ends is worked out, from hashes and
     counts. A table of one row a source tells each document how often it stays; that table is broadcast
-    where it has at most MAX_BROADCAST rows and joined by shuffle beyond. Documents that tie with the place
-    in order (repeated ids) all stay out of the last time through. Otherwise the cases are as in `mixture`.
+    where it has at most MAX_BROADCAST rows and joined by shuffle beyond. Only rows equal in id and text tie with
+    the place in order; they stay in or out of the last time through together. Otherwise as in `mixture`. Rows
+    come in the order of docs: blocks are left to `mixture`.
     """
     names = docs.columns
     key, mark, whole, cut = (free_name(names, x) for x in ("__key", "__mark", "__whole", "__cut"))

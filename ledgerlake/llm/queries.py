@@ -105,26 +105,37 @@ WITH RECURSIVE v AS (
 SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
 FROM v JOIN c ON v.vec_id = c.vec_id LEFT JOIN n ON v.vec_id = n.vec_id
 """,
-    "op9_warc_fixity": """
-WITH p AS (
-  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
-         CASE WHEN sha256(CAST(page_id AS VARCHAR)) LIKE 'a7%' THEN reverse(coalesce(html, '')) ELSE coalesce(html, '') END AS other
-  FROM pages
+    "op9_warc_fixity": r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages
+), r AS (
+  SELECT CASE WHEN (page_id >> 1) % 43 = 2 THEN xor(page_id, 1) ELSE page_id END AS page_id, url,
+         CASE WHEN page_id % 31 = 7 THEN substr(html, 2) || 'x' ELSE html END AS html, unnest(range(CASE WHEN page_id % 41 = 3 THEN 2 ELSE 1 END)) AS again
+  FROM p WHERE coalesce(page_id % 37, 0) <> 5
+), b AS (
+  SELECT 1 AS side, page_id, url, html FROM p UNION ALL SELECT 2, page_id, url, html FROM r
 ), t AS (
-  SELECT page_id, coalesce(page_id, 0) >> 10 AS file_no, chr(13) || chr(10) AS nl,
-         'WARC/1.1' || nl || 'WARC-Type: response' || nl || 'WARC-Target-URI: ' || url || nl || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' AS head,
-         head || octet_length(encode(html)) || nl || nl || html || nl || nl AS a,
-         head || octet_length(encode(other)) || nl || nl || other || nl || nl AS b
-  FROM p
-), h AS (SELECT page_id, file_no, sha256(a) AS sha, sha256(b) AS sha_b, octet_length(encode(a)) AS record_length FROM t
-), first AS (
-  SELECT page_id, file_no, sha, record_length, row_number() OVER w - 1 AS seq,
+  SELECT side, page_id, chr(13) || chr(10) AS nl,
+         'WARC/1.1' || nl || 'WARC-Type: response' || nl || 'WARC-Target-URI: ' || url || nl || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: '
+         || octet_length(encode(html)) || nl || nl || html || nl || nl AS record
+  FROM b
+), h AS (SELECT side, page_id, sha256(record) AS sha, octet_length(encode(record)) AS record_length FROM t
+), f AS (
+  SELECT *, coalesce(page_id >> 10, -1 - ((strpos('0123456789abcdef', sha[1]) - 1) * 256 + (strpos('0123456789abcdef', sha[2]) - 1) * 16 + strpos('0123456789abcdef', sha[3]) - 1)) AS file_no,
+         coalesce(page_id & 1023, 1024) AS slot
+  FROM h
+), n AS (
+  SELECT file_no, slot, page_id, sha, any_value(record_length) AS record_length, count(*) FILTER (side = 1) AS n1, count(*) FILTER (side = 2) AS n2
+  FROM f GROUP BY file_no, slot, page_id, sha
+), i AS (SELECT file_no, slot, bool_or(n2 > n1) AS instead FROM n GROUP BY file_no, slot
+), own AS (
+  SELECT page_id, file_no, slot, sha, record_length, row_number() OVER w - 1 AS seq, row_number() OVER (PARTITION BY file_no, slot, sha) - 1 AS copy,
          coalesce(sum(record_length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS record_offset
-  FROM h WINDOW w AS (PARTITION BY file_no ORDER BY page_id NULLS FIRST, sha)
-), second AS (
-  SELECT file_no, sha_b, row_number() OVER (PARTITION BY file_no ORDER BY page_id NULLS FIRST, sha_b) - 1 AS seq FROM h
+  FROM f WHERE side = 1 WINDOW w AS (PARTITION BY file_no ORDER BY slot, sha)
 )
-SELECT page_id, file_no, seq, CAST(record_offset AS BIGINT) AS record_offset, CAST(record_length AS BIGINT) AS record_length, sha, sha <> sha_b AS damaged
-FROM first JOIN second USING (file_no, seq)
+SELECT own.page_id, own.file_no, CAST(seq AS BIGINT) AS seq, CAST(record_offset AS BIGINT) AS record_offset, CAST(own.record_length AS BIGINT) AS record_length, own.sha,
+       CASE WHEN copy < n2 THEN 'same' WHEN instead THEN 'changed' ELSE 'missing' END AS state
+FROM own JOIN n ON n.file_no = own.file_no AND n.slot = own.slot AND n.sha = own.sha JOIN i ON i.file_no = own.file_no AND i.slot = own.slot
+UNION ALL
+SELECT page_id, file_no, NULL, NULL, CAST(record_length AS BIGINT), sha, 'extra' FROM (SELECT *, unnest(range(n1, n2)) AS copy FROM n WHERE n2 > n1) e
 """,
 }

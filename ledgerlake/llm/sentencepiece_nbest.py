@@ -5,20 +5,24 @@ U+2581; no piece of the vocabulary crosses such a cut, so the best segmentations
 of the best segmentations of its cuts. Within a cut all vocabulary pieces form a lattice. A forward Viterbi
 pass gives the best score of every prefix. A backward A-star search from the end uses those scores as its
 heuristic; being exact, it takes each step along a best completion and only sets aside the next best arc
-at each place, so finishing a path costs as many heap entries as it has pieces.
-
-A segmentation's score is the sum of its pieces' scores in the model file, and a character that has no
-piece of its own falls back to one piece for each UTF-8 byte, each scored a little below the least piece.
+at each place. Arcs are read off the vocabulary where the search comes by, and of what is set aside only as much
+is held as can still be among the N best, so a cut of any length needs a number for each character.
+
+A segmentation's score is the sum of its pieces' scores. A unigram model's scores are taken as they are. The scores
+of a BPE model are ranks of merges, not logarithms: there a piece of rank r scores -log(r + 2.7) - 10, which is
+Zipf's law with a cost for each piece. About five of six word occurrences are then segmented as by the library
+(three of five with the ranks themselves); in the others merging by rank does not give the best path. A character that has no piece of
+its own falls back to one piece for each UTF-8 byte, each scored a little below the least piece.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from array import array
 from functools import lru_cache
 from itertools import count
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +39,11 @@ SPACE = "▁"
 REMEMBERED_WORDS, REMEMBERED_SIZE = 900_000, 16_000_000
 #: How far below the least one-character piece a byte piece scores.
 BYTE_PENALTY = 10.0
+#: Shift of Zipf's law and cost of a piece, where scores are ranks; scores are multiples of 1 / GRAIN, so sums are exact.
+ZIPF, PIECE_COST, GRAIN = 2.7, 10.0, 1 << 20
+#: Characters from which a cut's arcs are not held and its segmentations are kept for the document.
+LONG = 1024
 _NONE = float("-inf")
-_BY_SCORE = itemgetter(0)
 _CUT = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -60,17 +67,21 @@ class PieceLattice:
             else:
                 found[piece] = (k, model.get_score(k))
                 self.content.append(piece.replace(SPACE, " ").encode())
+        if all(score == round(score) <= 0 for _, score in found.values()):
+            found = {p: (k, -math.log(ZIPF - score) - PIECE_COST) for p, (k, score) in found.items()}
+        found = {p: (k, round(score * GRAIN) / GRAIN) for p, (k, score) in found.items()}
         crossing = [p for p in found if re.search(f"[^{SPACE}]{SPACE}", p)]
         if crossing:
             raise ValueError(f"pieces cross word boundaries: {crossing[:3]}")
         self._byte_score = min(s for p, (_, s) in found.items() if len(p) == 1) - BYTE_PENALTY
-        #: Pieces by their characters: nested tables, a piece's (id, score) under the empty text.
-        self._trie: dict = {}
+        #: Pieces by their characters, from the front and from the back: nested tables, a piece's (id, score) under
+        #: the empty text.
+        self._trie, self._back = {}, {}
         for piece, what in found.items():
-            node = self._trie
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = what
+            for node, order in ((self._trie, piece), (self._back, piece[::-1])):
+                for c in order:
+                    node = node.setdefault(c, {})
+                node[""] = what
         self._forget()
 
     def _forget(self) -> None:
@@ -79,45 +90,72 @@ class PieceLattice:
         self._number: dict[str, int] = {}
         self._scores, self._gaps, self._pieces, self._starts, self._size = array("d"), array("d"), array("i"), array("q", [0]), 0
 
-    def _arcs(self, cut: str):
-        """Arcs into each place, (minus the best score through it so far, start, ids, score), and the best
-        score of each prefix."""
+    def _prefixes(self, cut: str, arcs: list | None) -> list | array:
+        """The best score of each prefix. arcs, where given, gets the arcs into each place as `_into` has them,
+        in no order."""
         n, trie = len(cut), self._trie
-        best = [_NONE] * (n + 1)
+        best = [_NONE] * (n + 1) if arcs is not None else array("d", [_NONE]) * (n + 1)
         best[0] = 0.0
-        arcs: list[list] = [[] for _ in range(n + 1)]
         for i in range(n):
-            so_far, node, j = best[i], trie, i
+            so_far, node, j, single = best[i], trie, i, False
             while j < n and (node := node.get(cut[j])) is not None:
                 j += 1
                 if "" in node:
                     ids, score = node[""]
-                    arcs[j].append((-so_far - score, i, ids, score))
+                    single = single or j == i + 1
+                    if arcs is not None:
+                        arcs[j].append((-so_far - score, i, ids, score))
                     if so_far + score > best[j]:
                         best[j] = so_far + score
-            if not arcs[i + 1] or arcs[i + 1][-1][1] != i:
-                data = cut[i].encode("utf-8", "replace")
-                score = self._byte_score * len(data)
-                arcs[i + 1].append((-so_far - score, i, tuple(self._bytes[b] for b in data), score))
-                if so_far + score > best[i + 1]:
-                    best[i + 1] = so_far + score
-        return arcs, best
+            if not single:
+                arc = self._fallback(cut, i, so_far)
+                if arcs is not None:
+                    arcs[i + 1].append(arc)
+                if -arc[0] > best[i + 1]:
+                    best[i + 1] = -arc[0]
+        return best
+
+    def _fallback(self, cut: str, i: int, so_far: float) -> tuple:
+        """The arc of a character that has no piece of its own."""
+        data = cut[i].encode("utf-8", "replace")
+        score = self._byte_score * len(data)
+        return -so_far - score, i, tuple(self._bytes[b] for b in data), score
+
+    def _into(self, cut: str, best: list | array, place: int) -> list[tuple]:
+        """Arcs into a place, best first: (minus the best score through it so far, start, ids, score)."""
+        node, out, i = self._back, [], place
+        while i and (node := node.get(cut[i - 1])) is not None:
+            i -= 1
+            if "" in node:
+                ids, score = node[""]
+                out.append((-best[i] - score, i, ids, score))
+        if not out or out[0][1] != place - 1:
+            out.append(self._fallback(cut, place - 1, best[place - 1]))
+        out.sort()
+        return out
 
     def nbest(self, cut: str, n_best: int | None = None) -> list[tuple[float, list[int]]]:
         """The n_best segmentations of one cut by falling score; equal scores come in a fixed order."""
-        arcs, best = self._arcs(cut)
-        in_order = [False] * len(arcs)
+        wanted = n_best or self.n_best
+        arcs = [[] for _ in range(len(cut) + 1)] if len(cut) < LONG else None
+        best = self._prefixes(cut, arcs)
+        in_order = [False] * len(arcs) if arcs else None
         heap, ticket, out = [(-best[-1], 0, len(cut), 0, 0.0, None)], count(1), []
-        while heap and len(out) < (n_best or self.n_best):
+        while heap and len(out) < wanted:
             _, _, place, k, done, tail = heapq.heappop(heap)
             while place:
-                into = arcs[place]
-                if not in_order[place]:
-                    in_order[place] = True
-                    if len(into) > 1:
-                        into.sort(key=_BY_SCORE)
+                if arcs is None:
+                    into = self._into(cut, best, place)
+                else:
+                    into = arcs[place]
+                    if not in_order[place]:
+                        in_order[place] = True
+                        if len(into) > 1:
+                            into.sort()
                 if k + 1 < len(into):
                     heapq.heappush(heap, (into[k + 1][0] - done, next(ticket), place, k + 1, done, tail))
+                    if arcs is None and len(heap) > 256:
+                        heap = heapq.nsmallest(wanted - len(out), heap)
                 _, place, ids, score = into[k]
                 done, tail, k = done + score, (ids, tail), 0
             path = []
@@ -127,13 +165,33 @@ class PieceLattice:
             out.append((done, path))
         return out
 
-    def _word(self, key: str) -> int:
-        """The number of the cut made of U+2581 and key, which is segmented and remembered."""
-        found = self.nbest(SPACE + key, 2)
+    def _best(self, cut: str) -> tuple[float, list[int], float]:
+        """The best segmentation of a short cut, and the score of the next: the search's first path, with the least
+        arc that it sets aside."""
+        arcs = [[] for _ in range(len(cut) + 1)]
+        best = self._prefixes(cut, arcs)
+        place, done, aside, path = len(cut), 0.0, -_NONE, []
+        while place:
+            into = arcs[place]
+            if len(into) > 1:
+                into.sort()
+                aside = min(aside, into[1][0] - done)
+            _, place, ids, score = into[0]
+            done += score
+            path.extend(ids[::-1]) if isinstance(ids, tuple) else path.append(ids)
+        return best[-1], path[::-1], -aside
+
+    def _word(self, key: str, ways: dict) -> int:
+        """The number of the cut made of U+2581 and key, which is segmented and remembered; ways keeps all of a long one."""
+        if len(key) < LONG:
+            score, path, after = self._best(SPACE + key)
+        else:
+            found = ways[key] = self.nbest(SPACE + key)
+            (score, path), after = found[0], found[1][0] if len(found) > 1 else _NONE
         n = self._number[key] = len(self._scores)
-        self._scores.append(found[0][0])
-        self._gaps.append(found[0][0] - found[1][0] if len(found) > 1 else -_NONE)
-        self._pieces.extend(found[0][1])
+        self._scores.append(score)
+        self._gaps.append(score - after)
+        self._pieces.extend(path)
         self._starts.append(len(self._pieces))
         self._size += len(key)
         return n
@@ -157,12 +215,12 @@ class PieceLattice:
             return np.zeros(0, np.int32), [], []
         if len(self._scores) > REMEMBERED_WORDS or max(self._size, len(self._pieces)) > REMEMBERED_SIZE:
             self._forget()
-        number = self._number
+        number, kept = self._number, {}
         try:
             words = np.fromiter(map(number.__getitem__, keys), np.int64, len(keys))
         except KeyError:
             get = number.get
-            words = np.array([n if (n := get(k)) is not None else self._word(k) for k in keys], np.int64)
+            words = np.array([n if (n := get(k)) is not None else self._word(k, kept) for k in keys], np.int64)
         top = float(np.frombuffer(self._scores)[words].sum())
         # only the cuts with the smallest gaps to their second best can change within the N best
         gaps, options = np.frombuffer(self._gaps)[words], []
@@ -171,7 +229,7 @@ class PieceLattice:
             if gaps[k] == -_NONE:
                 break
             gaps[k] = -_NONE
-            ways = self.nbest(SPACE + keys[k])
+            ways = kept.get(keys[k]) or self.nbest(SPACE + keys[k])
             options.append(([ways[0][0] - x for x, _ in ways[1:]], k, ways))
         heap, seen, scores, changes = [(0.0, (0,) * len(options))], set(), [], []
         while heap and len(scores) < self.n_best:
@@ -218,8 +276,10 @@ def encode_documents(docs: DataFrame, model: str | None = None, n_best: int = N_
     model is the path of a .model file on every worker (None: the public 32k file). nbest_scores falls
     and is as long as there are segmentations, n_best at most. round_trip: decoding gives the text back
     (with U+2581 read as a space). Null text counts as empty: no pieces, no scores. Repeated rows, null
-    ids and very long texts are rows like any other.
+    ids and very long texts are rows like any other. Added columns whose names are in `keep` get underscores.
+    An empty table gives an empty result.
     """
+    added = [free_name(list(keep), n) for n, _, _ in _ADDED]
 
     def run(batches):
         import public_tokenizers
@@ -239,22 +299,25 @@ def encode_documents(docs: DataFrame, model: str | None = None, n_best: int = N_
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
             cols = [ids, pa.array(sizes), *(pa.array(x, t) for x, (_, _, t) in zip((scores, changes, sound), _ADDED[2:]))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], names=[*keep, *(n for n, _, _ in _ADDED)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], names=[*keep, *added])
 
     got = docs.select(*keep, as_text(text).alias(free_name(list(keep), "__text")))
-    return got.mapInArrow(run, T.StructType([*got.schema.fields[: len(keep)], *(T.StructField(n, t) for n, t, _ in _ADDED)]))
+    return got.mapInArrow(run, T.StructType([*got.schema.fields[: len(keep)], *(T.StructField(n, t) for n, (_, t, _) in zip(added, _ADDED))]))
 
 
 def decode_documents(encoded: DataFrame, model: str | None = None, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` with the text of `ids`; null ids decode to the empty text."""
+    """The columns `keep` with the text of `ids`, row by row; null ids decode to the empty text. The text's column is
+    called text, with underscores where `keep` has one of that name. An empty table gives an empty result."""
+    out, held = free_name(list(keep), "text"), free_name(list(keep), "__ids")
 
     def run(batches):
         import public_tokenizers
 
+        enter("sentencepiece", lattice.cache_clear)
         pieces = lattice(model or public_tokenizers.path(DEFAULT_MODEL), N_BEST)
         for batch in batches:
             texts = [pieces.decode(x.as_py() or []) for x in batch.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], names=[*keep, "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], names=[*keep, out])
 
-    got = encoded.select(*keep, F.col(ids).alias("__ids"))
-    return got.mapInArrow(run, T.StructType([*got.schema.fields[: len(keep)], T.StructField("text", T.StringType())]))
+    got = encoded.select(*keep, F.col(ids).alias(held))
+    return got.mapInArrow(run, T.StructType([*got.schema.fields[: len(keep)], T.StructField(out, T.StringType())]))

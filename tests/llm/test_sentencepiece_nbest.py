@@ -1,4 +1,7 @@
+import math
 import random
+import time
+import tracemalloc
 
 import public_tokenizers
 import sentencepiece
@@ -7,7 +10,7 @@ from ledgerlake.llm.sentencepiece_nbest import DEFAULT_MODEL, SPACE, PieceLattic
 
 PATH = public_tokenizers.path(DEFAULT_MODEL)
 MODEL = sentencepiece.SentencePieceProcessor(model_file=PATH)
-PIECES = {MODEL.id_to_piece(k): (k, MODEL.get_score(k)) for k in range(MODEL.get_piece_size()) if not (MODEL.is_byte(k) or MODEL.is_control(k) or MODEL.is_unknown(k))}
+PIECES = {MODEL.id_to_piece(k): (k, round((-math.log(2.7 - MODEL.get_score(k)) - 10) * 2**20) / 2**20) for k in range(MODEL.get_piece_size()) if not (MODEL.is_byte(k) or MODEL.is_control(k) or MODEL.is_unknown(k))}
 BYTE = min(s for p, (_, s) in PIECES.items() if len(p) == 1) - 10.0
 LATTICE = PieceLattice(PATH)
 
@@ -67,6 +70,52 @@ def test_long_cuts_are_linear():
         assert LATTICE.decode(ids.tolist()) == text and len(scores) == 4
 
 
+def test_one_very_long_cut_needs_little_memory():
+    rng = random.Random(5)
+    for text in ("".join(rng.choice("ABCDEFGHabcdefgh0123+/") for _ in range(100_000)), "日本語の文" * 20_000, "ab" * 50_000):
+        tracemalloc.start()
+        began = time.perf_counter()
+        ids, scores, _ = LATTICE.encode(text)
+        peak, took = tracemalloc.get_traced_memory()[1], time.perf_counter() - began
+        tracemalloc.stop()
+        assert LATTICE.decode(ids.tolist()) == text and len(scores) in (1, 4)
+        assert peak < 300 * len(text) and took < 120
+
+
+def test_long_cuts_agree_with_short_ones():
+    rng = random.Random(3)
+    for _ in range(20):
+        cut = SPACE + "".join(rng.choice("theran1é☃") for _ in range(rng.randrange(1100, 1300)))
+        whole, scores = LATTICE.nbest(cut), []
+        for part in (cut,):
+            arcs = [[] for _ in range(len(part) + 1)]  # the four best scores of every prefix
+            arcs[0] = [0.0]
+            for j in range(1, len(part) + 1):
+                into = []
+                for i in range(max(0, j - 16), j):
+                    if part[i:j] in PIECES:
+                        into += [x + PIECES[part[i:j]][1] for x in arcs[i]]
+                if part[j - 1] not in PIECES:
+                    into += [x + BYTE * len(part[j - 1].encode()) for x in arcs[j - 1]]
+                arcs[j] = sorted(into, reverse=True)[:4]
+            scores = arcs[-1]
+        assert [s for s, _ in whole] == scores
+
+
+def test_words_are_mostly_segmented_as_by_the_library(spark, sf_dir):
+    words = [w for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() for w in r.text.split()]
+    same = sum(LATTICE.nbest(SPACE + w, 1)[0][1] == MODEL.encode(w) for w in words)
+    assert same > 0.82 * len(words)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", [5]), (2, None, None)], "doc_id long, text string, ids array<int>")
+    enc = encode_documents(df, keep=("doc_id", "text", "ids"))
+    assert enc.columns[:4] == ["doc_id", "text", "ids", "ids_"]
+    back = decode_documents(enc, ids="ids_", keep=("doc_id", "text"))
+    assert back.columns == ["doc_id", "text", "text_"] and {r.doc_id: r.text_ for r in back.collect()} == {1: "a b", 2: ""}
+
+
 def test_decoding_agrees_with_the_library():
     rng = random.Random(7)
     for _ in range(300):

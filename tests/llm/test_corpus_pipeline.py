@@ -7,8 +7,8 @@ from ledgerlake.llm.quality_bayes import trained
 from ledgerlake.llm.secret_scan import masked, scan
 from ledgerlake.llm.sentencepiece_nbest import DEFAULT_MODEL, PieceLattice
 
+from .test_near_jaccard import expected as near_groups
 from .test_quality_bayes import plain as plain_quality
-from .test_simhash_golay import components, plain_fingerprint
 from .test_source_mixing import plain_exponent
 
 
@@ -23,13 +23,10 @@ def test_stages_match_brute_force(spark, sf_dir):
     assert sorted(r.doc_id for r in one.collect()) == sorted(r[0] for r in kept) and len(kept) < len(rows)
 
     two = stage["SimHash near-dedup"](spark, one, sf_dir)
-    prints = [plain_fingerprint(r[1]) for r in kept]
-    of = components(set(prints), lambda a, b: (a ^ b).bit_count() <= 2)
-    least = {}
-    for r, p in zip(kept, prints):
-        least[of[p]] = min(r[0], least.get(of[p], r[0]))
-    alone = [r for r in kept if r[0] in least.values()]
-    assert two.columns == docs.columns and sorted(r.doc_id for r in two.collect()) == sorted(least.values())
+    of = near_groups([(r[0], r[1]) for r in kept])
+    alone = [r for r in kept if of[r[0]] == r[0]]
+    assert len(alone) < len(kept)
+    assert two.columns == docs.columns and sorted(r.doc_id for r in two.collect()) == sorted(r[0] for r in alone)
 
     three = stage["secret scans"](spark, two, sf_dir)
     assert three.columns == docs.columns
@@ -65,3 +62,18 @@ def test_stages_match_brute_force(spark, sf_dir):
 def test_run_gives_the_last_stage(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert "ids" in got.columns and got.count() > 0
+
+
+def test_odd_tables_go_through_all_stages(spark, sf_dir, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, further columns, and an empty table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(None, None, None, None, None), (10**6, "", "en", "web", 0), (None, "same text here", None, "web", 14), (None, "same text here", None, "web", 14), (10**6 + 1, "word " * 60_000, "de", None, 300_000), (10**6 + 1, "another text with that id", "de", None, 25)], docs.schema)
+    for k, df in enumerate((docs.unionByName(odd).unionByName(docs.limit(5)).selectExpr("*", "1 as fp", "'x' as grp", "2 as mix_tokens"), docs.limit(0))):
+        df.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        now = df
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, f"{tmp_path}/{k}")
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert now.columns == df.columns
+        assert (now.count() > 0) == (k == 0)

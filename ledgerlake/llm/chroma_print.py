@@ -259,7 +259,7 @@ class Block:
             first = np.cumsum(n) - n
             step = np.arange(n.sum()) - np.repeat(first, n)
             theirs = self.flat[np.repeat(self.starts[query[at]] + low[at], n) + step]
-            differ = np.add.reduceat(np.bitwise_count(theirs ^ print_[np.repeat(low[at] - offset[at], n) + step]), first, dtype=np.int64) / (32 * n)
+            differ = np.add.reduceat(np.bitwise_count((theirs ^ print_[np.repeat(low[at] - offset[at], n) + step]).view(np.uint32)), first, dtype=np.int64) / (32 * n)
             for j in np.nonzero(differ <= np.where(n < OVERLAP, SHORT_ERROR, BIT_ERROR))[0].tolist():
                 i = at[j]
                 q = int(query[i])

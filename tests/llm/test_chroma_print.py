@@ -58,7 +58,7 @@ def brute(a, b, most=0.15, least=16):
     best = (2, 0)
     for d in range(-(len(b) - least), len(a) - least + 1):
         x, y = max(0, d), min(len(a), len(b) + d)
-        best = min(best, (np.bitwise_count(a[x:y] ^ b[x - d : y - d]).sum() / (32 * (y - x)), d))
+        best = min(best, (np.bitwise_count((a[x:y] ^ b[x - d : y - d]).view(np.uint32)).sum() / (32 * (y - x)), d))
     return best if best[0] <= most else None
 
 
@@ -169,7 +169,7 @@ def test_recall_on_documents(spark, sf_dir):
                 a, b = prints[q], prints[k]
                 at = np.arange(len(a))[:, None] - np.arange(len(b)) + len(b)
                 n = np.bincount(at.ravel())
-                differ = np.bincount(at.ravel(), np.bitwise_count(a[:, None] ^ b).ravel())
+                differ = np.bincount(at.ravel(), np.bitwise_count((a[:, None] ^ b).view(np.uint32)).ravel())
                 if (differ[n >= 16] <= 0.15 * 32 * n[n >= 16]).any():
                     want |= {(q, k), (k, q)}
     assert found <= want and len(want) >= 10 and len(found) >= 0.9 * len(want)

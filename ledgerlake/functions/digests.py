@@ -40,14 +40,26 @@ def crc_equal(a: Column, b: Column) -> Column:
     return F.coalesce(norm_crc(a) == norm_crc(b), F.lit(False))
 
 
-def split_bounds(low: str = "crc32", high: str = "sha256") -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """(digests of the first pass, digests that escalation adds) for checksum bounds."""
-    if low not in COST or high not in COST:
-        raise ValueError(f"unknown digest: {low}, {high}")
+def split_bounds(requested: tuple[str, ...] = COST, low: str = "crc32", high: str = "sha256") -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(digests of the first pass, digests that escalation adds) of the requested ones, in their order.
+
+    The first pass has those up to `low` in cost. Where none is that cheap, all are computed at once. A bound below
+    the other and a requested digest above `high` are errors.
+    """
+    if {low, high, *requested} - set(COST):
+        raise ValueError(f"unknown digests: {sorted({low, high, *requested} - set(COST))}")
     a, b = COST.index(low), COST.index(high)
     if a > b:
         raise ValueError(f"the least digest {low} is above the greatest {high}")
-    return (low,), COST[a + 1 : b + 1]
+    if above := [x for x in requested if COST.index(x) > b]:
+        raise ValueError(f"{above[0]} is above the greatest digest {high}")
+    first = tuple(x for x in requested if COST.index(x) <= a)
+    return (first, tuple(x for x in requested if x not in first)) if first else (tuple(requested), ())
+
+
+def primary(whole: Column, single: Column) -> Column:
+    """The digests that stand for a file: those of the whole set where it has tracks."""
+    return F.coalesce(whole, single)
 
 
 def parse_algorithms(text: str) -> tuple[str, ...]:

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Names that operating systems leave behind, and names that Windows reserves.
-JUNK_FILES = ("thumbs.db", "desktop.ini", ".ds_store", ".localized")
-JUNK_DIRS = ("__macosx", ".spotlight-v100", ".trashes", ".fseventsd", "$recycle.bin", "system volume information")
+# Names that operating systems and storage devices leave behind, and names that Windows reserves.
+JUNK_FILES = (".DS_Store", "Thumbs.db", "desktop.ini", ".localized")
+JUNK_DIRS = ("@eaDir", ".@__thumb", ".Spotlight-V100", ".Trashes", ".fseventsd", ".TemporaryItems", ".AppleDouble", ".AppleDB", ".AppleDesktop", "#recycle", "@Recently-Snapshot", "lost+found")
+JUNK_DIRS_ANY_CASE = ("$recycle.bin", "recycler", "system volume information")
 RESERVED = ("con", "prn", "aux", "nul", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10)))
 
 
@@ -33,52 +30,76 @@ def has_extension(path: Column, wanted: tuple[str, ...]) -> Column:
     return extension(path).isin([x.lower().lstrip(".") for x in wanted])
 
 
+def is_junk_file(name: str) -> bool:
+    return name.startswith("._") or name in JUNK_FILES
+
+
+def is_junk_dir(name: str) -> bool:
+    return name in JUNK_DIRS or ascii_lower(name) in JUNK_DIRS_ANY_CASE
+
+
 def is_junk(path: Column) -> Column:
-    """Files that operating systems leave behind, or any file below such a folder."""
-    name = F.lower(basename(path))
-    inside = F.exists(F.slice(F.split(F.lower(path), r"[/\\]"), 1, F.greatest(F.size(F.split(path, r"[/\\]")) - 1, F.lit(0))), lambda d: d.isin(*JUNK_DIRS))
+    """Files that operating systems leave behind, or any file below such a folder. Case counts, but for three folders."""
+    parts = F.split(path, r"[/\\]")
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    inside = F.exists(folders, lambda d: d.isin(*JUNK_DIRS) | folded(d).isin(*JUNK_DIRS_ANY_CASE))
+    name = basename(path)
     return name.startswith("._") | name.isin(*JUNK_FILES) | inside
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def folded(text: Column) -> Column:
+    """ASCII letters in lower case; all others stay."""
+    return F.translate(text, _UPPER, _LOWER)
+
+
+def ascii_lower(text: str) -> str:
+    return text.translate(str.maketrans(_UPPER, _LOWER))
+
+
 def depth(relative: Column) -> Column:
     """1 for files directly in the root."""
     return F.size(F.split(relative, r"[/\\]"))
 
 
 def sanitized_stem(name: Column) -> Column:
-    """A stem that every file system takes: forbidden characters replaced, trailing dots and spaces off,
-    reserved names marked."""
-    safe = F.regexp_replace(F.regexp_replace(name, r'[<>:"/\\|?*\x00-\x1f]', "_"), r"[. ]+$", "")
-    safe = F.when(F.length(safe) == 0, F.lit("_")).otherwise(safe)
-    return F.when(F.lower(safe).isin(*RESERVED), F.concat(safe, F.lit("_"))).otherwise(safe)
+    """A stem that every file system takes: forbidden characters replaced, trailing dots and spaces off, reserved
+    names marked. Control characters stay; a stem of nothing else comes out empty, and its file is then left alone."""
+    safe = F.regexp_replace(F.regexp_replace(name, r'[<>:"/\\|?*]', "_"), r"[. ]+\z", "")
+    return F.when(folded(safe).isin(*RESERVED), F.concat(safe, F.lit("_"))).otherwise(safe)
 
 
 def collision_key(path: Column) -> Column:
-    """Paths that name the same file on a case-insensitive system share it."""
-    return F.lower(F.regexp_replace(path, r"\\", "/"))
+    """Paths that name the same file on a system that ignores ASCII case share it: either separator, once, without
+    `.` parts in between."""
+    plain = F.regexp_replace(F.regexp_replace(folded(path), r"[/\\]+", "/"), r"(^|/)(\./)+", "$1")
+    return F.regexp_replace(F.regexp_replace(plain, r"(?<=/)\.\z", ""), r"(?<=.)/\z", "")
+
 
+# Fixed value: a disc token is the word disc, white space and a number, and perhaps "of" and another.
+_NUMBER = r"disc\s+\+?0*([0-9]{1,10})(?:\s+of\s+\+?[0-9]{1,10})?\s*"
+#: The right-most in parentheses anywhere, or one without that ends the name, at its start or after white space.
+ENCLOSED, ENDING = rf"(?is)^(.*)\(\s*{_NUMBER}\)(.*)\z", rf"(?is)^(|.*\s){_NUMBER}\z"
+_MOST = (1 << 32) - 1
 
-_TOKEN = r"(?:disc|disk|cd|dvd)"
-_PAREN = re.compile(rf"[(\[]\s*{_TOKEN}\s*([0-9]+)(?:\s*of\s*[0-9]+)?\s*[)\]]", re.I)
-_BARE = re.compile(rf"(?:^|[\s_-]){_TOKEN}[\s_-]*([0-9]+)\s*$", re.I)
 
+def disc_parts(stem_: Column) -> Column:
+    """Base title and disc number (base, disc); a name without a token is its own base with disc 0."""
 
-def disc_token(stem_: str | None) -> tuple[str, int] | None:
-    """(base title, disc number): the right-most parenthesised token, else a bare one that ends the name."""
-    if stem_ is None:
-        return None
-    m = max(_PAREN.finditer(stem_), key=lambda x: x.start(), default=None) or _BARE.search(stem_)
-    if m is None or int(m[1]) > 0xFFFFFFFF:
-        return None
-    base = re.sub(r"\s{2,}", " ", stem_[: m.start()].rstrip(" -_") + " " + stem_[m.end() :].lstrip()).strip()
-    return (base or stem_, int(m[1]))
+    def part(pattern, k):
+        return F.regexp_extract(stem_, pattern, k)
 
+    def number(pattern):
+        n = F.nullif(part(pattern, 2), F.lit("")).cast("long")
+        return F.when(n <= _MOST, n)
 
-@F.pandas_udf(T.StructType([T.StructField("base", T.StringType()), T.StructField("disc", T.LongType())]))
-def disc_parts(stems: pd.Series) -> pd.DataFrame:
-    """Base title and disc number; a name without a token is its own base with disc 0."""
-    found = [disc_token(s) or (s, 0) for s in stems]
-    return pd.DataFrame(found, columns=["base", "disc"]) if found else pd.DataFrame({"base": [], "disc": []})
+    left, right = F.regexp_replace(part(ENCLOSED, 1), r"(?U)\s+\z", ""), F.regexp_replace(part(ENCLOSED, 3), r"(?U)^\s+", "")
+    around = F.when(left == "", F.regexp_replace(right, r"(?U)\s+\z", "")).when(right == "", F.regexp_replace(left, r"(?U)^\s+", "")).otherwise(F.concat_ws(" ", left, right))
+    ending = F.regexp_replace(part(ENDING, 1), r"(?U)\s+\z", "")
+    one, two = number(ENCLOSED), number(ENDING)
+    return F.struct(F.when(one.isNotNull(), around).when(two.isNotNull(), ending).otherwise(stem_).alias("base"), F.coalesce(one, two, F.lit(0).cast("long")).alias("disc"))
 
 
 def with_extension(path: Column, ext: str) -> Column:
@@ -104,3 +125,23 @@ def place_in(path: Column, folder: str, root: str | None = None) -> Column:
     """The path in another folder: flat, or mirrored below the part that root names."""
     rest = basename(path) if root is None else F.substring(path, len(root.rstrip("/")) + 2, 1 << 30)
     return F.concat(F.lit(folder.rstrip("/") + "/"), rest)
+
+
+# What the extension of an input says about the stream inside.
+INNER_KINDS = {"rvz": "rvz", "wbfs": "wbfs", "cso": "cso_zso", "zso": "cso_zso", "z3ds": "z3ds", "zcia": "z3ds", "zcci": "z3ds", "zcxi": "z3ds", "z3dsx": "z3ds", "chd": "chd_tracks", "cue": "cue_set", "nsz": "unsupported_compressed", "xcz": "unsupported_compressed"}
+
+
+def inner_kind(path: Column) -> Column:
+    """What has to be decoded before a file's content can be digested; raw for all other extensions."""
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in INNER_KINDS.items() for x in pair))[extension(path)], F.lit("raw"))
+
+
+def rereads_cheaply(path: Column, sniffed: Column) -> Column:
+    """Whether a second pass of digests only reads the file again: it is raw and its head (the format `sniff` names)
+    is no older container."""
+    return (inner_kind(path) == "raw") & ~F.coalesce(sniffed.isin("gcz", "wia", "wbfs", "nkit"), F.lit(False))
+
+
+def tree_order(path: Column) -> Column:
+    """What sorts paths as a case-insensitive tree of names does: part by part, ASCII case aside, prefixes first."""
+    return F.transform(F.split(path, "/"), folded)

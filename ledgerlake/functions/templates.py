@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import binascii
 import re
 import zlib
 
@@ -12,54 +13,57 @@ from pyspark.sql import types as T
 
 #: Bytes of UTF-8 that a path component may have.
 COMPONENT_BYTES = 200
-# Names that a component may not have before its first dot.
+# Names that a component may not have before its first dot, and a template's tokens: those that fall
+# back to the base name, and those that may be empty.
 RESERVED = ("CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(10)), *(f"LPT{i}" for i in range(10)))
-_TOKEN = re.compile(r"\{([a-z_]+)\}")
+NAMED, OPTIONAL, GIVEN = ("title", "titleId", "serial"), ("region", "console"), ("ext", "basename")
+_BRACES = re.compile(r"\{([^}]*)\}")
 
 
-def truncated(text: str, most: int = COMPONENT_BYTES) -> str:
+def truncated(text: Column, most: int = COMPONENT_BYTES) -> Column:
     """The longest beginning of whole characters within `most` bytes."""
-    return text.encode("utf-8", "replace")[:most].decode("utf-8", "ignore")
+    fits = F.filter(F.sequence(F.lit(0), F.lit(most)), lambda k: F.octet_length(F.substring(text, F.lit(1), k)) <= most)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.substring(text, F.lit(1), F.array_max(fits)))
 
 
-def component(text: str) -> str:
-    """A single safe path component: no separators or control characters, no trailing dots or spaces, no
-    reserved name before the first dot, at most COMPONENT_BYTES long."""
-    safe = truncated(re.sub(r'[<>:"/\\|?*\x00-\x1f]', "_", text).strip()).rstrip(". ")
-    if not safe:
-        return "_"
-    head, dot, rest = safe.partition(".")
-    return f"{head}_{dot}{rest}" if head.upper() in RESERVED else safe
-
-
-def applied(template: str, values: dict[str, str | None]) -> str:
-    """The template with its {tokens} replaced. Values can't add folders; unknown tokens stay as written;
-    each part between slashes is made safe."""
-    def one(m: re.Match) -> str:
-        v = values.get(m[1], m[0])
-        return re.sub(r"[/\\]", "_", v or "")
-
-    return "/".join(component(_TOKEN.sub(one, part)) for part in template.split("/") if part)
+def component(text: Column) -> Column:
+    """A single safe path component: no control characters, separators and forbidden characters replaced, no trailing
+    dots or spaces, at most COMPONENT_BYTES long, and marked where the part before its first dot is reserved."""
+    safe = F.regexp_replace(F.regexp_replace(text, r"\p{Cc}", ""), r'[<>:"/\\|?*]', "_")
+    safe = truncated(F.regexp_replace(safe, r"[. ]+\z", ""))
+    head = F.translate(F.substring_index(safe, ".", 1), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    return F.when(head.isin(*RESERVED), F.concat(safe, F.lit("_"))).otherwise(safe)
 
 
 def template_column(template: str, tokens: dict[str, Column]) -> Column:
-    """`applied` for each row, with a column for each token."""
-    names = list(tokens)
-
-    @F.pandas_udf(T.StringType())
-    def run(cols: pd.DataFrame) -> pd.Series:
-        return pd.Series([applied(template, {n: None if pd.isna(r[n]) else str(r[n]) for n in names}) for r in cols.to_dict("records")])
-
-    return run(F.struct(*(c.cast("string").alias(n) for n, c in tokens.items())))
+    """The relative path that a template gives each row, with a column for each token; basename is always needed.
+
+    Title, title id and serial fall back to the base name, region and console to nothing; other names in braces stay
+    as written. Values can't add folders. Absolute templates are an error; a row is null where a part is `..` or
+    where no part is left.
+    """
+    if re.match(r"[/\\]|[A-Za-z]:", template):
+        raise ValueError("a template names a relative path")
+    pieces, at = [], 0
+    for m in _BRACES.finditer(template):
+        value = F.lit(m[0])
+        if m[1] in NAMED:
+            value = F.coalesce(*([tokens[m[1]].cast("string")] if m[1] in tokens else []), tokens["basename"].cast("string"))
+        elif m[1] in OPTIONAL:
+            value = F.coalesce(tokens[m[1]].cast("string"), F.lit("")) if m[1] in tokens else F.lit("")
+        elif m[1] in GIVEN:
+            value = tokens[m[1]].cast("string")
+        pieces += [F.lit(template[at : m.start()]), value if value is None or m[1] not in (*NAMED, *OPTIONAL, *GIVEN) else F.translate(value, "/\\", "__")]
+        at = m.end()
+    parts = F.split(F.concat(*pieces, F.lit(template[at:])), r"[/\\]")
+    up = F.exists(parts, lambda x: F.trim(x) == "..")
+    safe = F.filter(F.transform(F.filter(parts, lambda x: ~F.trim(x).isin("", ".")), component), lambda x: x != "")
+    return F.when(~up & (F.size(safe) > 0), F.array_join(safe, "/"))
 
 
 def crc16(data: bytes, value: int = 0xFFFF) -> int:
     """CRC-16/CCITT-FALSE."""
-    for b in data:
-        value ^= b << 8
-        for _ in range(8):
-            value = (value << 1 ^ 0x1021 if value & 0x8000 else value << 1) & 0xFFFF
-    return value
+    return binascii.crc_hqx(data, value)
 
 
 @F.pandas_udf(T.LongType())

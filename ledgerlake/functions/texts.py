@@ -41,16 +41,56 @@ def ratio_pct(before: Column, after: Column) -> Column:
 
 
 def size_delta(ours: Column, theirs: Column) -> Column:
-    """The difference in bytes with thousands marks, and in percent of theirs."""
+    """The difference in bytes with thousands marks, and in percent of theirs (zero where theirs is nothing)."""
     d = (ours - theirs).cast("long")
-    return F.format_string("%s%s B (%+.4f %%)", F.when(d >= 0, F.lit("+")).otherwise(F.lit("")), F.format_number(d, 0), d * 100.0 / theirs)
+    share = F.when(theirs == 0, F.lit(0.0)).otherwise(F.try_divide(d * 100.0, theirs))
+    return F.format_string("%s%s B (%+.4f %%)", F.when(d >= 0, F.lit("+")).otherwise(F.lit("")), F.format_number(d, 0), share)
+
+
+def delta_ratio(ours: Column, theirs: Column) -> Column:
+    """Our time as a multiple of theirs, with the speed-up where ours is shorter; n/a where theirs is zero."""
+    ratio = F.try_divide(ours, theirs)
+    plain = F.format_string("%.2fx", ratio)
+    return F.when(theirs == 0, "n/a").when(ratio < 1, F.format_string("%s (%.2fx faster)", plain, F.try_divide(theirs, ours))).otherwise(plain)
+
+
+def human_size(n: Column) -> Column:
+    """Whole KB and MB, GB with one decimal, by powers of 1,024."""
+    out = F.format_string("%d B", n.cast("long"))
+    for k, unit, form in ((10, "KB", "%.0f"), (20, "MB", "%.0f"), (30, "GB", "%.1f")):
+        out = F.when(n >= 1 << k, F.format_string(f"{form} {unit}", F.bround(n / float(1 << k), 1 if k == 30 else 0))).otherwise(out)
+    return out
+
+
+def format_seconds(seconds: Column) -> Column:
+    return F.format_string("%.3f s", seconds)
 
 
 def format_duration(ms: Column) -> Column:
+    """Minutes and seconds from a minute on, else seconds with tenths that are cut off."""
     s = F.floor(ms / 1000)
-    long_ = F.format_string("%dh %02dm %02ds", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
-    mid = F.format_string("%dm %02ds", F.floor(s / 60), s % 60)
-    return F.when(s >= 3600, long_).when(s >= 60, mid).otherwise(F.format_string("%.1fs", ms / 1000.0))
+    return F.when(s >= 60, F.format_string("%dm%02ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%d.%ds", s, F.floor(ms % 1000 / 100)))
+
+
+def count_prefix(ok: Column, failed: Column, skipped: Column) -> Column:
+    parts = F.concat_ws(", ", F.format_string("%d ok", ok), F.when(failed > 0, F.format_string("%d failed", failed)), F.when(skipped > 0, F.format_string("%d skipped", skipped)))
+    return F.when((failed == 0) & (skipped == 0), F.format_string("%d files", ok)).otherwise(parts)
+
+
+def summary_line(direction: Column, ok: Column, failed: Column, skipped: Column, size_in: Column, size_out: Column, ms: Column) -> Column:
+    """The last line of a batch: how many files, and by direction (count_only, dry_run, compress, decompress, convert)
+    what became of their size."""
+    prefix, took = count_prefix(ok, failed, skipped), format_duration(ms)
+    sizes = F.concat(prefix, F.lit(": "), format_bytes(size_in), F.lit(" -> "), format_bytes(size_out))
+
+    def share(part):
+        return F.format_string(" (%d%%)", F.floor(F.try_divide(part * 100.0, size_in) + 0.5))
+
+    saved, grew = size_in - size_out, F.greatest(size_out - size_in, F.lit(0))
+    packed = F.when((size_in == 0) | (saved <= 0), F.concat(sizes, F.lit(", no space saved"))).otherwise(F.concat(sizes, F.lit(", saved "), format_bytes(saved), share(saved)))
+    unpacked = F.when(size_in == 0, sizes).otherwise(F.concat(sizes, F.lit(", expanded by "), format_bytes(grew), share(grew)))
+    body = F.when(direction == "count_only", prefix).when(direction == "dry_run", F.concat(F.lit("Dry run: "), prefix, F.lit(" planned"))).when(direction == "compress", packed).when(direction == "decompress", unpacked).otherwise(sizes)
+    return F.concat(body, F.lit(" in "), took)
 
 
 def msf(frames: Column) -> Column:

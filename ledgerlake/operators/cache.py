@@ -50,3 +50,31 @@ def remember_valid(cache: DataFrame, verified: DataFrame) -> DataFrame:
     empty = F.expr("cast(map() as map<string,boolean>)")
     have = F.map_filter(F.coalesce("verify_valid", empty), lambda k, v: ~F.coalesce(F.map_contains_key("__new", k), F.lit(False)))
     return out.withColumn("verify_valid", F.map_concat(have, F.coalesce("__new", empty))).drop("__new")
+
+
+# Fixed value: an entry of the stored cache.
+_DIGESTS = "struct<crc32:string,sha1:string,md5:string,sha256:string,size_bytes:bigint>"
+ENTRY = f"path string, size bigint, mtime_secs bigint, mtime_nanos int, raw {_DIGESTS}, decoded {_DIGESTS}, whole {_DIGESTS}, tracks array<struct<number:int,kind:string,digests:{_DIGESTS}>>, members array<struct<size:bigint,secs:bigint,nanos:int>>, verify_valid map<string,boolean>"
+
+
+def save(cache: DataFrame, folder: str) -> None:
+    """Write the cache as gzipped JSON lines. The new table is complete before it takes the old one's place."""
+    import uuid
+
+    spark = cache.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fresh, old = path(f"{folder.rstrip('/')}.{uuid.uuid4().hex}"), path(folder)
+    cache.write.option("compression", "gzip").json(fresh.toString())
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not fs.rename(fresh, old):
+        raise OSError(f"could not put the cache at {folder}")
+
+
+def load(spark, folder: str) -> DataFrame:
+    """The stored cache; fields that an older one lacks are null, lines that can't be read are left out, and a folder
+    that is not there is an empty cache."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], ENTRY)
+    return spark.read.schema(ENTRY).option("mode", "DROPMALFORMED").json(folder).where("path is not null")

@@ -36,7 +36,7 @@ def missing_by_game(catalog: DataFrame, local: DataFrame) -> DataFrame:
     return missing(catalog, local).groupBy("game_id").agg(F.count("*").alias("missing"))
 
 
-def fixdat_xml(missing_files: DataFrame, name: str, description: str = "", version: str = "") -> DataFrame:
+def fixdat_xml(missing_files: DataFrame) -> DataFrame:
     """One row (game_name, xml) for each game: its element of the report, files in source order. Write the
     rows in order between header and footer."""
     from ledgerlake.functions.texts import xml_escape
@@ -51,25 +51,26 @@ def fixdat_xml(missing_files: DataFrame, name: str, description: str = "", versi
     return rows.select("game_name", F.concat(F.lit('\t<game name="'), game, F.lit('">\n\t\t<description>'), game, F.lit("</description>\n"), body, F.lit("\n\t</game>")).alias("xml"))
 
 
-def fixdat_header(name: str, description: str = "", version: str = "") -> str:
+def fixdat_header(name: str, version: str = "") -> str:
     from xml.sax.saxutils import escape
 
     def esc(x):
         return escape(x, {'"': "&quot;", "'": "&apos;"})
 
-    return ('<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE datafile PUBLIC "-//Logiqx//DTD ROM Management Datafile//EN" "http://www.logiqx.com/Dats/datafile.dtd">\n<datafile>\n'
-            f"\t<header>\n\t\t<name>{esc(name)}</name>\n\t\t<description>{esc(description or name)}</description>\n\t\t<version>{esc(version)}</version>\n\t</header>\n")
+    title = esc(f"fixdat - {name}")
+    return ('<?xml version="1.0"?>\n<!DOCTYPE datafile PUBLIC "-//Logiqx//DTD ROM Management Datafile//EN" "http://www.logiqx.com/Dats/datafile.dtd">\n<datafile>\n'
+            f"\t<header>\n\t\t<name>{title}</name>\n\t\t<description>{title}</description>\n\t\t<version>{esc(version)}</version>\n\t</header>\n")
 
 
-def write_fixdat(missing_files: DataFrame, path: str, name: str, description: str = "", version: str = "") -> int:
+def write_fixdat(missing_files: DataFrame, path: str, name: str, version: str = "") -> int:
     """Write the report to one file on the driver and return how many games it lists. Games stream in by
     name; only one is held at a time."""
     from ledgerlake.operators.report import published
 
     n = 0
     with published(path) as out:
-        out.write(fixdat_header(name, description, version))
-        for row in fixdat_xml(missing_files, name).orderBy("game_name").toLocalIterator():
+        out.write(fixdat_header(name, version))
+        for row in fixdat_xml(missing_files).orderBy("game_name").toLocalIterator():
             out.write(row.xml + "\n")
             n += 1
         out.write("</datafile>\n")

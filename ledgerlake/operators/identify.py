@@ -12,12 +12,14 @@ from ledgerlake.functions.names import stem
 DIGESTS = ("sha256", "sha1", "md5", "crc32")
 
 
-def rung_keys(df: DataFrame, id_: str, name: str, size: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def rung_keys(df: DataFrame, id_: str, name: str, size: str, keep: tuple = (), whole: bool = False) -> DataFrame:
     """One row (id, rung, key) for each way in which a file can be found; rung 0 is the strongest. Blank
-    and null digests give no row."""
+    and null digests give no row; with `whole` a file without any has one row of nulls."""
     sized = {"crc32": F.concat(norm_crc(norm_hash(F.col("crc32"))), F.lit("/"), F.col(size).cast("string")), "name_size": F.concat(F.col(name), F.lit("/"), F.col(size).cast("string"))}
     ways = [F.struct(F.lit(k).alias("rung"), (sized[a] if a in sized else norm_hash(F.col(a))).alias("key")) for k, a in enumerate(STRENGTH) if a in df.columns or a == "name_size"]
-    return df.select(F.col(id_), *keep, F.explode(F.filter(F.array(*ways), lambda w: w["key"].isNotNull())).alias("w")).select(id_, *keep, "w.rung", "w.key")
+    each = F.explode_outer if whole else F.explode
+    out = df.select(F.col(id_), *keep, each(F.filter(F.array(*ways), lambda w: w["key"].isNotNull())).alias("w"))
+    return out.select(*[c for c in out.columns if c != "w"], "w.rung", "w.key")
 
 
 def identify(local: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -25,13 +27,16 @@ def identify(local: DataFrame, catalog: DataFrame) -> DataFrame:
     strongest match, the smallest catalog_id of several; null where there is none.
 
     Both sides become (rung, key) rows, so one equi-join serves all rungs. The catalog is reduced to a row a
-    key first: equal content that occurs often on both sides never multiplies.
+    key first: equal content that occurs often on both sides never multiplies. Rows carry the local columns along,
+    so files are read and digested once; file_id names a row of local, and rows that repeat it count once.
     """
     known = rung_keys(catalog, "catalog_id", "file_name", "size_bytes", ("game_id",))
     known = known.groupBy("rung", "key").agg(F.min(F.struct("catalog_id", "game_id")).alias("hit"))
-    found = rung_keys(local, "file_id", "name", "size_bytes").join(known, ["rung", "key"])
-    best = found.groupBy("file_id").agg(F.min(F.struct("rung", "hit")).alias("b"))
-    return local.join(best, "file_id", "left").withColumns({"catalog_id": F.col("b.hit.catalog_id"), "game_id": F.col("b.hit.game_id"), "rung": F.col("b.rung")}).drop("b")
+    rest = [c for c in local.columns if c != "file_id"]
+    ways = rung_keys(local, "file_id", "name", "size_bytes", (F.struct(*rest).alias("own"),), whole=True)
+    found = ways.join(known, ["rung", "key"], "left")
+    best = found.groupBy("file_id").agg(F.min("own").alias("own"), F.min(F.when(F.col("hit").isNotNull(), F.struct("rung", "hit"))).alias("b"))
+    return best.select("file_id", "own.*", F.col("b.hit.catalog_id").alias("catalog_id"), F.col("b.hit.game_id").alias("game_id"), F.col("b.rung").alias("rung"))
 
 
 def algorithm(rung: Column) -> Column:

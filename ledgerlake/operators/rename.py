@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.names import collision_key, extension, sanitized_stem
+from ledgerlake.functions.names import collision_key, disc_parts, extension, folded, sanitized_stem, stem
 
 LAST_SLOT = 9_999
 
@@ -19,6 +19,11 @@ def target(path: Column, canonical: Column) -> Column:
     return F.concat(folder, sanitized_stem(canonical), F.when(F.length(ext) > 0, F.concat(F.lit("."), ext)).otherwise(F.lit("")))
 
 
+def canonical_stem(path: Column, game_name: Column, file_name: Column) -> Column:
+    """The catalog file's stem where it has the extension of the local file, else the game's name."""
+    return F.coalesce(F.when(extension(file_name) == extension(path), stem(file_name)), game_name)
+
+
 def counted_collisions(df: DataFrame, key: Column, name: str = "n") -> DataFrame:
     """df with the number of rows that share each row's key: counts are aggregated first, then joined."""
     keyed = df.withColumn("__k", key)
@@ -26,21 +31,32 @@ def counted_collisions(df: DataFrame, key: Column, name: str = "n") -> DataFrame
 
 
 def rename_plan(candidates: DataFrame) -> DataFrame:
-    """candidates (path, game_name, verified, set_id or null) with target, action and reason.
+    """candidates (path, game_id, game_name, file_name, verified) with target, action and detail.
 
-    A set whose members carry several titles is skipped whole. Of files that would share a target, or take
-    the place of another file of the library that stays, every one is skipped. Case alone is a change.
+    Actions: rename, already_canonical, skip_unmatched, skip_weak_match, skip_disc_set_conflict, skip_collision.
+    Files whose stems share a base title are a disc set; one with a member that is not verified or has no game, or
+    with games of several base titles, is skipped whole. Of files that would share a target every one is skipped.
+    A name that differs in ASCII case alone is canonical already. target is null but for renames.
     """
-    named = candidates.withColumn("target", target(F.col("path"), F.col("game_name")))
-    titles = named.where("set_id is not null").groupBy("set_id").agg((F.count_distinct(F.lower("game_name")) > 1).alias("mixed"))
-    named = named.join(titles, "set_id", "left")
-    wants = named.where("verified and path <> target and not coalesce(mixed, false)").select(collision_key(F.col("target")).alias("k"), "path")
-    claims = wants.groupBy("k").agg(F.count("*").alias("claims"))
-    stays = candidates.join(wants.select("path"), "path", "left_anti").select(collision_key(F.col("path")).alias("k")).distinct().withColumn("taken", F.lit(True))
-    out = named.withColumn("k", collision_key(F.col("target"))).join(claims, "k", "left").join(stays, "k", "left")
-    reason = F.when(~F.col("verified"), "unverified").when(F.col("path") == F.col("target"), "already named").when(F.coalesce("mixed", F.lit(False)), "set conflict")
-    reason = reason.when(F.col("claims") > 1, "collision").when(F.coalesce("taken", F.lit(False)), "target exists")
-    return out.select("path", "game_name", "set_id", "target", F.when(reason.isNull(), "rename").otherwise("skip").alias("action"), reason.alias("reason"))
+    base = F.coalesce(disc_parts(F.col("game_name"))["base"], F.lit(""))
+    named = candidates.withColumns({"__base": disc_parts(stem(F.col("path")))["base"], "__title": folded(base)})
+    weak = ~F.coalesce(F.col("verified"), F.lit(False)) | F.col("game_name").isNull()
+    sets = named.groupBy("__base").agg(F.count("*").alias("__n"), F.max(weak).alias("__weak"), (F.min("__title") != F.max("__title")).alias("__mixed")).where("__n > 1 and (__weak or __mixed)")
+    named = named.join(sets, "__base", "left")
+    to = target(F.col("path"), canonical_stem(F.col("path"), F.col("game_name"), F.col("file_name")))
+    safe = sanitized_stem(canonical_stem(F.col("path"), F.col("game_name"), F.col("file_name")))
+    action = (
+        F.when(F.col("__n").isNotNull(), "skip_disc_set_conflict").when(F.col("game_id").isNull() | F.col("game_name").isNull(), "skip_unmatched")
+        .when(~F.coalesce(F.col("verified"), F.lit(False)), "skip_weak_match").when(safe == "", "skip_unmatched")
+        .when(collision_key(to) == collision_key(F.col("path")), "already_canonical").otherwise("rename")
+    )
+    planned = named.withColumns({"__to": to, "__key": collision_key(to), "__action": action})
+    claims = planned.where("__action = 'rename'").groupBy("__key").agg(F.count("*").alias("__claims"))
+    planned = planned.join(claims, "__key", "left")
+    shared = (F.col("__action") == "rename") & (F.col("__claims") > 1)
+    final = F.when(shared, "skip_collision").otherwise(F.col("__action"))
+    detail = F.when(shared, "two files map to the same target").when(F.col("__weak"), "disc set has an unmatched or weak member").when(F.col("__mixed"), "disc set resolves to different games").when(final == "skip_weak_match", "name+size hint only")
+    return planned.select("path", F.when(final == "rename", F.col("__to")).alias("target"), final.alias("action"), detail.alias("detail"))
 
 
 def conflict_plan(planned: DataFrame, existing: DataFrame, policy: str, key: str = "output") -> DataFrame:

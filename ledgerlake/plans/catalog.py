@@ -6,10 +6,10 @@ passages for the catalog. Good entries carry digests, toxic ones a SHA-256 that
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.functions import names, texts
+from ledgerlake.functions import names, templates, texts
 from ledgerlake.functions.digests import crc32, digests
 from ledgerlake.operators import cache, dedup, fixdat, identify, playlist, reconcile, rename, report, spans, stats
 
@@ -168,7 +168,7 @@ def warm_stats(spark, sf_dir):
     return got.select("user_id", F.round("mean", 4).alias("mean"), F.round("sigma", 4).alias("sigma"))
 
 
-@query("SELECT p_partkey, lower(p_name) AS collision_key, count(*) OVER (PARTITION BY lower(p_name)) AS n FROM part")
+@query("SELECT p_partkey, translate(p_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS collision_key, count(*) OVER (PARTITION BY translate(p_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS n FROM part")
 def rename_collisions(spark, sf_dir):
     part = _table(spark, sf_dir, "part").withColumn("collision_key", names.collision_key(F.col("p_name")))
     return rename.counted_collisions(part, F.col("collision_key")).select("p_partkey", "collision_key", "n")
@@ -177,7 +177,7 @@ def rename_collisions(spark, sf_dir):
 @query("SELECT b.label, count(*) AS n FROM part JOIN (VALUES (1, 10, 'a'), (11, 30, 'b'), (31, 50, 'c')) b(low, high, label) ON p_size BETWEEN low AND high GROUP BY b.label")
 def span_range_join(spark, sf_dir):
     ranges = spark.createDataFrame([(1, 10, "a"), (11, 30, "b"), (31, 50, "c")], "low int, high int, label string")
-    return spans.in_ranges(_table(spark, sf_dir, "part"), F.col("p_size"), ranges, "low", "high", 16).groupBy("label").agg(F.count("*").alias("n"))
+    return spans.in_ranges(_table(spark, sf_dir, "part"), F.col("p_size"), ranges, "low", "high").groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("SELECT conv_id, string_agg(role, ',' ORDER BY turn, role) AS members, count(*) AS n, count(*) > count(DISTINCT turn) AS duplicated FROM conversations GROUP BY conv_id")
@@ -238,10 +238,11 @@ def msf_times(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", texts.msf(F.col("event_id")).alias("msf"))
 
 
-@query("SELECT conv_id, sha1(string_agg(sha1(text), '' ORDER BY sha1(text))) AS root, count(*) AS n FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, sha1(unhex(string_agg(entry, '' ORDER BY entry))) AS root, count(*) AS n FROM (SELECT conv_id, hex(encode(substr(role, 1, 4))) || upper(sha1(text)) AS entry FROM conversations) GROUP BY conv_id")
 def hash_roots(spark, sf_dir):
-    leaf = F.array_sort(F.collect_list(F.sha1("text")))
-    return _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sha1(F.array_join(leaf, "")).alias("root"), F.count("*").alias("n"))
+    """The digest of a set of tagged digests: four bytes of tag and the digest's bytes, in order of these."""
+    entry = F.array_sort(F.collect_list(F.concat(F.hex(F.substring("role", 1, 4)), F.upper(F.sha1("text")))))
+    return _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sha1(F.unhex(F.array_join(entry, ""))).alias("root"), F.count("*").alias("n"))
 
 
 @query("""SELECT l_orderkey AS container, count(*) AS n_blocks, count(*) FILTER (WHERE l_returnflag = 'R') AS n_raw, sum(l_quantity) AS stored, CAST(sum(50) AS BIGINT) AS logical,
@@ -264,3 +265,158 @@ def missing_tracks_greedy(spark, sf_dir):
     base = turns.select(F.col("conv_id").cast("string").alias("set_id"), F.col("turn").alias("ordinal"), F.octet_length("text").cast("long").alias("size_bytes"), none.alias("sha256"), F.sha1("text").alias("sha1"), F.md5("text").alias("md5"), crc32(F.col("text")).alias("crc32"), F.concat_ws("_", "role", "turn").alias("file_name"))
     remote = base.withColumn("sha1", F.when(F.col("file_name").startswith("user"), F.col("sha1")))
     return reconcile.reconcile(base, remote)
+
+
+#: File names of every shape that the naming rules tell apart.
+_NAMES_SQL = """n AS (SELECT p_partkey, p_name, CASE p_partkey % 14
+  WHEN 0 THEN p_name || ' (Disc ' || p_size || ')' WHEN 1 THEN p_name || ' (disc  ' || p_size || ' of 9) (Rev 1)' WHEN 2 THEN p_name || ' Disc ' || p_size WHEN 3 THEN p_name || ' (CD 2)'
+  WHEN 4 THEN p_name || '-disc ' || p_size WHEN 5 THEN 'Disc ' || p_size || ' of 3' WHEN 6 THEN 'CON.' || p_name WHEN 7 THEN '  ' || p_name || ' . ' WHEN 8 THEN p_name || ': <x>?'
+  WHEN 9 THEN p_name || ' Disc2' WHEN 10 THEN '(Disc 1) ' || p_name WHEN 11 THEN upper(p_name) || '/./Sub\\' || p_type WHEN 12 THEN p_name || ' (Disc 99999999999)' ELSE 'aux' END AS name FROM part)"""
+
+
+def _names(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    forms = [F.concat("p_name", F.lit(" (Disc "), "p_size", F.lit(")")), F.concat("p_name", F.lit(" (disc  "), "p_size", F.lit(" of 9) (Rev 1)")), F.concat("p_name", F.lit(" Disc "), "p_size"), F.concat("p_name", F.lit(" (CD 2)")),
+             F.concat("p_name", F.lit("-disc "), "p_size"), F.concat(F.lit("Disc "), "p_size", F.lit(" of 3")), F.concat(F.lit("CON."), "p_name"), F.concat(F.lit("  "), "p_name", F.lit(" . ")), F.concat("p_name", F.lit(": <x>?")),
+             F.concat("p_name", F.lit(" Disc2")), F.concat(F.lit("(Disc 1) "), "p_name"), F.concat(F.upper("p_name"), F.lit("/./Sub\\"), "p_type"), F.concat("p_name", F.lit(" (Disc 99999999999)")), F.lit("aux")]
+    return part.select("p_partkey", "p_name", F.element_at(F.array(*forms), (F.col("p_partkey") % 14 + 1).cast("int")).alias("name"))
+
+
+@query(rf"""WITH {_NAMES_SQL}, m AS (
+  SELECT *, regexp_extract(name, '(?is)^(.*)\(\s*disc\s+([0-9]+)(\s+of\s+[0-9]+)?\s*\)(.*)$', ['a', 'd', 'o', 'z']) AS e, regexp_extract(name, '(?is)^(|.*\s)disc\s+([0-9]+)(\s+of\s+[0-9]+)?\s*$', ['a', 'd', 'o']) AS g FROM n
+), k AS (
+  SELECT *, TRY_CAST(nullif(e.d, '') AS BIGINT) AS one, TRY_CAST(nullif(g.d, '') AS BIGINT) AS two FROM m
+)
+SELECT p_partkey, CASE WHEN one <= 4294967295 THEN trim(rtrim(e.a) || CASE WHEN rtrim(e.a) = '' OR ltrim(e.z) = '' THEN '' ELSE ' ' END || ltrim(e.z))
+  WHEN two <= 4294967295 THEN rtrim(g.a) ELSE name END AS base, CASE WHEN one <= 4294967295 THEN one WHEN two <= 4294967295 THEN two ELSE 0 END AS disc FROM k""")
+def disc_tokens(spark, sf_dir):
+    return _names(spark, sf_dir).withColumn("d", names.disc_parts(F.col("name"))).select("p_partkey", "d.base", "d.disc")
+
+
+@query(rf"""WITH {_NAMES_SQL}, s AS (SELECT *, regexp_replace(regexp_replace(name, '[<>:"/\\|?*]', '_', 'g'), '[. ]+$', '') AS safe FROM n)
+SELECT p_partkey, CASE WHEN lower(safe) IN ('con', 'prn', 'aux', 'nul') THEN safe || '_' ELSE safe END AS stem,
+  CASE WHEN upper(string_split(safe, '.')[1]) IN ('CON', 'PRN', 'AUX', 'NUL') THEN safe || '_' ELSE safe END AS component,
+  regexp_replace(replace(replace(lower(name), chr(92), '/'), '/./', '/'), '/+', '/', 'g') AS collision_key FROM s""")
+def safe_names(spark, sf_dir):
+    n = F.col("name")
+    return _names(spark, sf_dir).select("p_partkey", names.sanitized_stem(n).alias("stem"), templates.component(n).alias("component"), names.collision_key(n).alias("collision_key"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE replace(p_type, ' ', '_') || '/' || coalesce(CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_name END, 'file' || p_partkey) || ' [' || p_brand || '] {other}.iso' END AS path FROM part""")
+def templated_names(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    region = F.when(F.col("p_partkey") % 5 == 0, F.lit("..")).otherwise(F.replace("p_type", F.lit(" "), F.lit("_")))
+    tokens = {"region": region, "title": F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")), "titleId": F.col("p_brand"), "ext": F.lit("iso"), "basename": F.concat(F.lit("file"), "p_partkey")}
+    return part.select("p_partkey", templates.template_column("{region}\\\\{title} [{titleId}] {other}.{ext}", tokens).alias("path"))
+
+
+@query("""WITH d AS (SELECT o_orderkey, o_orderkey * 37 AS ms, CAST(round(o_totalprice * 100) AS BIGINT) AS a, o_custkey * 1000 AS b FROM orders)
+SELECT o_orderkey, CASE WHEN ms >= 60000 THEN printf('%dm%02ds', ms // 60000, ms // 1000 % 60) ELSE printf('%d.%ds', ms // 1000, ms % 1000 // 100) END AS duration,
+  CASE WHEN a % 11 = 0 THEN a || ' ok' || CASE WHEN b % 3 > 0 THEN ', ' || b % 3 || ' failed' ELSE '' END || ', 2 skipped' WHEN b % 3 > 0 THEN a || ' ok, ' || b % 3 || ' failed' ELSE a || ' files' END AS prefix,
+  CASE WHEN b % 7000 = 0 THEN 'n/a' WHEN a < b % 7000 * 5000 THEN printf('%.2fx (%.2fx faster)', a / (b % 7000 * 5000.0), b % 7000 * 5000.0 / a) ELSE printf('%.2fx', a / (b % 7000 * 5000.0)) END AS ratio FROM d""")
+def report_amounts(spark, sf_dir):
+    d = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 37).alias("ms"), F.round(F.col("o_totalprice") * 100).cast("long").alias("a"), (F.col("o_custkey") * 1000).alias("b"))
+    skipped = F.when(F.col("a") % 11 == 0, F.lit(2)).otherwise(F.lit(0))
+    return d.select("o_orderkey", texts.format_duration(F.col("ms")).alias("duration"), texts.count_prefix(F.col("a"), (F.col("b") % 3).cast("int"), skipped).alias("prefix"), texts.delta_ratio(F.col("a").cast("double"), (F.col("b") % 7000 * 5000).cast("double")).alias("ratio"))
+
+
+@query("""SELECT page_id, CASE lower(regexp_extract(url, '[^/]\\.([^./]*)$', 1)) WHEN 'rvz' THEN 'rvz' WHEN 'cue' THEN 'cue_set' WHEN 'chd' THEN 'chd_tracks' ELSE 'raw' END AS kind, NOT regexp_matches(url, '(?i)[^/]\\.(rvz|cue|chd)$') AS cheap FROM (
+  SELECT page_id, url || list_value('', '.RVZ', '.cue', '.x.chd', '.txt')[1 + page_id % 5] AS url FROM pages) p""")
+def inner_kinds(spark, sf_dir):
+    ext = F.element_at(F.array(*map(F.lit, ("", ".RVZ", ".cue", ".x.chd", ".txt"))), (F.col("page_id") % 5 + 1).cast("int"))
+    url = F.concat("url", ext)
+    return _table(spark, sf_dir, "pages").select("page_id", names.inner_kind(url).alias("kind"), names.rereads_cheaply(url, F.lit(None).cast("string")).alias("cheap"))
+
+
+_RENAMES_SQL = """c AS (
+  SELECT doc_id, 'lib/' || source || ' ' || (doc_id // 3) || CASE doc_id % 3 WHEN 2 THEN '' ELSE ' (Disc ' || (doc_id % 3 + 1) || ')' END || '.ISO' AS path, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE 'Game ' || CASE WHEN doc_id % 7 = 0 THEN doc_id // 100 ELSE doc_id // 3 END || CASE doc_id % 3 WHEN 2 THEN '' ELSE ' (Disc ' || (doc_id % 3 + 1) || ')' END END AS game_name,
+         doc_id % 11 <> 0 AS verified FROM documents)"""
+
+
+def _renames(spark, sf_dir):
+    i = F.col("doc_id")
+    token = F.when(i % 3 == 2, F.lit("")).otherwise(F.concat(F.lit(" (Disc "), i % 3 + 1, F.lit(")")))
+    number = F.when(i % 7 == 0, F.floor(i / 100)).otherwise(F.floor(i / 3))
+    game = F.when(i % 13 != 0, F.concat(F.lit("Game "), number, token))
+    return _table(spark, sf_dir, "documents").select(F.concat(F.lit("lib/"), "source", F.lit(" "), F.floor(i / 3), token, F.lit(".ISO")).alias("path"), F.when(game.isNotNull(), F.lit("g")).alias("game_id"), game.alias("game_name"), F.lit(None).cast("string").alias("file_name"), (i % 11 != 0).alias("verified"))
+
+
+@query(f"""WITH {_RENAMES_SQL}, b AS (SELECT *, regexp_replace(regexp_replace(path, '^lib/', ''), '( \\(Disc [0-9]+\\))?\\.ISO$', '') AS base, lower(regexp_replace(game_name, ' \\(Disc [0-9]+\\)$', '')) AS title FROM c
+), s AS (
+  SELECT base, count(*) AS n, bool_or(NOT verified OR game_name IS NULL) AS weak, count(DISTINCT coalesce(title, '')) > 1 AS mixed FROM b GROUP BY base
+), p AS (
+  SELECT path, 'lib/' || game_name || '.iso' AS target, CASE WHEN n > 1 AND (weak OR mixed) THEN 'skip_disc_set_conflict' WHEN game_name IS NULL THEN 'skip_unmatched' WHEN NOT verified THEN 'skip_weak_match' ELSE 'rename' END AS action, n, weak FROM b JOIN s USING (base)
+), q AS (SELECT *, count(*) FILTER (action = 'rename') OVER (PARTITION BY lower(target)) AS claims FROM p
+)
+SELECT path, CASE WHEN action = 'rename' AND claims = 1 THEN target END AS target, CASE WHEN action = 'rename' AND claims > 1 THEN 'skip_collision' ELSE action END AS action,
+  CASE WHEN action = 'rename' AND claims > 1 THEN 'two files map to the same target' WHEN action = 'skip_disc_set_conflict' AND weak THEN 'disc set has an unmatched or weak member' WHEN action = 'skip_disc_set_conflict' THEN 'disc set resolves to different games'
+       WHEN action = 'skip_weak_match' THEN 'name+size hint only' END AS detail FROM q""")
+def rename_actions(spark, sf_dir):
+    return rename.rename_plan(_renames(spark, sf_dir))
+
+
+@query("""WITH RECURSIVE i AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, md5(text)) AS k, octet_length(encode(text)) AS s FROM conversations
+), c(conv_id, k, chunk, n, bytes) AS (
+  SELECT conv_id, k, 0, 1, 12 + s FROM i WHERE k = 1 UNION ALL
+  SELECT i.conv_id, i.k, CASE WHEN c.n >= 3 OR c.bytes + i.s + 1 > 400 THEN chunk + 1 ELSE chunk END, CASE WHEN c.n >= 3 OR c.bytes + i.s + 1 > 400 THEN 1 ELSE c.n + 1 END,
+         CASE WHEN c.n >= 3 OR c.bytes + i.s + 1 > 400 THEN 12 + i.s ELSE c.bytes + i.s + 1 END FROM c JOIN i ON i.conv_id = c.conv_id AND i.k = c.k + 1
+) SELECT conv_id, CAST(k AS INT) AS k, chunk FROM c""")
+def bulk_chunks(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", F.md5("text"))
+    items = _table(spark, sf_dir, "conversations").select("conv_id", F.row_number().over(w).alias("k"), F.octet_length("text").alias("s"))
+    return spans.chunked(items, "conv_id", "k", "s", 3, 400)
+
+
+@query("SELECT source, count(*) AS total, count(*) FILTER (quality = 1) AS ok, count(*) FILTER (quality IS DISTINCT FROM 1) AS failed, bool_and(coalesce(quality, 0) = 1) AS passed FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+def verify_tally(spark, sf_dir):
+    both = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
+    return stats.verify_tally(both.select("source", (F.col("quality") == 1).alias("valid")), "source")
+
+
+@query("""WITH b AS (SELECT o_orderpriority AS g, count(*) FILTER (o_orderstatus = 'O') AS ok, count(*) FILTER (o_orderstatus = 'F') AS failed, count(*) FILTER (o_orderstatus = 'P') AS skipped,
+  CAST(coalesce(sum(o_custkey) FILTER (o_orderstatus = 'O'), 0) AS BIGINT) AS size_in, CAST(coalesce(sum(o_orderkey % 1000) FILTER (o_orderstatus = 'O'), 0) AS BIGINT) AS size_out, CAST(sum(o_orderkey % 50) AS BIGINT) AS ms FROM orders GROUP BY o_orderpriority)
+SELECT *, CASE WHEN failed = 0 THEN 'ok' WHEN ok > 0 THEN 'partial_failure' ELSE 'failed' END AS code, CASE WHEN failed = 0 THEN 0 WHEN ok > 0 THEN 3 ELSE 1 END AS status FROM b""")
+def batch_summary(spark, sf_dir):
+    states = F.when(F.col("o_orderstatus") == "O", "ok").when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "skipped")
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g"), states.alias("status"), F.col("o_custkey").alias("size_in"), (F.col("o_orderkey") % 1000).alias("size_out"), (F.col("o_orderkey") % 50).alias("ms"))
+    return stats.response(stats.batch_summary(rows, "g"))
+
+
+@query("""SELECT l_orderkey, CAST(sum(coalesce(p_size, 0)) AS BIGINT) AS total, count(*) FILTER (p_size IS NULL) AS n_missing FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 10 <> 3) p ON l_partkey = p_partkey GROUP BY l_orderkey""")
+def referenced_sizes(spark, sf_dir):
+    files = _table(spark, sf_dir, "part").where("p_partkey % 10 <> 3").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    return stats.referenced_size(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), files, "l_orderkey", "l_partkey", "p_size")
+
+
+@query("""SELECT doc_id, source, label FROM documents JOIN (SELECT doc_id, min(quality) * 2 AS label FROM labels GROUP BY doc_id) l USING (doc_id)""")
+def bulk_answers(spark, sf_dir):
+    answers = _table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.min("quality") * 2).alias("label"))
+    asked = _table(spark, sf_dir, "documents").select("doc_id", "source").join(answers.select("doc_id"), "doc_id", "left_semi")
+    return stats.restitched(asked.select("source", "doc_id"), answers, "doc_id").select("doc_id", "source", "label")
+
+
+@query("""SELECT p_brand, p_name AS what, p_size AS size FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS k FROM part) WHERE k = 1""")
+def smallest_encoding(spark, sf_dir):
+    return stats.smallest(_table(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_size", "p_name").select("p_brand", F.col("p_name").alias("what"), F.col("p_size").alias("size"))
+
+
+@query("""SELECT conv_id, sha1(string_agg(text, '' ORDER BY turn, role, md5(text))) AS whole, list_aggregate(list(sha1(text) ORDER BY turn, role, md5(text)), 'string_agg', ',') AS tracks FROM conversations GROUP BY conv_id""")
+def set_digests(spark, sf_dir):
+    """Digests of a set's parts and of the whole: the parts in order."""
+    parts = F.array_sort(F.collect_list(F.struct("turn", "role", F.md5("text").alias("m"), "text")))
+    got = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(parts.alias("p"))
+    return got.select("conv_id", F.sha1(F.array_join(F.transform("p", lambda x: x["text"]), "")).alias("whole"), F.array_join(F.transform("p", lambda x: F.sha1(x["text"])), ",").alias("tracks"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS index_01 FROM lineitem""")
+def track_indices(spark, sf_dir):
+    tracks = _table(spark, sf_dir, "lineitem").withColumn("frames", F.col("l_quantity").cast("long"))
+    return spans.with_index(tracks, ["l_orderkey"], LINE_ORDER, "frames").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("index_01").cast("long").alias("index_01"))
+
+
+@query("""SELECT n_nationkey, row_number() OVER (ORDER BY CASE WHEN r_name || '/' || n_name = upper(r_name || '/' || n_name) THEN lower(r_name || '/' || n_name) ELSE lower(r_name || '/' || n_name) END) AS place FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def tree_places(spark, sf_dir):
+    """Places of paths in a tree of names that ignores case. The table has a row a nation, so one task orders it."""
+    path = F.concat(F.when(F.col("n_nationkey") % 2 == 0, F.lower("r_name")).otherwise(F.col("r_name")), F.lit("/"), "n_name")
+    both = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return both.select("n_nationkey", F.row_number().over(Window.orderBy(names.tree_order(path))).alias("place"))

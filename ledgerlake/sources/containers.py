@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ledgerlake.functions.names import is_junk_file
 from ledgerlake.schemas import BLOCK, MEMBER
-from ledgerlake.sources.files import digest_stream, is_junk_name
+from ledgerlake.sources.files import digest_stream
 
 # First bytes and sizes of the formats.
 MAGIC = {
@@ -38,22 +39,53 @@ def sniff(head: bytes) -> str | None:
     return "xci" if head[0x100:0x104] == b"HEAD" else None
 
 
+#: Sectors of a CD at most, and bytes of a root folder that are read.
+CD_SECTORS, ROOT_BYTES = 452_849, 1 << 20
+
+
 def disc_kind(f) -> str | None:
-    """ps1, ps2 or psp by the volume descriptor of an ISO 9660 image; None for others."""
-    for size, skip in ((2048, 0), (2352, 16), (2352, 24)):
-        f.seek(16 * size + skip)
-        d = f.read(SECTOR)
-        if d[1:6] == b"CD001":
-            system = d[8:40].decode("ascii", "replace").strip("\0 ").upper()
-            if system == "PSP GAME":
-                return "psp"
-            if system == "PLAYSTATION":
-                f.seek(0, 2)
-                return "ps2" if size == 2048 else "ps1"
-            return None
+    """psp, ps1, ps2_cd or ps2_dvd by the volume descriptor and root folder of an ISO 9660 image with sectors of 2,048
+    bytes; None for others, damaged ones included.
+
+    The system id or a PSP folder of the root says psp. SYSTEM.CNF says ps2 by BOOT2 and ps1 by BOOT; ps2 is a dvd
+    beyond the sectors of a CD, by the descriptor or the image's size, whichever is more."""
+    d = _sector_bytes(f, 16, SECTOR)
+    if len(d) < SECTOR or d[0] != 1 or d[1:6] != b"CD001":
+        return None
+    if b"PSP GAME" in d[8:40]:
+        return "psp"
+    sectors = max(struct.unpack_from("<I", d, 80)[0], f.seek(0, 2) // SECTOR)
+    root, size = struct.unpack_from("<I", d, 158)[0], min(struct.unpack_from("<I", d, 166)[0], ROOT_BYTES)
+    entries, found, at = _sector_bytes(f, root, size), {}, 0
+    if len(entries) < size:
+        return None
+    while at < len(entries):
+        length = entries[at]
+        if not length:  # records never cross sectors
+            at = (at // SECTOR + 1) * SECTOR
+            continue
+        record = entries[at : at + length]
+        if len(record) >= 34:
+            name = record[33 : 33 + record[32]].split(b";")[0].upper()
+            found[name] = struct.unpack_from("<I", record, 2)[0], struct.unpack_from("<I", record, 10)[0]
+        at += length
+    if b"PSP_GAME" in found or b"UMD_DATA.BIN" in found:
+        return "psp"
+    if b"SYSTEM.CNF" in found:
+        at, size = found[b"SYSTEM.CNF"]
+        text = _sector_bytes(f, at, min(size, SECTOR))
+        if b"BOOT2" in text:
+            return "ps2_dvd" if sectors > CD_SECTORS else "ps2_cd"
+        if b"BOOT" in text:
+            return "ps1"
     return None
 
 
+def _sector_bytes(f, sector: int, size: int) -> bytes:
+    f.seek(sector * SECTOR)
+    return f.read(size)
+
+
 def _unpack(f, fmt: str, at: int | None = None):
     if at is not None:
         f.seek(at)
@@ -180,7 +212,7 @@ def members(path: str, f=None) -> list[tuple]:
         else:
             raise ValueError("no container that lists members")
         nested = (".zip", ".7z", ".rar", ".tar", ".gz", ".tgz")
-        return sorted(x for x in found if not is_junk_name(os.path.basename(x[1])) and not x[1].lower().endswith(nested))
+        return sorted(x for x in found if not is_junk_file(os.path.basename(x[1])) and not x[1].lower().endswith(nested))
 
 
 def _mapped(df: DataFrame, one, schema: T.StructType) -> DataFrame:
@@ -191,19 +223,42 @@ def _mapped(df: DataFrame, one, schema: T.StructType) -> DataFrame:
     return df.select("path").mapInPandas(run, schema)
 
 
-def container_blocks(files: DataFrame) -> DataFrame:
-    """A row for each block of each container."""
+#: What a damaged or unreadable container raises.
+DAMAGED = (OSError, ValueError, KeyError, IndexError, EOFError, struct.error, zlib.error, zipfile.BadZipFile, tarfile.TarError, pa.ArrowException, UnicodeError)
+
+
+def _guarded(one, width: int):
+    """one(path) with a column error: a container that can't be read gives one row of nulls with its error."""
+
+    def run(path):
+        try:
+            return [(*row, None) for row in one(path)]
+        except DAMAGED as e:
+            return [(path, *[None] * (width - 1), f"{type(e).__name__}: {e}")]
+
+    return run
+
+
+def _with_error(schema: T.StructType) -> T.StructType:
+    return T.StructType([*(T.StructField(f.name, f.dataType) for f in schema.fields), T.StructField("error", T.StringType())])
+
+
+def container_blocks(files: DataFrame, errors: bool = False) -> DataFrame:
+    """A row for each block of each container. A damaged container fails alone: it has no blocks, or with `errors`
+    one row that says why."""
 
     def one(path):
         with open(path, "rb") as f:
             return [(path, k, a, n, raw, size) for k, (a, n, raw, size) in enumerate(open_blocks(f).table)]
 
-    return _mapped(files, one, BLOCK)
+    got = _mapped(files, _guarded(one, len(BLOCK.fields)), _with_error(BLOCK))
+    return got if errors else got.where("error is null").drop("error")
 
 
-def container_members(files: DataFrame) -> DataFrame:
-    """A row for each file in each archive or partition container."""
-    return _mapped(files, lambda path: [(path, *m) for m in members(path)], MEMBER)
+def container_members(files: DataFrame, errors: bool = False) -> DataFrame:
+    """A row for each file in each archive or partition container; `errors` as in `container_blocks`."""
+    got = _mapped(files, _guarded(lambda path: [(path, *m) for m in members(path)], len(MEMBER.fields)), _with_error(MEMBER))
+    return got if errors else got.where("error is null").drop("error")
 
 
 DECODED = T.StructType([T.StructField(n, t) for n, t in (("path", T.StringType()), ("kind", T.StringType()), ("crc32", T.StringType()), ("sha1", T.StringType()), ("md5", T.StringType()), ("sha256", T.StringType()), ("size_bytes", T.LongType()), ("error", T.StringType()))])
@@ -220,7 +275,7 @@ def digest_decoded(files: DataFrame, algorithms: tuple[str, ...] = ("crc32", "sh
                 kind = blocks.kind
                 it = blocks.read(f)
                 got = digest_stream(lambda _: next(it, b""), algorithms)
-        except (OSError, ValueError, zlib.error, pa.ArrowException) as e:
+        except DAMAGED as e:
             error = str(e)
         return [(path, kind, got.get("crc32"), got.get("sha1"), got.get("md5"), got.get("sha256"), got.get("size_bytes"), error)]
 
@@ -230,8 +285,8 @@ def digest_decoded(files: DataFrame, algorithms: tuple[str, ...] = ("crc32", "sh
 CHD = T.StructType([T.StructField(n, t) for n, t in (("path", T.StringType()), ("version", T.IntegerType()), ("codecs", T.ArrayType(T.StringType())), ("logical_bytes", T.LongType()), ("hunk_bytes", T.LongType()), ("unit_bytes", T.LongType()), ("raw_sha1", T.StringType()), ("sha1", T.StringType()), ("has_parent", T.BooleanType()), ("metadata", T.ArrayType(T.StringType())))])
 
 
-def chd_info(files: DataFrame) -> DataFrame:
-    """Headers and metadata entries (tag and text) of CHD files, version 5."""
+def chd_info(files: DataFrame, errors: bool = False) -> DataFrame:
+    """Headers and metadata entries (tag and text) of CHD files, version 5; `errors` as in `container_blocks`."""
 
     def one(path):
         with open(path, "rb") as f:
@@ -250,7 +305,8 @@ def chd_info(files: DataFrame) -> DataFrame:
             names = [c.decode("ascii") for c in codecs if c.strip(b"\0")]
             return [(path, version, names, logical, hunk, unit, raw.hex(), whole.hex(), any(parent), found)]
 
-    return _mapped(files, one, CHD)
+    got = _mapped(files, _guarded(one, len(CHD.fields)), _with_error(CHD))
+    return got if errors else got.where("error is null").drop("error")
 
 
 def quick_crc(files: DataFrame) -> DataFrame:
@@ -260,7 +316,7 @@ def quick_crc(files: DataFrame) -> DataFrame:
     def one(path):
         try:
             with zipfile.ZipFile(path) as z:
-                own = [i for i in z.infolist() if not i.is_dir() and not is_junk_name(os.path.basename(i.filename))]
+                own = [i for i in z.infolist() if not i.is_dir() and not is_junk_file(os.path.basename(i.filename))]
                 if len(own) == 1:
                     with z.open(own[0]) as m:
                         head = io.BytesIO(m.read(0x200)).getvalue()

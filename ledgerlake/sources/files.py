@@ -12,19 +12,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ledgerlake.functions.names import JUNK_DIRS, JUNK_FILES
+from ledgerlake.functions.names import is_junk_dir, is_junk_file
 from ledgerlake.schemas import FILE, HASH_REPORT
 
 CHUNK = 4 << 20
 
 
-def is_junk_name(name: str) -> bool:
-    return name.startswith("._") or name.lower() in JUNK_FILES
+#: Folders that a scan is split into at least, where there are as many, and levels that are listed for that.
+SPLITS, LISTED = 256, 4
 
 
 class _Folder(InputPartition):
-    def __init__(self, path: str, depth: int):
-        self.path, self.depth = path, depth
+    def __init__(self, path: str, depth: int, below: bool):
+        self.path, self.depth, self.below = path, depth, below
+
+
+def _folders(path: str) -> list[str]:
+    return sorted(e.path for e in os.scandir(path) if e.is_dir(follow_symlinks=False) and not is_junk_dir(e.name))
 
 
 class _TreeReader(DataSourceReader):
@@ -32,19 +36,23 @@ class _TreeReader(DataSourceReader):
         self.root, self.exts, self.most = root, exts, most
 
     def partitions(self):
-        """A partition for the root's own files and one for each folder in it."""
-        inside = sorted(e.path for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False) and e.name.lower() not in JUNK_DIRS)
-        return [_Folder(self.root, 0), *(_Folder(p, 2) for p in inside if self.most >= 2)]
+        """A partition for the files of each listed folder alone, and one for each whole folder below these."""
+        own, whole, depth = [], [self.root], 1
+        while len(whole) < SPLITS and depth <= min(LISTED, self.most) and whole:
+            own += [_Folder(p, depth, False) for p in whole]
+            whole = [f for p in whole for f in _folders(p)] if depth < self.most else []
+            depth += 1
+        return [*own, *(_Folder(p, depth, True) for p in whole)]
 
     def read(self, partition):
-        todo = [(partition.path, partition.depth or 1)]
+        todo = [(partition.path, partition.depth)]
         while todo:
             folder, depth = todo.pop()
             for e in sorted(os.scandir(folder), key=lambda e: e.name):
                 if e.is_dir(follow_symlinks=False):
-                    if partition.depth and depth < self.most and e.name.lower() not in JUNK_DIRS:
+                    if partition.below and depth < self.most and not is_junk_dir(e.name):
                         todo.append((e.path, depth + 1))
-                elif e.is_file() and not is_junk_name(e.name):
+                elif e.is_file() and not is_junk_file(e.name):
                     ext = os.path.splitext(e.name)[1].lower().lstrip(".")
                     if not self.exts or ext in self.exts:
                         s = e.stat()

@@ -27,30 +27,41 @@ def test_digest_comparison(spark):
     assert not value(spark, digests.hashes_equal(F.lit(" "), F.lit(" ")))
     assert value(spark, digests.hashes_equal(F.lit(" Aa "), F.lit("aA")))
     assert value(spark, digests.norm_crc(F.lit("123456789"))) == "123456789"
-    assert digests.split_bounds("crc32", "sha256") == (("crc32",), ("md5", "sha1", "sha256"))
+    assert digests.split_bounds(("crc32", "sha1"), "crc32", "sha256") == (("crc32",), ("sha1",))
+    assert digests.split_bounds(("sha1", "crc32", "md5"), "md5", "sha256") == (("crc32", "md5"), ("sha1",))
+    assert digests.split_bounds(("sha256",), "crc32", "sha256") == (("sha256",), ())
     assert digests.parse_algorithms("sha1, crc32,sha1") == ("crc32", "sha1")
-    for bad in (("sha256", "crc32"), ("x", "md5")):
+    for bad in ((("md5",), "sha256", "crc32"), (("md5",), "x", "md5"), (("sha256",), "crc32", "sha1"), (("y",),)):
         with pytest.raises(ValueError):
             digests.split_bounds(*bad)
 
 
-@pytest.mark.parametrize("name,want", [
-    ("Game (Disc 2)", ("Game", 2)), ("Game (Disc 10)", ("Game", 10)), ("Discworld (1995)", None), ("Game CD 3", ("Game", 3)),
-    ("Game (Disc 1) (Rev 2)", ("Game (Rev 2)", 1)), ("A (Disc 1) (Disc 2)", ("A (Disc 1)", 2)), ("Game (Disc 99999999999)", None), ("plain", None),
-])
-def test_disc_tokens(name, want):
-    assert names.disc_token(name) == want
+DISC_TOKENS = [
+    ("Game (Disc 2)", ("Game", 2)), ("Game (Disc 10)", ("Game", 10)), ("Discworld (1995)", None), ("Game CD 3", None), ("Game (CD 2)", None), ("Game [Disc 1]", None), ("Game Disc2", None),
+    ("Game-disc 2", None), ("Game (Disc 1) (Rev 2)", ("Game (Rev 2)", 1)), ("A (Disc 1) (Disc 2)", ("A (Disc 1)", 2)), ("Game (Disc 99999999999)", None), ("plain", None), ("Game (DISC 1 OF 3)", ("Game", 1)),
+    ("Game Disc 2 of 3", ("Game", 2)), ("Game Disc 2 of x", None), ("Game  double (Disc 1)", ("Game  double", 1)), ("(Disc 3) Game", ("Game", 3)), ("Disc 2", ("", 2)), ("Game (Disc 1 x)", None), ("Disc 1 Disc 2", ("Disc 1", 2)), ("Game (Rev (Disc 4)", ("Game (Rev", 4)),
+]
+
+
+def test_disc_tokens(spark):
+    df = spark.createDataFrame([(n,) for n, _ in DISC_TOKENS], "n string").withColumn("d", names.disc_parts(F.col("n")))
+    assert {r.n: (r.d.base, r.d.disc) for r in df.collect()} == {n: want or (n, 0) for n, want in DISC_TOKENS}
 
 
 def test_name_parts(spark):
-    df = spark.createDataFrame([("a/b/Game.ISO",), (".hidden",), ("x.tar.gz",), ("dir.d/none",), ("a/__MACOSX/f.iso",), ("._f.iso",), ("b/.keep",)], "p string")
+    df = spark.createDataFrame([("a/b/Game.ISO",), (".hidden",), ("x.tar.gz",), ("dir.d/none",), ("a/__MACOSX/f.iso",), ("._f.iso",), ("b/.keep",), ("a/@eaDir/f",), ("x/#recycle/f",), ("$Recycle.bin/f",), ("THUMBS.DB",), ("a/Thumbs.db",), ("lost+found/f",)], "p string")
     got = rows(df.select("p", names.extension(F.col("p")), names.stem(F.col("p")), names.basename(F.col("p")), names.is_junk(F.col("p"))), "p")
     by = {r[0]: r[1:] for r in got}
     assert by["a/b/Game.ISO"] == ("iso", "Game", "Game.ISO", False)
     assert by[".hidden"][:2] == ("", ".hidden") and by["x.tar.gz"][:2] == ("gz", "x.tar") and by["dir.d/none"][:2] == ("", "none")
-    assert by["a/__MACOSX/f.iso"][3] and by["._f.iso"][3] and not by["b/.keep"][3]
+    assert {p for p, r in by.items() if r[3]} == {"._f.iso", "a/@eaDir/f", "x/#recycle/f", "$Recycle.bin/f", "a/Thumbs.db", "lost+found/f"}
     assert value(spark, names.sanitized_stem(F.lit('A: b?. '))) == "A_ b_"
     assert value(spark, names.sanitized_stem(F.lit("con"))) == "con_"
+    assert value(spark, names.sanitized_stem(F.lit(" . "))) == "" and value(spark, names.sanitized_stem(F.lit("a\tb"))) == "a\tb"
+    keys = ("A//b\\c/./D/", "a/b/c/d", "./A/b/c/d", "Ä/ß")
+    assert [value(spark, names.collision_key(F.lit(k))) for k in keys] == ["a/b/c/d", "a/b/c/d", "a/b/c/d", "Ä/ß"]
+    assert [value(spark, names.inner_kind(F.lit(k))) for k in ("a.RVZ", "b.zso", "c.z3dsx", "d.nsz", "e", ".cue")] == ["rvz", "cso_zso", "z3ds", "unsupported_compressed", "raw", "raw"]
+    assert not value(spark, names.rereads_cheaply(F.lit("a.iso"), F.lit("gcz"))) and value(spark, names.rereads_cheaply(F.lit("a.iso"), F.lit(None).cast("string")))
     assert value(spark, names.derived_path(F.lit("d.x/a.iso"))) == "d.x/a.rvz"
     assert value(spark, names.derived_path(F.lit("d.x/a.nsz"), packing=False)) == "d.x/a.nsp"
     assert value(spark, names.place_in(F.lit("/r/s/f.iso"), "/o/", "/r")) == "/o/s/f.iso"
@@ -105,7 +116,7 @@ def test_fixdat_stops_at_the_strongest_catalog_digest(spark, tmp_path):
     path = f"{tmp_path}/f.dat"
     assert fixdat.write_fixdat(out, path, "Test <Dat> & Co") == 3
     text = open(path).read()
-    assert "<name>Test &lt;Dat&gt; &amp; Co</name>" in text and '<rom name="&lt;no&gt; &amp; digest" size="1234"/>' in text
+    assert "<name>fixdat - Test &lt;Dat&gt; &amp; Co</name>" in text and '<rom name="&lt;no&gt; &amp; digest" size="1234"/>' in text
     assert text.index("Game 1") < text.index("Game 2") and text.endswith("</datafile>\n")
 
 
@@ -135,12 +146,17 @@ def test_playlists(spark, tmp_path):
 
 
 def test_rename_plans(spark, tmp_path):
-    df = spark.createDataFrame([("dir/a.ISO", "Game.", True, None), ("dir/b.iso", "Same", True, None), ("dir/c.iso", "same", True, None), ("dir/d1.iso", "Alpha", True, "s"), ("dir/d2.iso", "Beta", True, "s"), ("dir/Held.iso", "Held", True, None), ("dir/e.iso", "held", True, None), ("dir/f.iso", "F", False, None)], "path string, game_name string, verified boolean, set_id string")
-    got = {r.path: (r.target, r.action, r.reason) for r in rename.rename_plan(df).collect()}
-    assert got["dir/a.ISO"] == ("dir/Game.iso", "rename", None)
-    assert got["dir/b.iso"][1:] == got["dir/c.iso"][1:] == ("skip", "collision")
-    assert got["dir/d1.iso"][1:] == got["dir/d2.iso"][1:] == ("skip", "set conflict")
-    assert got["dir/e.iso"][1:] == ("skip", "target exists") and got["dir/f.iso"][1:] == ("skip", "unverified")
+    rows_ = [("dir/a.ISO", "g", "Game.", None, True), ("dir/b.iso", "g", "Same", None, True), ("dir/c.iso", "g", "same", None, True), ("dir/Set (Disc 1).iso", "g", "Alpha (Disc 1)", None, True), ("dir/Set (Disc 2).iso", "g", "Beta (Disc 2)", None, True),
+             ("dir/Two (Disc 1).iso", "g", "Both (Disc 1)", None, True), ("dir/Two (Disc 2).iso", "g", "both (Disc 2)", None, True), ("dir/Weak (Disc 1).iso", "g", "Weak (Disc 1)", None, True), ("dir/Weak (Disc 2).iso", None, None, None, False),
+             ("dir/Held.iso", "g", "held", None, True), ("dir/f.iso", "g", "F", None, False), ("dir/n.iso", None, None, None, True), ("dir/e.iso", "g", " . ", None, True), ("dir/raw.iso", "g", "Game", "Canon (USA).iso", True), ("dir/z.chd", "g", "Zed", "Canon.iso", True)]
+    df = spark.createDataFrame(rows_, "path string, game_id string, game_name string, file_name string, verified boolean")
+    got = {r.path.removeprefix("dir/"): (r.target, r.action, r.detail) for r in rename.rename_plan(df).collect()}
+    assert got["a.ISO"] == ("dir/Game.iso", "rename", None) and got["raw.iso"][:2] == ("dir/Canon (USA).iso", "rename") and got["z.chd"][0] == "dir/Zed.chd"
+    assert got["b.iso"] == got["c.iso"] == (None, "skip_collision", "two files map to the same target")
+    assert got["Set (Disc 1).iso"] == got["Set (Disc 2).iso"] == (None, "skip_disc_set_conflict", "disc set resolves to different games")
+    assert got["Weak (Disc 1).iso"][1:] == got["Weak (Disc 2).iso"][1:] == ("skip_disc_set_conflict", "disc set has an unmatched or weak member")
+    assert got["Two (Disc 2).iso"][:2] == ("dir/both (Disc 2).iso", "rename") and got["Held.iso"][1] == "already_canonical"
+    assert got["f.iso"][1:] == ("skip_weak_match", "name+size hint only") and got["n.iso"][1] == got["e.iso"][1] == "skip_unmatched"
     a, b = tmp_path / "a", tmp_path / "b"
     a.write_text("1"), b.write_text("2")
     rename.execute([(str(a), str(b)), (str(b), str(a))])
@@ -193,3 +209,71 @@ def test_spans_and_statistics(spark):
     runs = spark.createDataFrame([("x", 1, 100.0), ("x", 2, 2.0), ("x", 3, 4.0)], "g string, k int, v double")
     assert rows(stats.warm(runs, ["g"], ["k"], "v")) == rows(stats.warm_by_window(runs, ["g"], ["k"], "v")) == [("x", 3.0, 1.0)]
     assert rows(stats.sampled(runs, "g", "k", 2)) == [("x", 3, [1, 2])]
+
+
+def test_long_chains_and_cycles(spark):
+    links = spark.createDataFrame([(k, k - 1 if k else None) for k in range(301)] + [(1000, 1001), (1001, 1002), (1002, 1000), (2000, 3000)], "node long, ref long")
+    got = {r.node: r.root for r in spans.chased(links).collect()}
+    assert all(got[k] == 0 for k in range(301)) and got[1000] is got[1001] is got[1002] is got[2000] is None
+
+
+def test_ranges_of_any_length(spark):
+    ranges = spark.createDataFrame([(0, 10**12, "whole"), (5, 5, "five"), (-7, 6, "around"), (9, 3, "none"), (2**40, 2**40 + 1, "far")], "low long, high long, label string")
+    points = spark.createDataFrame([(-8,), (-7,), (5,), (6,), (7,), (2**40 + 1,), (None,)], "v long")
+    got = sorted((r.v, r.label) for r in spans.in_ranges(points, F.col("v"), ranges, "low", "high").collect())
+    assert got == sorted([(-7, "around"), (5, "around"), (5, "five"), (5, "whole"), (6, "around"), (6, "whole"), (7, "whole"), (2**40 + 1, "far")]) + ([(2**40 + 1, "whole")] if 2**40 + 1 <= 10**12 else [])
+    assert spans.in_ranges(points, F.col("v"), ranges.limit(0), "low", "high").count() == 0
+
+
+def test_chunks_respect_both_limits(spark):
+    items = [("a", k, 10) for k in range(250)] + [("b", 0, 300_000), ("b", 1, 100), ("b", 2, 262_000), ("b", 3, 32)]
+    got = {(r.g, r.k): r.chunk for r in spans.chunked(spark.createDataFrame(items, "g string, k int, s long"), "g", "k", "s").collect()}
+    assert [got["a", k] for k in (0, 99, 100, 199, 200, 249)] == [0, 0, 1, 1, 2, 2]
+    assert [got["b", k] for k in range(4)] == [0, 1, 1, 2] or [got["b", k] for k in range(4)] == [0, 1, 1, 1]
+    assert 12 + 100 + 262_000 + 1 + 32 + 1 > 256 << 10 or got["b", 3] == 1
+
+
+def test_lines_of_batches(spark):
+    line = lambda d, ok, failed, skipped, a, b, ms: value(spark, texts.summary_line(F.lit(d), F.lit(ok), F.lit(failed), F.lit(skipped), F.lit(a), F.lit(b), F.lit(ms)))
+    assert line("compress", 3, 0, 0, 1 << 21, 1 << 20, 1960) == "3 files: 2.0 MiB -> 1.0 MiB, saved 1.0 MiB (50%) in 1.9s"
+    assert line("compress", 3, 1, 2, 10, 10, 125_000) == "3 ok, 1 failed, 2 skipped: 10 B -> 10 B, no space saved in 2m05s"
+    assert line("decompress", 1, 0, 0, 100, 150, 3_700_000) == "1 files: 100 B -> 150 B, expanded by 50 B (50%) in 61m40s"
+    assert line("decompress", 1, 0, 0, 0, 150, 0) == "1 files: 0 B -> 150 B in 0.0s"
+    assert line("count_only", 2, 0, 1, 0, 0, 59_999) == "2 ok, 1 skipped in 59.9s" and line("dry_run", 2, 0, 0, 0, 0, 0) == "Dry run: 2 files planned in 0.0s"
+    assert value(spark, texts.size_delta(F.lit(936732), F.lit(1000000))) == "-63,268 B (-6.3268 %)" and value(spark, texts.size_delta(F.lit(5), F.lit(0))) == "+5 B (+0.0000 %)"
+    assert value(spark, texts.delta_ratio(F.lit(1.0), F.lit(2.0))) == "0.50x (2.00x faster)" and value(spark, texts.delta_ratio(F.lit(1.0), F.lit(0.0))) == "n/a"
+    assert [value(spark, texts.human_size(F.lit(n))) for n in (12, 2048, 959_447_040, 1_503_238_554)] == ["12 B", "2 KB", "915 MB", "1.4 GB"]
+
+
+def test_cache_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, 2, 3, ("x", None, None, None, 5), None, None, None, None, {"chd": True}), ("é", 1, 2, 3, None, None, None, [(1, "AUDIO", ("c", None, None, None, 1))], [(1, 2, 3)], {})], cache.ENTRY)
+    assert cache.load(spark, f"{tmp_path}/none").count() == 0
+    for _ in range(2):
+        cache.save(df, f"{tmp_path}/cache")
+    back = cache.load(spark, f"{tmp_path}/cache")
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    (tmp_path / "cache" / "part-x.json").write_text('{"path":"old","size":4}\nnot json\n')
+    assert {r.path: r.size for r in cache.load(spark, f"{tmp_path}/cache").collect()} == {"a": 1, "é": 1, "old": 4}
+    cache.save(cache.rebuilt(df.limit(1), cache.load(spark, f"{tmp_path}/cache")), f"{tmp_path}/cache2")
+    assert cache.load(spark, f"{tmp_path}/cache2").count() == 3
+
+
+def test_answers_errors_and_codes(spark):
+    asked, answers = spark.createDataFrame([("p", 0), ("q", 1)], "name string, i int"), spark.createDataFrame([(1, "b"), (0, "a")], "i int, hit string")
+    assert rows(stats.restitched(asked, answers, "i"), "name") == [("p", 0, "a"), ("q", 1, "b")]
+    for bad in ([(0, "a")], [(0, "a"), (1, "b"), (1, "c")], [(0, "a"), (1, "b"), (2, "c")]):
+        with pytest.raises(Exception, match="exactly once"):
+            stats.restitched(asked, spark.createDataFrame(bad, "i int, hit string"), "i").collect()
+    df = spark.createDataFrame([(None, None), ("x", "unsupported"), ("y", "io")], "error string, kind string")
+    assert [r[0] for r in df.select(stats.bucket(F.col("error"), F.col("kind"))).collect()] == [None, "unsupported", "failed"]
+    with pytest.raises(Exception, match="stopped: z"):
+        spark.createDataFrame([("z", "cancelled")], "error string, kind string").select(stats.bucket(F.col("error"), F.col("kind"))).collect()
+
+
+def test_fixdat_is_the_golden_document(spark, tmp_path):
+    df = spark.createDataFrame([("Some Game (USA)", "Some Game (USA).bin", 1234, "1234abcd", None, "aaaa", None, 0)], "game_name string, file_name string, size_bytes long, crc32 string, md5 string, sha1 string, sha256 string, ordinal int")
+    assert fixdat.write_fixdat(df, f"{tmp_path}/f.xml", "Test <Dat> & Co", "2026-06-01") == 1
+    want = ['<?xml version="1.0"?>', '<!DOCTYPE datafile PUBLIC "-//Logiqx//DTD ROM Management Datafile//EN" "http://www.logiqx.com/Dats/datafile.dtd">', "<datafile>", "\t<header>", "\t\t<name>fixdat - Test &lt;Dat&gt; &amp; Co</name>",
+            "\t\t<description>fixdat - Test &lt;Dat&gt; &amp; Co</description>", "\t\t<version>2026-06-01</version>", "\t</header>", '\t<game name="Some Game (USA)">', "\t\t<description>Some Game (USA)</description>",
+            '\t\t<rom name="Some Game (USA).bin" size="1234" crc="1234abcd" sha1="aaaa"/>', "\t</game>", "</datafile>", ""]
+    assert open(f"{tmp_path}/f.xml").read() == "\n".join(want)

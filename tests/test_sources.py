@@ -127,7 +127,7 @@ def test_chd_headers_discs_and_slots(spark, tmp_path):
     r = containers.chd_info(paths(spark, tmp_path, "a.chd")).first()
     assert (r.codecs, r.logical_bytes, r.has_parent, r.metadata) == (["cdlz", "cdzl"], 9000, False, ["CHT2:TRACK:1 TYPE:MODE1"])
     image = bytearray(18 * 2048)
-    image[16 * 2048 + 1 : 16 * 2048 + 6] = b"CD001"
+    image[16 * 2048 : 16 * 2048 + 6] = b"\1CD001"
     image[16 * 2048 + 8 : 16 * 2048 + 16] = b"PSP GAME"
     (tmp_path / "p.iso").write_bytes(image)
     with open(tmp_path / "p.iso", "rb") as f:
@@ -140,7 +140,7 @@ def test_chd_headers_discs_and_slots(spark, tmp_path):
 
 
 def test_trees_and_digests(spark, tmp_path):
-    for p in ("a.iso", "._a.iso", ".keep", "s/b.BIN", "s/t/c.iso", "__MACOSX/d.iso"):
+    for p in ("a.iso", "._a.iso", ".keep", "s/b.BIN", "s/t/c.iso", ".Trashes/d.iso"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_bytes(p.encode())
     names = lambda df: sorted(r.name for r in df.collect())
@@ -179,3 +179,61 @@ def test_new_files_are_identified_once(spark, tmp_path):
     assert step() == {"a.iso": "verified", "b.iso": "misnamed", "c.iso": "unknown"}
     counted = incremental.verdict_counts(spark, spark.read.parquet(f"{tmp_path}/out"), "365 days").groupBy("verdict").sum("n").collect()
     assert {tuple(r) for r in counted} == {("verified", 1), ("misnamed", 1), ("unknown", 1)}
+
+
+def iso(entries, sectors=0, system=b"PLAYSTATION", files=()):
+    """An image with a root folder in sector 18 and contents from sector 20 on."""
+    image = bytearray(24 * 2048)
+    image[16 * 2048 : 16 * 2048 + 6] = b"\1CD001"
+    image[16 * 2048 + 8 : 16 * 2048 + 8 + len(system)] = system
+    struct.pack_into("<I", image, 16 * 2048 + 80, sectors)
+    struct.pack_into("<I4xI", image, 16 * 2048 + 158, 18, 2048)
+    at = 18 * 2048
+    for k, name in enumerate(entries):
+        size = 33 + len(name) + (33 + len(name)) % 2
+        record = bytearray(size)
+        record[0], record[32] = size, len(name)
+        struct.pack_into("<I4xI", record, 2, 20 + k, 64)
+        record[33 : 33 + len(name)] = name
+        image[at : at + size] = record
+        at += size
+    for k, text in enumerate(files):
+        image[(20 + k) * 2048 : (20 + k) * 2048 + len(text)] = text
+    return bytes(image)
+
+
+def test_kinds_of_discs():
+    import io
+
+    kind = lambda data: containers.disc_kind(io.BytesIO(data))
+    assert kind(iso([b"system.cnf;1"], files=[b"BOOT2 = cdrom0:"])) == "ps2_cd"
+    assert kind(iso([b"A", b"SYSTEM.CNF;1"], 500_000, files=[b"", b"BOOT2 = cdrom0:"])) == "ps2_dvd"
+    assert kind(iso([b"SYSTEM.CNF;1"], files=[b"BOOT = cdrom:"])) == "ps1"
+    assert kind(iso([b"PSP_GAME"], system=b"")) == kind(iso([b"UMD_DATA.BIN;1"], system=b"")) == kind(iso([], system=b"PSP GAME")) == "psp"
+    whole = iso([b"SYSTEM.CNF;1"], files=[b"nothing"])
+    assert kind(whole) is kind(whole[: 17 * 2048]) is kind(b"") is kind(iso([b"OTHER"])) is None
+
+
+def test_damaged_containers_fail_alone(spark, tmp_path):
+    (tmp_path / "a.zip").write_bytes(b"PK\3\4 but no more")
+    (tmp_path / "b.cso").write_bytes(b"CISO" + b"\xff" * 30)
+    (tmp_path / "c.chd").write_bytes(b"MComprHD")
+    (tmp_path / "d.txt").write_bytes(b"")
+    every = paths(spark, tmp_path, "a.zip", "b.cso", "c.chd", "d.txt")
+    for scan in (containers.container_blocks, containers.container_members, containers.chd_info):
+        assert scan(every).count() == 0
+        assert scan(every, errors=True).where("error is not null").count() == 4
+
+
+def test_folders_are_split_below_the_top(tmp_path):
+    for k in range(20):
+        for j in range(20):
+            (tmp_path / f"one/{k}/{j}/deep").mkdir(parents=True)
+            (tmp_path / f"one/{k}/{j}/deep/f.iso").write_bytes(b"x")
+    (tmp_path / "top.iso").write_bytes(b"x")
+    for most in (1, 2, 4, 5, 9):
+        reader = files._TreeReader(str(tmp_path), {"iso"}, most)
+        parts = reader.partitions()
+        found = [row[0] for p in parts for row in reader.read(p)]
+        assert len(found) == len(set(found)) == (1 if most < 5 else 401)
+    assert len(parts) > 256

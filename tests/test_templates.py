@@ -1,22 +1,38 @@
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import templates
 from ledgerlake.operators import catalog_filters
 
 
-def test_components_and_templates():
-    assert templates.component("a/b:c. ") == "a_b_c" and templates.component("") == "_"
-    assert templates.component("com0.txt") == "com0_.txt" and templates.component("COM") == "COM"
-    assert len(templates.component("é" * 300).encode()) == 200
-    got = templates.applied("{platform}/{title} [{other}]", {"platform": "A/B", "title": "x"})
-    assert got == "A_B/x [{other}]"
+def value(spark, column):
+    return spark.range(1).select(column).first()[0]
+
+
+def test_components(spark):
+    one = lambda t: value(spark, templates.component(F.lit(t)))
+    assert one("a/b:c. ") == "a_b_c" and one("") == "" and one(" lead") == " lead"
+    assert one("com0.txt") == "com0.txt_" and one("CON") == "CON_" and one("COM") == "COM" and one("a\x07b\n") == "ab"
+    assert len(one("é" * 300).encode()) == 200 and one("x" + "é" * 300) == "x" + "é" * 99
     assert templates.crc16(b"123456789") == 0x29B1
 
 
+def test_templates(spark):
+    tokens = {"title": F.lit("A/B: x"), "titleId": F.lit("ABCD"), "region": F.lit("USA"), "ext": F.lit("rvz"), "basename": F.lit("game01")}
+    one = lambda t, **more: value(spark, templates.template_column(t, tokens | more))
+    none = F.lit(None).cast("string")
+    assert one("{region}/{title} [{titleId}] {other}.{ext}") == "USA/A_B_ x [ABCD] {other}.rvz"
+    assert one("{console}\\{serial}", serial=none) == "game01" and one("{title}{open", title=none) == "game01{open"
+    assert one("a/./b//c") == "a/b/c" and one("a/../b") is None and one("{region}", region=F.lit("..")) is None and one("{console}") is None
+    for bad in ("/a", "\\a", "C:a"):
+        with pytest.raises(ValueError):
+            templates.template_column(bad, tokens)
+
+
 def test_columns(spark):
-    df = spark.createDataFrame([("P", "T:1", bytearray(b"abc")), ("P", None, None)], "p string, t string, b binary")
-    got = df.select(templates.template_column("{p}/{t}", {"p": F.col("p"), "t": F.col("t")}).alias("n"), templates.adler32("b").alias("a"), templates.crc16_column("b").alias("c")).collect()
-    assert [tuple(r) for r in got] == [("P/T_1", 0x024D0127, templates.crc16(b"abc")), ("P/_", None, None)]
+    df = spark.createDataFrame([(bytearray(b"abc"),), (None,)], "b binary")
+    got = df.select(templates.adler32("b").alias("a"), templates.crc16_column("b").alias("c")).collect()
+    assert [tuple(r) for r in got] == [(0x024D0127, templates.crc16(b"abc")), (None, None)]
 
 
 def test_catalog_selections(spark, tmp_path):

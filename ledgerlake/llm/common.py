@@ -5,25 +5,29 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-TEST_CHECKPOINT_DIR = "/tmp/checkpoints/ledgerlake"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share."""
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    In local mode, where one process is the whole cluster, it may be unset and a folder of this machine is set;
+    on a cluster that would lose what executors write, so it is an error there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = TEST_CHECKPOINT_DIR
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = f"{tempfile.gettempdir()}/ledgerlake-checkpoints"
         spark.sparkContext.setCheckpointDir(found)
+        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
@@ -46,7 +50,15 @@ def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or scratch(spark, label)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables from `written` that nothing reads any more."""
+    for df in tables:
+        drop(df.sparkSession, df.scratch_path)
 
 
 def n_partitions(spark: SparkSession) -> int:

@@ -5,8 +5,14 @@ selective. They are found by prefixes instead, which is exact: in any fixed orde
 sets share one of the first n - ceil(4n/5) + 1 of each. The order puts shingles that are common in a sample
 last, so lists of texts with a shingle are short; the sample bears on the time alone, never on the result.
 
-Lists of up to PAIRED texts are paired off. In fuller ones every text is first compared with one of them;
-then all pairs that are not yet connected are. Whoever asks for groups thus loses no link.
+Before that, copies are connected through few links: texts whose least shingle agrees, in one of several random
+orders, are compared with one of them, a hub. Of the lists then only pairs count that are not yet connected, so
+groups of many copies make no pairs, and whoever asks for groups loses no link. Lists stay tables of rows; those of
+shingles that are very common in the sample are dealt out in parts while it is found out which lists matter.
+
+A set's sketch has a bit for each of 512 classes of shingles: whether it holds an odd number of them. Sets whose
+sketches differ in d bits differ in d shingles at least, so most pairs are ruled out, none wrongly, before texts
+are compared.
 """
 
 from __future__ import annotations
@@ -14,15 +20,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_text, enter, written
+from .common import enter, release, written
 from .components import connected_components
 
 SHINGLE = 5
-#: Texts of a list that are paired off, texts in the sample, and how often a common shingle occurs in it.
-PAIRED, SAMPLE, COMMON = 24, 20_000, 3
+#: Texts in the sample, and how often a common shingle occurs in it, and one whose list is dealt out in PARTS.
+SAMPLE, COMMON, HOT, PARTS = 20_000, 3, 60, 64
+#: Random orders of the shingles, and texts that one copy of a hub is compared with.
+ORDERS, DEALT = 6, 256
 #: Common shingles that are told apart by their count; others count as rare, which costs time alone.
 TOLD = 500_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -50,6 +58,25 @@ def mark(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
+SKETCH = tuple(f"s{k}" for k in range(8))
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The 512 parity bits of a set of shingles, as eight integers."""
+    odd = np.bincount((hashes >> np.int64(20)) & 511, minlength=512).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
+MINS = tuple(f"m{k}" for k in range(ORDERS))
+_TURN = np.random.default_rng(7).integers(1, 1 << 63, ORDERS, np.uint64) | np.uint64(1)
+
+
+def leasts(hashes: np.ndarray) -> np.ndarray:
+    """The least shingle of a set in each of the random orders, as a number that names it."""
+    x = hashes.view(np.uint64)[:, None] * _TURN
+    return (x ^ (x >> np.uint64(32))).min(0).view(np.int64)
+
+
 def _mapped(docs: DataFrame, each, schema: str, names: list[str]) -> DataFrame:
     """Rows that each(shingles) gives as arrays, for the texts of docs that have words."""
 
@@ -73,7 +100,8 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _postings(docs: DataFrame) -> DataFrame:
-    """(tok, t, n, pos): the prefix of each text's set t of n shingles, pos counting from zero."""
+    """(tok, part, t, n, pos): the prefix of each text's set t of n shingles, pos counting from zero. part is -1
+    but for shingles that are very common, whose lists are dealt out."""
     held = docs.sparkSession.sparkContext.broadcast(_common(docs))
 
     def each(h):
@@ -82,57 +110,87 @@ def _postings(docs: DataFrame) -> DataFrame:
         if len(common):
             at = np.minimum(np.searchsorted(common, h), len(common) - 1)
             rank = np.where(common[at] == h, counts[at], 0)
-        n = len(h)
-        first = h[np.lexsort((h, rank))[: n - -(-4 * n // 5) + 1]]
-        return first, np.full(len(first), mark(h)), np.full(len(first), n), np.arange(len(first))
+        n, t = len(h), mark(h)
+        chosen = np.lexsort((h, rank))[: n - -(-4 * n // 5) + 1]
+        part = np.where(rank[chosen] >= HOT, t % PARTS, -1).astype(np.int32)
+        return h[chosen], part, np.full(len(chosen), t), np.full(len(chosen), n, np.int32), np.arange(len(chosen), dtype=np.int32)
 
-    return _mapped(docs, each, "tok long, t long, n long, pos long", ["tok", "t", "n", "pos"])
+    return _mapped(docs, each, "tok long, part int, t long, n int, pos int", ["tok", "part", "t", "n", "pos"])
 
 
 #: Whether two texts that first meet at this shingle can be similar: by their sizes, and by what follows.
-_CAN = "5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) and 9 * least(a.n - a.pos, b.n - b.pos) >= 4 * (a.n + b.n)"
+_CAN = "5L * least(a.n, b.n) >= 4L * greatest(a.n, b.n) and 9L * least(a.n - a.pos, b.n - b.pos) >= 4L * (a.n + b.n)"
+#: The same by the sketches: similar sets differ in a ninth of their sizes at most.
+_NEAR = "9 * (" + " + ".join(f"bit_count(a.{s} ^ b.{s})" for s in SKETCH) + ") <= a.n + b.n"
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by their sets."""
+    """The pairs (a, b) whose sets are similar, by their sets, as a written table. A text goes once to each task
+    that compares others with it; one with many partners is compared in several tasks."""
+    pairs = written(pairs, "jaccardpairs")
     ends = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct()
-    wanted = written(texts.join(ends, "t", "left_semi").groupBy("t").agg(F.min("x").alias("x")).select("x"), "jaccardwanted")
-    few = docs.withColumn("x", F.xxhash64("text")).join(wanted, "x", "left_semi").dropDuplicates(["x"])
-    named = few.join(texts.groupBy("t").agg(F.min("x").alias("x")), "x").select("t", "text")
-    named = written(named, "jaccardnamed")
-    both = pairs.join(named.select(F.col("t").alias("a"), F.col("text").alias("ta")), "a").join(named.select(F.col("t").alias("b"), F.col("text").alias("tb")), "b")
+    wanted = written(texts.join(ends, "t", "left_semi").groupBy("t").agg(F.min("x").alias("x")), "jaccardwanted")
+    few = docs.withColumn("x", F.xxhash64("text")).join(wanted.select("x"), "x", "left_semi").dropDuplicates(["x"])
+    named = written(few.join(wanted, "x").select("t", "text"), "jaccardnamed")
+    shares = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / DEALT).cast("long").alias("shares")), "jaccardshares")
+    heads = shares.join(named.withColumnRenamed("t", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"), "text")
+    tails = pairs.join(shares, "a").join(named.withColumnRenamed("t", "b"), "b").select("a", F.pmod(F.xxhash64("b"), F.col("shares")).alias("share"), "b", "text")
+    both = heads.unionByName(tails).repartition("a", "share").sortWithinPartitions("a", "share", "b")
 
     def run(batches):
         enter("jaccard")
+        head = np.zeros(0, np.int64)
         for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = shingles(x.as_py()), shingles(y.as_py())
-                good.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-def similar_links(docs: DataFrame, fp: DataFrame, paired: int = PAIRED) -> DataFrame:
+            for b, text in zip(batch.column(2).to_pylist(), batch.column(3)):
+                h = shingles(text.as_py())
+                if b is None:  # stands before the texts that are compared with it
+                    head = h
+                good.append(b is not None and 9 * len(np.intersect1d(head, h, assume_unique=True)) >= 4 * (len(head) + len(h)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    good = written(both.mapInArrow(run, "a long, b long"), "jaccardgood")
+    release(pairs, wanted, named, shares)
+    return good
+
+
+def _hubs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of hubs and texts that share a least shingle, where the sketches don't rule them out."""
+    found = None
+    whole = ("t", "n", *SKETCH)
+    for k, least in enumerate(MINS):
+        hub = sets.groupBy(least).agg(F.min(F.struct(F.xxhash64("t", F.lit(k)).alias("o"), *whole)).alias("a"))
+        star = sets.select(least, F.struct(*whole).alias("b")).join(hub, least).where(f"a.t <> b.t and {_NEAR}")
+        star = star.select(F.col("a.t").alias("a"), F.col("b.t").alias("b"))
+        found = star if found is None else found.unionByName(star)
+    return found.distinct()
+
+
+def similar_links(docs: DataFrame, fp: DataFrame) -> DataFrame:
     """Links (a, b) between fingerprints of texts with a similarity of four fifths or more, enough of them
     for every such pair to be connected. docs has a column text without nulls. fp has a row for each text:
-    its fingerprint fp, its set t (null without words) and x, Spark's hash of the text."""
-    texts = written(fp.where("t is not null").groupBy("t", "x").agg(F.min("fp").alias("fp")), "jaccardtexts")
+    its fingerprint fp, its set t (null without words), the set's size n, sketch and least shingles, and x, Spark's
+    hash of the text."""
+    fp = fp.where("t is not null")
+    texts = written(fp.groupBy("t", "x").agg(F.min("fp").alias("fp")), "jaccardtexts")
+    sets = written(fp.groupBy("t").agg(*(F.min(c).alias(c) for c in ("n", *SKETCH, *MINS))), "jaccardsets")
     one = written(texts.groupBy("t").agg(F.min("fp").alias("one")), "jaccardones")
     same = texts.join(one, "t").where("fp <> one").select(F.col("one").alias("a"), F.col("fp").alias("b"))
-    lists = _postings(docs).groupBy("tok").agg(F.collect_set(F.struct("t", "n", "pos")).alias("l")).where("size(l) > 1")
-    lists = written(lists.select("tok", F.array_sort("l").alias("l")), "jaccardlists")
-    small = lists.where(F.size("l") <= paired).select(F.posexplode("l").alias("i", "a"), "l").select("a", F.explode(F.expr("slice(l, i + 2, size(l))")).alias("b"))
-    full = lists.where(F.size("l") > paired).select("tok", F.col("l")[0]["t"].alias("hub"), F.explode("l").alias("e")).select("tok", "hub", "e.*")
-    stars = full.where("hub <> t").select(F.col("hub").alias("a"), F.col("t").alias("b"))
-    pairs = written(small.where(_CAN).select(F.col("a.t").alias("a"), F.col("b.t").alias("b")).unionByName(stars).distinct(), "jaccardpairs")
-    good = written(_verified(pairs, docs, texts), "jaccardgood")
-    if full.limit(1).count():
-        of = connected_components(good).withColumnRenamed("node", "t")
-        open_ = written(full.join(of, "t", "left").select("tok", "t", "n", "pos", F.coalesce("component", "t").alias("c")), "jaccardopen")
-        more = open_.alias("a").join(open_.alias("b"), F.expr(f"a.tok = b.tok and a.t < b.t and a.c <> b.c and {_CAN}"))
-        more = written(more.select(F.col("a.t").alias("a"), F.col("b.t").alias("b")).distinct(), "jaccardmore")
-        good = good.unionByName(_verified(more, docs, texts))
-    named = good.join(one.select(F.col("t").alias("a"), F.col("one").alias("u")), "a").join(one.select(F.col("t").alias("b"), F.col("one").alias("v")), "b")
-    return named.where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(same).distinct()
+    links = _verified(_hubs(sets), docs, texts)
+    of = written(connected_components(links).withColumnRenamed("node", "t"), "jaccardof")
+    # one shuffle by list: distinct and both ends of a list need no other
+    lists = _postings(docs).repartition("tok", "part").distinct()
+    ends = Window.partitionBy("tok", "part")
+    lists = lists.withColumns({"low": F.min("t").over(ends), "high": F.max("t").over(ends)}).where("low <> high or part >= 0")
+    rows = written(lists.select("tok", "t", "n", "pos"), "jaccardlists")
+    grouped = rows.join(of, "t", "left").withColumn("c", F.coalesce("component", "t")).drop("component")
+    # lists within one group have nothing left to compare
+    span = grouped.groupBy("tok").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("tok")
+    full = written(grouped.join(span, "tok", "left_semi").join(sets.select("t", *SKETCH), "t"), "jaccardfull")
+    more = full.alias("a").join(full.alias("b"), F.expr(f"a.tok = b.tok and a.t < b.t and a.c <> b.c and {_CAN} and {_NEAR}"))
+    more = _verified(more.select(F.col("a.t").alias("a"), F.col("b.t").alias("b")).distinct(), docs, texts)
+    all_ = links.unionByName(more)
+    named = all_.join(one.select(F.col("t").alias("a"), F.col("one").alias("u")), "a").join(one.select(F.col("t").alias("b"), F.col("one").alias("v")), "b")
+    out = written(named.where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(same).distinct(), "jaccardlinks")
+    release(texts, one, rows, sets, full, links, more, of)
+    return out

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from .common import as_text, drop, enter, free_name, scratch, written
 from .components import connected_components
-from .near_jaccard import mark, shingles, similar_links
+from .near_jaccard import MINS, SKETCH, leasts, mark, shingles, similar_links, sketch
 
 SEED = 42
 SHINGLE = 3
@@ -63,7 +63,8 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "fp") -> DataFrame:
-    """The columns `keep` and the signed 64-bit fingerprint of `text` under `name`."""
+    """The columns `keep` and the signed 64-bit fingerprint of `text` under `name`, row by row. Null text counts as
+    empty (zero); repeated rows repeat; an empty table gives an empty result."""
 
     def run(batches):
         enter("simhash")
@@ -101,7 +102,8 @@ def golay_keys(segment: np.ndarray) -> np.ndarray:
 
 
 def key_table(fingerprints: DataFrame) -> DataFrame:
-    """(key, fp) for the distinct fingerprints of the column fp."""
+    """(key, fp) for the distinct fingerprints of the column fp. Repeated ones repeat; none gives none; nulls are
+    not expected (`with_fingerprints` makes none)."""
 
     def run(batches):
         enter("golay", golay_index.cache_clear)
@@ -142,18 +144,20 @@ def fingerprint_links(fingerprints: DataFrame, paired: int = PAIRED) -> DataFram
 
 
 def _with_sets(docs: DataFrame) -> DataFrame:
-    """The columns doc_id, fp, t and x of docs (doc_id, text), as `similar_links` asks for."""
+    """The columns doc_id, fp, t, n, x, sketch and least shingles of docs (doc_id, text), as `similar_links` asks for."""
+    names = ["fp", "t", "n", *SKETCH, *MINS]
 
     def run(batches):
         enter("simhash")
         for batch in batches:
             texts = [t.as_py() for t in batch.column(1)]
             fp = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
-            sets = [mark(h) if len(h := shingles(t)) else None for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(sets, pa.int64()), batch.column(2)], names=["doc_id", "fp", "t", "x"])
+            sets = [(mark(h), len(h), *sketch(h).tolist(), *leasts(h).tolist()) if len(h := shingles(t)) else (None,) * (len(names) - 1) for t in texts]
+            columns = [pa.array(c, pa.int64()) for c in zip(*sets)] or [pa.array([], pa.int64())] * (len(names) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *columns, batch.column(2)], names=["doc_id", *names, "x"])
 
     got = docs.select("doc_id", "text", F.xxhash64("text").alias("x"))
-    return got.mapInArrow(run, T.StructType([got.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("fp", "t", "x"))]))
+    return got.mapInArrow(run, T.StructType([got.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in (*names, "x"))]))
 
 
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: bool = False) -> DataFrame:
@@ -189,18 +193,27 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """docs without all but one document of each near-duplicate group; the row with the smallest id stays.
     similar: as in `simhash_groups`.
 
-    Rows that repeat that id count as copies of it. A group in which no row has an id keeps one of its
-    rows. Columns and their names stay as they are.
+    Where rows of a group repeat that id, the one with the least fingerprint stays, then the first by its text
+    and its other values. A group in which no row has an id keeps the row that is first by its text. Columns
+    and their names stay as they are. An empty table gives an empty result.
     """
-    fp, grp = free_name(docs.columns, "__fp"), free_name(docs.columns, "__grp")
+    names = docs.columns
+    fp, grp = free_name(names, "__fp"), free_name(names, "__grp")
     groups = written(simhash_groups(docs, doc_id, text, similar), "grouped")
     kept = groups.where("doc_id = component_id").groupBy("grp").agg(F.min("doc_id").alias(doc_id), F.min("fp").alias(fp)).drop("grp")
-    # an id of several groups does not tell its rows apart: their fingerprints do
-    split = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias(doc_id)).agg(F.min("grp").alias("least"), F.max("grp").alias("most")).where("least <> most").select(doc_id)
-    split = written(split, "splitids")
-    named = docs.join(kept.join(split, doc_id, "left_anti"), doc_id, "left_semi").select(docs.columns).dropDuplicates([doc_id])
-    shared = with_fingerprints(docs.join(split, doc_id, "left_semi").select(docs.columns), text, tuple(docs.columns), fp)
-    named = named.unionByName(shared.join(kept, [doc_id, fp], "left_semi").dropDuplicates([doc_id, fp]).select(docs.columns))
-    nameless = with_fingerprints(docs.where(F.col(doc_id).isNull()), text, tuple(docs.columns), fp)
+    # only rows whose id repeats need more than their id to be told apart, so only these move with their texts
+    repeated = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias(doc_id)).count().where("count > 1").select(doc_id)
+    repeated = written(repeated, "repeatedids")
+    single = docs.join(kept.join(repeated, doc_id, "left_anti"), doc_id, "left_semi").select(names)
+    shared = with_fingerprints(docs.join(repeated, doc_id, "left_semi").select(names), text, tuple(names), fp)
+    shared = _first_of(shared.join(kept, [doc_id, fp], "left_semi"), [doc_id, fp], names, text)
+    nameless = with_fingerprints(docs.where(F.col(doc_id).isNull()), text, tuple(names), fp)
     alone = groups.where("doc_id is null and component_id is null").select(F.col("fp").alias(fp), F.col("grp").alias(grp)).distinct()
-    return named.unionByName(nameless.join(alone, fp).dropDuplicates([grp]).select(docs.columns))
+    return single.unionByName(shared).unionByName(_first_of(nameless.join(alone, fp), [grp], names, text))
+
+
+def _first_of(rows: DataFrame, by: list[str], names: list[str], text: str) -> DataFrame:
+    """Of rows that agree in `by` the one that is first by its text and then all its values."""
+    whole = F.struct(*names)
+    chosen = rows.groupBy(*(F.col(c).alias(f"by{k}") for k, c in enumerate(by))).agg(F.min_by(whole, F.struct(F.col(text), F.to_json(whole))).alias("row"))
+    return chosen.select("row.*")

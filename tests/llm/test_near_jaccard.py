@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+
+from ledgerlake.llm.near_jaccard import sketch
 from ledgerlake.llm.simhash_golay import fingerprint, keep_one_of_each, simhash_groups
 
 from .test_simhash_golay import components
@@ -44,6 +47,15 @@ def test_edited_copies_are_linked_as_by_brute_force(spark):
     assert keep_one_of_each(df.limit(0), similar=True).count() == 0
 
 
+def test_sketches_rule_out_nothing_similar():
+    rng = np.random.default_rng(2)
+    for _ in range(400):
+        x = rng.integers(-(1 << 63), 1 << 63, rng.integers(1, 900))
+        y = np.concatenate([x[rng.random(len(x)) < rng.random()], rng.integers(-(1 << 63), 1 << 63, rng.integers(0, 90))])
+        apart = len(set(x.tolist()) ^ set(y.tolist()))
+        assert np.bitwise_count((sketch(x) ^ sketch(y)).view(np.uint64)).sum() <= apart
+
+
 def test_pipeline_stage_drops_edited_copies(spark):
     import corpus_pipeline
 

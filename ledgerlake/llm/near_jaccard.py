@@ -100,8 +100,8 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _postings(docs: DataFrame) -> DataFrame:
-    """(tok, part, t, n, pos): the prefix of each text's set t of n shingles, pos counting from zero. part is -1
-    but for shingles that are very common, whose lists are dealt out."""
+    """(tok, part, t, n, pos, prev): the prefix of each text's set t of n shingles, pos counting from zero, prev the
+    shingle before (t for the first). part is -1 but for shingles that are very common, whose lists are dealt out."""
     held = docs.sparkSession.sparkContext.broadcast(_common(docs))
 
     def each(h):
@@ -113,9 +113,10 @@ def _postings(docs: DataFrame) -> DataFrame:
         n, t = len(h), mark(h)
         chosen = np.lexsort((h, rank))[: n - -(-4 * n // 5) + 1]
         part = np.where(rank[chosen] >= HOT, t % PARTS, -1).astype(np.int32)
-        return h[chosen], part, np.full(len(chosen), t), np.full(len(chosen), n, np.int32), np.arange(len(chosen), dtype=np.int32)
+        first = h[chosen]
+        return first, part, np.full(len(chosen), t), np.full(len(chosen), n, np.int32), np.arange(len(chosen), dtype=np.int32), np.concatenate(([t], first[:-1]))
 
-    return _mapped(docs, each, "tok long, part int, t long, n int, pos int", ["tok", "part", "t", "n", "pos"])
+    return _mapped(docs, each, "tok long, part int, t long, n int, pos int, prev long", ["tok", "part", "t", "n", "pos", "prev"])
 
 
 #: Whether two texts that first meet at this shingle can be similar: by their sizes, and by what follows.
@@ -182,12 +183,13 @@ def similar_links(docs: DataFrame, fp: DataFrame) -> DataFrame:
     lists = _postings(docs).repartition("tok", "part").distinct()
     ends = Window.partitionBy("tok", "part")
     lists = lists.withColumns({"low": F.min("t").over(ends), "high": F.max("t").over(ends)}).where("low <> high or part >= 0")
-    rows = written(lists.select("tok", "t", "n", "pos"), "jaccardlists")
+    rows = written(lists.select("tok", "t", "n", "pos", "prev"), "jaccardlists")
     grouped = rows.join(of, "t", "left").withColumn("c", F.coalesce("component", "t")).drop("component")
     # lists within one group have nothing left to compare
     span = grouped.groupBy("tok").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("tok")
     full = written(grouped.join(span, "tok", "left_semi").join(sets.select("t", *SKETCH), "t"), "jaccardfull")
-    more = full.alias("a").join(full.alias("b"), F.expr(f"a.tok = b.tok and a.t < b.t and a.c <> b.c and {_CAN} and {_NEAR}"))
+    # texts that have the shingle before in common as well have met in its list already
+    more = full.alias("a").join(full.alias("b"), F.expr(f"a.tok = b.tok and a.t < b.t and a.c <> b.c and a.prev <> b.prev and {_CAN} and {_NEAR}"))
     more = _verified(more.select(F.col("a.t").alias("a"), F.col("b.t").alias("b")).distinct(), docs, texts)
     all_ = links.unionByName(more)
     named = all_.join(one.select(F.col("t").alias("a"), F.col("one").alias("u")), "a").join(one.select(F.col("t").alias("b"), F.col("one").alias("v")), "b")

@@ -8,6 +8,9 @@ heuristic; being exact, it takes each step along a best completion and only sets
 at each place. Arcs are read off the vocabulary where the search comes by, and of what is set aside only as much
 is held as can still be among the N best, so a cut of any length needs a number for each character.
 
+Every cut needs its best segmentation and how far the next one lies behind; these the forward pass gives alone,
+for many words at once. The backward search runs for the cuts that can change within a text's N best.
+
 A segmentation's score is the sum of its pieces' scores. A unigram model's scores are taken as they are. The scores
 of a BPE model are ranks of merges, not logarithms: there a piece of rank r scores -log(r + 2.7) - 10, which is
 Zipf's law with a cost for each piece. About five of six word occurrences are then segmented as by the library
@@ -21,6 +24,7 @@ import heapq
 import math
 import re
 from array import array
+from collections import Counter
 from functools import lru_cache
 from itertools import count
 
@@ -43,6 +47,11 @@ BYTE_PENALTY = 10.0
 ZIPF, PIECE_COST, GRAIN = 2.7, 10.0, 1 << 20
 #: Characters from which a cut's arcs are not held and its segmentations are kept for the document.
 LONG = 1024
+#: New words of up to TOGETHER characters are segmented in blocks of BLOCK characters, at least FEW words of one length;
+#: texts are looked through for them up to AHEAD characters at once.
+TOGETHER, BLOCK, FEW, AHEAD = 48, 1 << 19, 24, 1 << 21
+#: Codes of the characters of such words, 0 and those of ASCII included.
+CODES = 256
 _NONE = float("-inf")
 _CUT = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -74,87 +83,112 @@ class PieceLattice:
         if crossing:
             raise ValueError(f"pieces cross word boundaries: {crossing[:3]}")
         self._byte_score = min(s for p, (_, s) in found.items() if len(p) == 1) - BYTE_PENALTY
-        #: Pieces by their characters, from the front and from the back: nested tables, a piece's (id, score) under
-        #: the empty text.
+        #: Pieces by their characters, from the front and from the back: nested tables from a character to
+        #: [the table below it or None, the score and the id of the piece that ends there or None].
         self._trie, self._back = {}, {}
-        for piece, what in found.items():
-            for node, order in ((self._trie, piece), (self._back, piece[::-1])):
-                for c in order:
-                    node = node.setdefault(c, {})
-                node[""] = what
+        for piece, (k, score) in found.items():
+            for table, order in ((self._trie, piece), (self._back, piece[::-1])):
+                for c in order[:-1]:
+                    entry = table.setdefault(c, [None, None, None])
+                    if entry[0] is None:
+                        entry[0] = {}
+                    table = entry[0]
+                table.setdefault(order[-1], [None, None, None])[1:] = score, k
+        self._dense = self._table_of(found)
         self._forget()
 
+    def _table_of(self, found: dict) -> tuple | None:
+        """The pieces of the commonest characters as arrays: the code of a character below U+10000 (0: none), the node
+        after a node and a code (0: none), and by node the score and id of the piece that ends there.
+
+        ASCII characters without a piece count as their byte; others have codes only with a piece. None where
+        U+2581 has no piece."""
+        if SPACE not in found:
+            return None
+        use = Counter(c for piece in found for c in piece if c in found and c < "\U00010000")
+        codes = {c: k for k, (c, _) in enumerate(sorted(use.items(), key=lambda x: (x[0] != SPACE, -x[1], x[0]))[: CODES - 129], 1)}
+        single = {chr(c): (self._bytes[c], self._byte_score) for c in range(128) if chr(c) not in found}
+        for c in range(128):
+            codes.setdefault(chr(c), len(codes) + 1)
+        code_of = np.zeros(1 << 16, np.uint8)
+        for c, k in codes.items():
+            code_of[ord(c)] = k
+        after, score, ids = [array("i", bytes(4 * CODES))], [_NONE], [0]
+        for piece, (k, value) in (single | found).items():
+            if not all(c in codes for c in piece):
+                continue
+            node = 0
+            for c in piece:
+                if not after[node][codes[c]]:
+                    after[node][codes[c]] = len(after)
+                    after.append(array("i", bytes(4 * CODES)))
+                    score.append(_NONE)
+                    ids.append(0)
+                node = after[node][codes[c]]
+            score[node], ids[node] = value, k
+        return code_of, np.frombuffer(b"".join(after), np.int32).reshape(-1, CODES), np.array(score), np.array(ids, np.int32)
+
     def _forget(self) -> None:
         """An empty memory: a number for each word; by number its score and its gap to the second best; and
         the pieces of all words in a row, with the places where each word's begin."""
         self._number: dict[str, int] = {}
         self._scores, self._gaps, self._pieces, self._starts, self._size = array("d"), array("d"), array("i"), array("q", [0]), 0
 
-    def _prefixes(self, cut: str, arcs: list | None) -> list | array:
-        """The best score of each prefix. arcs, where given, gets the arcs into each place as `_into` has them,
-        in no order."""
+    def _prefixes(self, cut: str) -> list | array:
+        """The best score of each prefix."""
         n, trie = len(cut), self._trie
-        best = [_NONE] * (n + 1) if arcs is not None else array("d", [_NONE]) * (n + 1)
+        best = [_NONE] * (n + 1) if n < LONG else array("d", [_NONE]) * (n + 1)
         best[0] = 0.0
         for i in range(n):
-            so_far, node, j, single = best[i], trie, i, False
-            while j < n and (node := node.get(cut[j])) is not None:
+            so_far, j, entry = best[i], i + 1, trie.get(cut[i])
+            if entry is None or entry[1] is None:
+                best[j] = max(best[j], so_far + self._fallback(cut, i)[0])
+            while entry is not None:
+                table, score, _ = entry
+                if score is not None and so_far + score > best[j]:
+                    best[j] = so_far + score
+                if table is None or j == n:
+                    break
+                entry = table.get(cut[j])
                 j += 1
-                if "" in node:
-                    ids, score = node[""]
-                    single = single or j == i + 1
-                    if arcs is not None:
-                        arcs[j].append((-so_far - score, i, ids, score))
-                    if so_far + score > best[j]:
-                        best[j] = so_far + score
-            if not single:
-                arc = self._fallback(cut, i, so_far)
-                if arcs is not None:
-                    arcs[i + 1].append(arc)
-                if -arc[0] > best[i + 1]:
-                    best[i + 1] = -arc[0]
         return best
 
-    def _fallback(self, cut: str, i: int, so_far: float) -> tuple:
-        """The arc of a character that has no piece of its own."""
+    def _fallback(self, cut: str, i: int) -> tuple[float, tuple]:
+        """The score and the byte pieces of a character that has no piece of its own."""
         data = cut[i].encode("utf-8", "replace")
-        score = self._byte_score * len(data)
-        return -so_far - score, i, tuple(self._bytes[b] for b in data), score
+        return self._byte_score * len(data), tuple(self._bytes[b] for b in data)
 
     def _into(self, cut: str, best: list | array, place: int) -> list[tuple]:
         """Arcs into a place, best first: (minus the best score through it so far, start, ids, score)."""
-        node, out, i = self._back, [], place
-        while i and (node := node.get(cut[i - 1])) is not None:
+        table, out, i = self._back, [], place
+        while i and table is not None and (entry := table.get(cut[i - 1])) is not None:
             i -= 1
-            if "" in node:
-                ids, score = node[""]
-                out.append((-best[i] - score, i, ids, score))
+            table, score, k = entry
+            if score is not None:
+                out.append((-best[i] - score, i, k, score))
         if not out or out[0][1] != place - 1:
-            out.append(self._fallback(cut, place - 1, best[place - 1]))
-        out.sort()
+            score, ids = self._fallback(cut, place - 1)
+            out.append((-best[place - 1] - score, place - 1, ids, score))
+        if len(out) > 1:
+            out.sort()
         return out
 
     def nbest(self, cut: str, n_best: int | None = None) -> list[tuple[float, list[int]]]:
         """The n_best segmentations of one cut by falling score; equal scores come in a fixed order."""
-        wanted = n_best or self.n_best
-        arcs = [[] for _ in range(len(cut) + 1)] if len(cut) < LONG else None
-        best = self._prefixes(cut, arcs)
-        in_order = [False] * len(arcs) if arcs else None
+        wanted, best = n_best or self.n_best, self._prefixes(cut)
+        held: dict[int, list] = {}  # arcs into the places of a short cut that the search has come by
         heap, ticket, out = [(-best[-1], 0, len(cut), 0, 0.0, None)], count(1), []
         while heap and len(out) < wanted:
             _, _, place, k, done, tail = heapq.heappop(heap)
             while place:
-                if arcs is None:
+                into = held.get(place)
+                if into is None:
                     into = self._into(cut, best, place)
-                else:
-                    into = arcs[place]
-                    if not in_order[place]:
-                        in_order[place] = True
-                        if len(into) > 1:
-                            into.sort()
+                    if len(cut) < LONG:
+                        held[place] = into
                 if k + 1 < len(into):
                     heapq.heappush(heap, (into[k + 1][0] - done, next(ticket), place, k + 1, done, tail))
-                    if arcs is None and len(heap) > 256:
+                    if len(heap) > 256:
                         heap = heapq.nsmallest(wanted - len(out), heap)
                 _, place, ids, score = into[k]
                 done, tail, k = done + score, (ids, tail), 0
@@ -166,20 +200,43 @@ class PieceLattice:
         return out
 
     def _best(self, cut: str) -> tuple[float, list[int], float]:
-        """The best segmentation of a short cut, and the score of the next: the search's first path, with the least
-        arc that it sets aside."""
-        arcs = [[] for _ in range(len(cut) + 1)]
-        best = self._prefixes(cut, arcs)
-        place, done, aside, path = len(cut), 0.0, -_NONE, []
+        """The best segmentation of a short cut, and the score of the next.
+
+        This is the search's first path with the least arc that it sets aside, read off one forward pass that notes
+        the best arc into each place, of equals the longest, and the score through the second best."""
+        n, trie = len(cut), self._trie
+        best, second, start, ids = [_NONE] * (n + 1), [_NONE] * (n + 1), [0] * (n + 1), [None] * (n + 1)
+        best[0] = 0.0
+        for i in range(n):
+            so_far, j, entry = best[i], i + 1, trie.get(cut[i])
+            if entry is None or entry[1] is None:
+                score, k = self._fallback(cut, i)
+                through = so_far + score
+                if through > best[j]:
+                    best[j], second[j], start[j], ids[j] = through, best[j], i, k
+                elif through > second[j]:
+                    second[j] = through
+            while entry is not None:
+                table, score, k = entry
+                if score is not None:
+                    through = so_far + score
+                    if through > best[j]:
+                        best[j], second[j], start[j], ids[j] = through, best[j], i, k
+                    elif through > second[j]:
+                        second[j] = through
+                if table is None or j == n:
+                    break
+                entry = table.get(cut[j])
+                j += 1
+        place, gap, path = n, -_NONE, []
         while place:
-            into = arcs[place]
-            if len(into) > 1:
-                into.sort()
-                aside = min(aside, into[1][0] - done)
-            _, place, ids, score = into[0]
-            done += score
-            path.extend(ids[::-1]) if isinstance(ids, tuple) else path.append(ids)
-        return best[-1], path[::-1], -aside
+            if best[place] - second[place] < gap:
+                gap = best[place] - second[place]
+            k = ids[place]
+            path.extend(k[::-1]) if isinstance(k, tuple) else path.append(k)
+            place = start[place]
+        path.reverse()
+        return best[n], path, best[n] - gap
 
     def _word(self, key: str, ways: dict) -> int:
         """The number of the cut made of U+2581 and key, which is segmented and remembered; ways keeps all of a long one."""
@@ -196,6 +253,72 @@ class PieceLattice:
         self._size += len(key)
         return n
 
+    def learn(self, texts: list[str]) -> None:
+        """Segments and remembers the new short words of some texts, those of one length together; words of rare
+        characters are segmented where `encode` meets them. Results are the same."""
+        words = {k for t in texts for k in self.cuts(t)}
+        new = words - self._number.keys()
+        if len(self._scores) + len(new) > REMEMBERED_WORDS or self._size + sum(map(len, new)) > REMEMBERED_SIZE:
+            self._forget()
+            new = words
+        by_length: dict[int, list[str]] = {}
+        for key in new:
+            if 0 < len(key) <= TOGETHER:
+                by_length.setdefault(len(key), []).append(key)
+        for size, keys in by_length.items():
+            step = BLOCK // (size + 1)
+            for k in range(0, len(keys) if self._dense and len(keys) >= FEW else 0, step):
+                self._together(keys[k : k + step], size + 1)
+
+    def _together(self, keys: list[str], n: int) -> None:
+        """As `_best` for many words whose cuts have n characters, place by place. Words of rare characters are left out."""
+        code_of, after, score_of, id_of = self._dense
+        points = np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(keys), n - 1)
+        known = (points < len(code_of)).all(1)
+        inner = code_of[np.where(known[:, None], points, 0)]
+        known &= inner.all(1)
+        if not known.any():
+            return
+        keys, many = [k for k, good in zip(keys, known.tolist()) if good], int(known.sum())
+        codes = np.empty((n, many), np.uint8)
+        codes[0], codes[1:] = code_of[ord(SPACE)], inner[known].T
+        best, second = np.full((n + 1, many), _NONE), np.full((n + 1, many), _NONE)
+        start, ids = np.zeros((n + 1, many), np.int32), np.zeros((n + 1, many), np.int32)
+        best[0] = 0.0
+        for i in range(n):
+            rows, node = np.arange(many), after[0, codes[i]]
+            for j in range(i + 1, n + 1):
+                through, top = best[i, rows] + score_of[node], best[j, rows]
+                up = through > top
+                second[j, rows] = np.where(up, top, np.maximum(second[j, rows], through))
+                better = rows[up]
+                best[j, better], start[j, better], ids[j, better] = through[up], i, id_of[node[up]]
+                if j < n:
+                    node = after[node, codes[j, rows]]
+                    live = node > 0
+                    rows, node = rows[live], node[live]
+                    if not len(rows):
+                        break
+        place, gap, sizes, back = np.full(many, n), np.full(many, -_NONE), np.zeros(many, np.int64), []
+        rows = np.arange(many)
+        while len(rows):
+            at = place[rows]
+            gap[rows] = np.minimum(gap[rows], best[at, rows] - second[at, rows])
+            back.append((rows, ids[at, rows]))
+            sizes[rows] += 1
+            place[rows] = start[at, rows]
+            rows = rows[place[rows] > 0]
+        ends = np.cumsum(sizes)
+        pieces = np.empty(ends[-1], np.int32)
+        for k, (rows, found) in enumerate(back):
+            pieces[ends[rows] - 1 - k] = found
+        self._number.update(zip(keys, range(len(self._scores), len(self._scores) + many)))
+        self._starts.frombytes((ends + len(self._pieces)).tobytes())
+        self._scores.frombytes(best[n].tobytes())
+        self._gaps.frombytes(gap.tobytes())
+        self._pieces.frombytes(pieces.tobytes())
+        self._size += many * (n - 1)
+
     @staticmethod
     def cuts(text: str) -> list[str]:
         """The cuts of a text, each without its first U+2581."""
@@ -270,6 +393,20 @@ _ADDED = (
 )
 
 
+def _ahead(column: pa.Array, pieces: PieceLattice):
+    """The texts of a column in order; the words of some of them are learnt before the first of these is given."""
+    held, size = [], 0
+    for t in column:
+        held.append(t.as_py())
+        size += len(held[-1])
+        if size >= AHEAD:
+            pieces.learn(held)
+            yield from held
+            held, size = [], 0
+    pieces.learn(held)
+    yield from held
+
+
 def encode_documents(docs: DataFrame, model: str | None = None, n_best: int = N_BEST, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` with ids, n_pieces, nbest_scores, nbest_changes and round_trip, row by row.
 
@@ -288,8 +425,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, n_best: int = N_
         pieces = lattice(model or public_tokenizers.path(DEFAULT_MODEL), n_best)
         for batch in batches:
             found, scores, changes, sound = [], [], [], []
-            for t in batch.column(len(keep)):
-                s = t.as_py()
+            for s in _ahead(batch.column(len(keep)), pieces):
                 ids, best, differ = pieces.encode(s)
                 found.append(ids)
                 scores.append(best)

@@ -137,3 +137,16 @@ def test_odd_rows(spark):
     assert {x for x in got if x[0] in (1, 2)} == {(1, 0, 0, True), (2, 0, 0, True)}
     assert all(x[3] for x in got) and len(got) == 4
     assert encode_documents(df.limit(0)).count() == 0
+
+
+def test_words_learnt_together_equal_the_search():
+    chance, learnt = random.Random(5), PieceLattice(PATH)
+    words = ["".join(chance.choice("abeinrst.,é漢😀\x00\x7f▁ü") for _ in range(chance.randrange(1, 12))) for _ in range(4000)] + ["the", "a" * 48, "b" * 49, "퟿"] * 2
+    learnt.learn([" ".join(words), "", " "])
+    assert len(learnt._number) > 1000
+    for key in PieceLattice.cuts(" ".join(words)):
+        n = learnt._number.get(key)
+        if n is not None:
+            found = learnt.nbest(SPACE + key, 2)
+            assert (learnt._scores[n], list(learnt._pieces[learnt._starts[n] : learnt._starts[n + 1]])) == found[0]
+            assert learnt._gaps[n] == (found[0][0] - found[1][0] if len(found) > 1 else math.inf)

@@ -20,12 +20,13 @@ from pyspark.sql import types as T
 
 from ledgerlake.functions.names import is_junk_file
 from ledgerlake.schemas import BLOCK, MEMBER
+from ledgerlake.sources import chd
 from ledgerlake.sources.files import digest_stream
 
 # First bytes and sizes of the formats.
 MAGIC = {
     b"CISO": "cso", b"ZISO": "zso", b"DAX\0": "dax", b"MComprHD": "chd", b"\x01\xc0\x0b\xb1": "gcz", b"WIA\x01": "wia", b"RVZ\x01": "rvz",
-    b"WBFS": "wbfs", b"WUX0": "wux", b"PFS0": "nsp", b"PK\x03\x04": "zip", b"7z\xbc\xaf\x27\x1c": "7z", b"Rar!": "rar",
+    b"WBFS": "wbfs", b"WUX0": "wux", b"PFS0": "nsp", b"PK\x03\x04": "zip", b"7z\xbc\xaf\x27\x1c": "7z", b"Rar!": "rar", b"Z3DS": "z3ds",
 }
 DAX_BLOCK = 8192
 SECTOR = 2048
@@ -110,7 +111,14 @@ class Blocks:
             if self.checks is not None and zlib.adler32(data) != self.checks[k]:
                 raise ValueError(f"block {k}: checksum differs")
             if not raw:
-                if self.kind == "zso":
+                if self.kind == "z3ds":
+                    import zstandard
+
+                    try:
+                        data = zstandard.ZstdDecompressor().decompress(data, max_output_size=expected)
+                    except zstandard.ZstdError as e:
+                        raise ValueError(f"block {k}: {e}") from e
+                elif self.kind == "zso":
                     data = pa.Codec("lz4_raw").decompress(data, expected).to_pybytes()
                 else:
                     data = zlib.decompressobj(-15 if self.kind == "cso" else 15).decompress(data, expected)
@@ -120,7 +128,7 @@ class Blocks:
 
 
 def open_blocks(f) -> Blocks:
-    """The block table of a CSO, ZSO, DAX, GCZ or WUX file."""
+    """The block table of a CSO, ZSO, DAX, GCZ, WUX, CHD or Z3DS file."""
     f.seek(0, 2)
     end = f.tell()
     f.seek(0)
@@ -160,9 +168,50 @@ def open_blocks(f) -> Blocks:
         index = _unpack(f, f"<{n}I", 32)
         base = -(-(32 + 4 * n) // sector) * sector
         return Blocks(kind, total, [(base + i * sector, min(sector, total - k * sector), True, min(sector, total - k * sector)) for k, i in enumerate(index)])
+    if kind == "chd":
+        return ChdBlocks(f)
+    if kind == "z3ds":
+        return seekable_blocks(f)
     raise ValueError(f"no block container: {kind}")
 
 
+class ChdBlocks(Blocks):
+    """The hunks of a CHD; a copy of another hunk has that one's place."""
+
+    def __init__(self, f):
+        h, table = chd.header(f), []
+        for k, (kind, at, length, _) in enumerate(chd.hunk_map(f, h)):
+            size = min(h.hunk, h.logical - k * h.hunk)
+            if kind == chd.SELF:
+                if at >= k:
+                    raise ValueError(f"hunk {k}: copies a later hunk")
+                table.append((*table[at][:3], size))
+            else:
+                table.append((None if kind == chd.PARENT else at, length, kind == chd.NONE, size))
+        super().__init__("chd", h.logical, table)
+
+    def read(self, f):
+        return chd.hunks(f)
+
+
+def seekable_blocks(f) -> Blocks:
+    """The frames of a Z3DS file, whose payload is a seekable zstd stream: a table of frame lengths ends it."""
+    _, _, _, _, head, extra, packed, total = _unpack(f, "<4s4sBBHIQQ", 0)
+    base = head + extra
+    n, how, magic = _unpack(f, "<IBI", base + packed - 9)
+    wide = 12 if how & 0x80 else 8
+    if magic != 0x8F92EAB1 or n * wide + 17 > packed:
+        raise ValueError("no table of frames")
+    table, at = [], base
+    for k in range(n):
+        stored, size = _unpack(f, "<II", base + packed - 9 - (n - k) * wide)
+        table.append((at, stored, False, size))
+        at += stored
+    if sum(size for *_, size in table) != total:
+        raise ValueError("frames do not add up to the image")
+    return Blocks("z3ds", total, table)
+
+
 def wbfs_slots(f) -> list[tuple[int, int]]:
     """(block of the disc, block of the file) for the used blocks of a WBFS file's first disc."""
     magic, _, hd, wb = _unpack(f, ">4sIBB", 0)
@@ -290,20 +339,9 @@ def chd_info(files: DataFrame, errors: bool = False) -> DataFrame:
 
     def one(path):
         with open(path, "rb") as f:
-            magic, _, version = _unpack(f, ">8sII", 0)
-            if magic != b"MComprHD" or version != 5:
-                raise ValueError("no CHD file of version 5")
-            *codecs, logical, _, meta = _unpack(f, ">4s4s4s4sQQQ", 16)
-            hunk, unit, raw, whole, parent = _unpack(f, ">II20s20s20s", 56)
-            found, seen = [], set()
-            while meta and meta not in seen:
-                seen.add(meta)
-                tag, flags_length, after = _unpack(f, ">4sIQ", meta)
-                text = f.read(flags_length & 0xFFFFFF).rstrip(b"\0").decode("utf-8", "replace")
-                found.append(f"{tag.decode('ascii', 'replace')}:{text}")
-                meta = after
-            names = [c.decode("ascii") for c in codecs if c.strip(b"\0")]
-            return [(path, version, names, logical, hunk, unit, raw.hex(), whole.hex(), any(parent), found)]
+            h = chd.header(f)
+            found = [f"{tag}:{content.rstrip(b"\0").decode('utf-8', 'replace')}" for tag, _, content in chd.metadata(f, h.meta_at)]
+            return [(path, 5, [c for c in h.codecs if c], h.logical, h.hunk, h.unit, h.raw_sha1, h.sha1, h.parent, found)]
 
     got = _mapped(files, _guarded(one, len(CHD.fields)), _with_error(CHD))
     return got if errors else got.where("error is null").drop("error")

@@ -1,0 +1,207 @@
+import hashlib
+import io
+import lzma
+import os
+import struct
+import zlib
+
+import numpy as np
+import pytest
+import zstandard
+
+from ledgerlake.sources import chd, containers, images
+
+LZMA = [{"id": lzma.FILTER_LZMA1, "lc": 3, "lp": 0, "pb": 2, "dict_size": 1 << 16}]
+
+
+def packed(codec, data):
+    if codec == "zlib":
+        c = zlib.compressobj(9, zlib.DEFLATED, -15)
+        return c.compress(data) + c.flush()
+    return lzma.compress(data, lzma.FORMAT_RAW, filters=LZMA) if codec == "lzma" else zstandard.compress(data)
+
+
+class Bits:
+    def __init__(self):
+        self.out = ""
+
+    def add(self, value, n):
+        self.out += f"{value:0{n}b}" if n else ""
+
+
+def chd_file(hunks, codecs, meta=(), hunk=4096, unit=512, logical=None, spoil=False):
+    """hunks: (kind, stored bytes, content) or (SELF, hunk) and the like; all kinds have codes of four bits."""
+    bits, place, rows, body = Bits(), 124, [], b""
+    for _ in range(16):
+        bits.add(4, 4)
+    last = 0
+    for k, (kind, *_) in enumerate(hunks):  # a run of three of the same kind is written as one
+        bits.add(kind, 4)
+    copied = 0
+    for kind, *what in hunks:
+        if kind <= chd.NONE:
+            data, content = what
+            if kind != chd.NONE:
+                bits.add(len(data), 20)
+            crc = chd.crc16(content)
+            bits.add(crc, 16)
+            rows.append((kind, len(data), place, crc))
+            place, body = place + len(data), body + data
+        elif kind == chd.SELF:
+            copied = what[0]
+            bits.add(copied, 8)
+            rows.append((chd.SELF, 0, copied, 0))
+        else:
+            copied += kind == chd.SELF_1
+            rows.append((chd.SELF, 0, copied, 0))
+    del last
+    raw = b"".join(struct.pack(">B", a) + b.to_bytes(3, "big") + c.to_bytes(6, "big") + d.to_bytes(2, "big") for a, b, c, d in rows)
+    stream = int(bits.out.ljust(-(-len(bits.out) // 8) * 8, "0"), 2).to_bytes(-(-len(bits.out) // 8), "big")
+    table = struct.pack(">I", len(stream)) + (124).to_bytes(6, "big") + struct.pack(">HBBBB", chd.crc16(raw), 20, 8, 8, 0) + stream
+    contents = []
+    for kind, *what in hunks:
+        contents.append(what[1] if kind <= chd.NONE else None)
+    for k, row in enumerate(rows):
+        if contents[k] is None:
+            contents[k] = contents[row[2]]
+    image = b"".join(contents)[:logical]
+    sha = hashlib.sha1(image).hexdigest()
+    at, entries = place + len(table), b""
+    for k, (tag, text) in enumerate(meta):
+        after = at + len(entries) + 16 + len(text) if k + 1 < len(meta) else 0
+        entries += struct.pack(">4sIQ", tag, 1 << 24 | len(text), after) + text
+    whole = chd.whole_sha1(sha, [(t.decode(), 1, x) for t, x in meta])
+    names = [c.encode() for c in codecs] + [b"\0" * 4] * (4 - len(codecs))
+    head = struct.pack(chd.HEADER, b"MComprHD", 124, 5, *names, len(image), place, at if meta else 0, hunk, unit, bytes.fromhex(sha), bytes.fromhex(whole), b"\0" * 20)
+    data = bytearray(head + body + table + entries)
+    if spoil:
+        data[130] ^= 255
+    return bytes(data), image
+
+
+def plain_chd(**more):
+    parts = [bytes([k]) * 3000 + os.urandom(1096) for k in range(4)]
+    hunks = [(0, packed("zlib", parts[0]), parts[0]), (1, packed("lzma", parts[1]), parts[1]), (2, packed("zstd", parts[2]), parts[2]), (chd.NONE, parts[3], parts[3]), (chd.SELF, 1), (chd.SELF_0,), (chd.SELF_1,), (0, packed("zlib", parts[0]), parts[0])]
+    return chd_file(hunks, ["zlib", "lzma", "zstd"], **more)
+
+
+def paths(spark, folder, *names):
+    return spark.createDataFrame([(str(folder / n),) for n in names], "path string")
+
+
+def test_chd_hunks_and_digests(spark, tmp_path):
+    data, image = plain_chd(meta=((b"CHT2", b"a\0"), (b"IDNT", b"b")), logical=8 * 4096 - 100)
+    assert b"".join(chd.hunks(io.BytesIO(data))) == image
+    spoilt, _ = plain_chd(spoil=True)
+    for name, content in (("a.chd", data), ("bad.chd", spoilt), ("cut.chd", data[:-60][:200]), ("none.chd", b"")):
+        (tmp_path / name).write_bytes(content)
+    every = paths(spark, tmp_path, "a.chd", "bad.chd", "cut.chd", "none.chd", "missing.chd")
+    got = {os.path.basename(r.path): r for r in images.chd_verify(every).collect()}
+    assert got["a.chd"].ok and got["a.chd"].raw_sha1 == hashlib.sha1(image).hexdigest()
+    assert all(r.error and r.ok is None for name, r in got.items() if name != "a.chd")
+    blocks = containers.container_blocks(paths(spark, tmp_path, "a.chd")).orderBy("block_no").collect()
+    assert sum(r.expected_len for r in blocks) == len(image) and blocks[4].offset == blocks[1].offset and blocks[3].raw
+    decoded = containers.digest_decoded(paths(spark, tmp_path, "a.chd")).first()
+    assert (decoded.kind, decoded.sha1, decoded.size_bytes) == ("chd", hashlib.sha1(image).hexdigest(), len(image))
+    wrong = bytearray(data)
+    wrong[84] ^= 1
+    assert chd.verified(io.BytesIO(bytes(wrong)))[2:] == (True, False)
+
+
+def test_map_of_runs():
+    """Kinds written as runs: 3 + 2 of one, then 19 + 16 + 1 of another."""
+    bits = Bits()
+    for _ in range(16):
+        bits.add(4, 4)
+    for kind in (chd.NONE, chd.RLE_SMALL, 2, chd.SELF_0, chd.RLE_LARGE, 1, 1):
+        bits.add(kind, 4)
+    rows = []
+    for k in range(6):
+        bits.add(7, 16)
+        rows.append((chd.NONE, 16, 124 + 16 * k, 7))
+    rows += [(chd.SELF, 0, 0, 0)] * 37
+    raw = b"".join(struct.pack(">B", a) + b.to_bytes(3, "big") + c.to_bytes(6, "big") + d.to_bytes(2, "big") for a, b, c, d in rows)
+    stream = int(bits.out.ljust(-(-len(bits.out) // 8) * 8, "0"), 2).to_bytes(-(-len(bits.out) // 8), "big")
+    head = struct.pack(chd.HEADER, b"MComprHD", 124, 5, b"zlib", *[b"\0" * 4] * 3, 16 * 43, 124, 0, 16, 16, *[b"\0" * 20] * 3)
+    got = chd.hunk_map(io.BytesIO(head + struct.pack(">I", len(stream)) + (124).to_bytes(6, "big") + struct.pack(">HBBBB", chd.crc16(raw), 20, 8, 8, 0) + stream))
+    assert [(a, c, b) for a, b, c, _ in got] == [(a, b, c) for a, b, c, _ in rows]
+    assert chd.crc16(b"123456789") == 0x29B1
+
+
+def syndromes(sector):
+    """Remainders of both parities of a mode-1 sector by the definition: each code word is zero at 1 and at 2."""
+    power, log = [1], {}
+    for k in range(254):
+        x = power[-1] << 1
+        power.append(x ^ 0x11D if x & 256 else x)
+    log = {v: k for k, v in enumerate(power)}
+    body, out = sector[12:], []
+    for columns, rows, word in ((86, 24, lambda c: [c + 86 * r for r in range(26)]), (52, 43, lambda c: [((c >> 1) * 86 + (c & 1) + 88 * r) % 2236 for r in range(43)] + [2236 + c, 2236 + 52 + c])):
+        for c in range(columns):
+            values = [body[k] for k in word(c)]
+            plain = turned = 0
+            for k, v in enumerate(reversed(values)):
+                plain ^= v
+                turned ^= power[(log[v] + k) % 255] if v else 0
+            out += [plain, turned]
+    return out
+
+
+def test_parity_by_definition():
+    sector = chd.with_parity(b"\0" * 12 + b"\0\2\0\1" + os.urandom(2064) + b"\0" * 272)
+    assert sector[:12] == chd.SYNC and not any(syndromes(sector))
+    assert chd.with_parity(sector) == sector
+    two = chd.with_parity(b"\0" * 12 + b"\0\2\0\2" + os.urandom(2064) + b"\0" * 272)
+    assert not any(syndromes(two[:12] + b"\0" * 4 + two[16:]))
+
+
+@pytest.mark.parametrize("codec", ["cdzl", "cdlz", "cdzs"])
+def test_tracks_of_a_cd(spark, tmp_path, codec):
+    base = chd._CD[codec]
+    sectors = [chd.with_parity(b"\0" * 12 + bytes([0, 2, k, 1]) + os.urandom(2064) + b"\0" * 272) for k in range(5)] + [b"\0" * 2352] * 3 + [os.urandom(2352) for _ in range(4)]
+    hunks = []
+    for k in range(0, 12, 4):
+        group = sectors[k : k + 4]
+        marks = sum((s[:12] == chd.SYNC) << n for n, s in enumerate(group))
+        bare = b"".join(b"\0" * 12 + s[12:0x81C] + b"\0" * 276 if s[:12] == chd.SYNC else s for s in group)
+        a, b = packed(base, bare), packed("zlib" if base == "lzma" else base, b"\0" * 384)
+        hunks.append((0, bytes([marks]) + len(a).to_bytes(2, "big") + a + b, b"".join(s + b"\0" * 96 for s in group)))
+    meta = ((b"CHT2", b"TRACK:1 TYPE:MODE1_RAW SUBTYPE:NONE FRAMES:5 PREGAP:0\0"), (b"CHT2", b"TRACK:2 TYPE:AUDIO SUBTYPE:NONE FRAMES:3 PREGAP:0\0"))
+    data, _ = chd_file(hunks, [codec], meta, hunk=4 * 2448, unit=2448)
+    (tmp_path / "cd.chd").write_bytes(data)
+    (tmp_path / "plain.chd").write_bytes(plain_chd()[0])
+    assert images.chd_verify(paths(spark, tmp_path, "cd.chd")).first().ok
+    got = images.chd_track_digests(paths(spark, tmp_path, "cd.chd", "plain.chd"), ("sha1",)).collect()
+    first, second = b"".join(sectors[:5]), np.frombuffer(b"".join(sectors[8:11]), np.uint16).byteswap().tobytes()
+    want = {("track", 1): first, ("track", 2): second, ("whole", None): first + second}
+    assert {(r.scope, r.track_number): (r.sha1, r.size_bytes) for r in got if r.error is None} == {k: (hashlib.sha1(v).hexdigest(), len(v)) for k, v in want.items()}
+    assert [r.error for r in got if r.error] == ["ValueError: no tracks"]
+
+
+def test_structure_of_rvz(spark, tmp_path):
+    table = os.urandom(2 * 0x30)
+    disc = bytearray(os.urandom(0xDC))
+    struct.pack_into(">IIQ", disc, 0x90, 2, 0x30, 0x48 + 0xDC)
+    disc[0xA0:0xB4] = hashlib.sha1(table).digest()
+    head = struct.pack(">4sIII20sQQ", b"RVZ\1", 1 << 24, 1 << 24, len(disc), hashlib.sha1(disc).digest(), 1, 1)
+    whole = head + hashlib.sha1(head).digest() + disc + table
+    bad = whole[:-1] + bytes([whole[-1] ^ 1])
+    for name, data in (("a.rvz", whole), ("b.rvz", bad), ("c.rvz", whole[:100]), ("d.rvz", b"")):
+        (tmp_path / name).write_bytes(data)
+    got = {os.path.basename(r.path): r for r in images.structure_verify(paths(spark, tmp_path, "a.rvz", "b.rvz", "c.rvz", "d.rvz")).collect()}
+    assert got["a.rvz"].ok and not got["b.rvz"].ok and (got["b.rvz"].head_ok, got["b.rvz"].disc_ok, got["b.rvz"].parts_ok) == (True, True, False)
+    assert got["c.rvz"].error and got["d.rvz"].error
+
+
+def test_seekable_images(spark, tmp_path):
+    image = os.urandom(5000) + b"\0" * 9000
+    frames = [zstandard.compress(image[k : k + 4096]) for k in range(0, len(image), 4096)]
+    sizes = b"".join(struct.pack("<II", len(x), min(4096, len(image) - 4096 * k)) for k, x in enumerate(frames))
+    payload = b"".join(frames) + struct.pack("<II", 0x184D2A5E, len(sizes) + 9) + sizes + struct.pack("<IBI", len(frames), 0, 0x8F92EAB1)
+    whole = struct.pack("<4s4sBBHIQQ", b"Z3DS", b"NCSD", 1, 0, 32, 8, len(payload), len(image)) + b"metadata" + payload
+    (tmp_path / "a.zcci").write_bytes(whole)
+    (tmp_path / "b.zcci").write_bytes(whole[:-4])
+    (tmp_path / "c.zcci").write_bytes(whole[:40] + b"\xff" * 4 + whole[44:])
+    got = {os.path.basename(r.path): r for r in containers.digest_decoded(paths(spark, tmp_path, "a.zcci", "b.zcci", "c.zcci")).collect()}
+    assert (got["a.zcci"].kind, got["a.zcci"].sha1, got["a.zcci"].size_bytes) == ("z3ds", hashlib.sha1(image).hexdigest(), len(image))
+    assert got["b.zcci"].error and got["c.zcci"].error

@@ -45,11 +45,24 @@ def drop(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
+#: Whether Spark removes a query's shuffle files as soon as it ends, not when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts the lineage and survives lost executors."""
+    """Write df as Parquet to the shared folder and read it again: cuts the lineage and survives lost executors.
+    Nothing reads the shuffle files of the write again, so they go with it."""
     spark = df.sparkSession
     path = path or scratch(spark, label)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

@@ -3,7 +3,8 @@
 Copies that differ in a fifth of their shingles differ in about ten of 64 SimHash bits, where no key is
 selective. They are found by prefixes instead, which is exact: in any fixed order of all shingles, two such
 sets share one of the first n - ceil(4n/5) + 1 of each. The order puts shingles that are common in a sample
-last, so lists of texts with a shingle are short; the sample bears on the time alone, never on the result.
+last and those of rare words first, so lists of texts with a shingle are short however many texts there are; the
+sample bears on the time alone, never on the result.
 
 Before that, copies are connected through few links: texts whose least shingle agrees, in one of several random
 orders, are compared with one of them, a hub. Of the lists then only pairs count that are not yet connected, so
@@ -12,11 +13,16 @@ shingles that are very common in the sample are dealt out in parts while it is f
 
 A set's sketch has a bit for each of 512 classes of shingles: whether it holds an odd number of them. Sets whose
 sketches differ in d bits differ in d shingles at least, so most pairs are ruled out, none wrongly, before texts
-are compared.
+are compared: first by 512 classes, where pairs are listed, then by more classes than the sets have shingles, since
+512 say nothing of long texts. Sketches and texts go to the tasks that compare them in portions, one after another, so
+the disk they take follows the texts and not the pairs.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,16 +39,22 @@ SAMPLE, COMMON, HOT, PARTS = 20_000, 3, 60, 64
 ORDERS, DEALT = 6, 256
 #: Common shingles that are told apart by their count; others count as rare, which costs time alone.
 TOLD = 500_000
+#: Words that are told apart by their count in the sample; others count as rare, which costs time alone.
+WORDS = 200_000
+#: Shingles of the texts that move at once: at most this share of all, or so many.
+MOVED, LEAST_MOVED = 0.5, 1 << 22
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
-def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's word shingles; a shorter text is one shingle."""
+def word_hashes(text: str) -> np.ndarray:
+    """The 64-bit hashes of a text's words, in their order."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.int64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _runs(h: np.ndarray, shingle: int) -> np.ndarray:
+    """The hash of each run of so many words, of their hashes; fewer words are one run."""
     size = min(shingle, len(h))
     n = len(h) - size + 1
     out = np.full(n, size, np.uint64)
@@ -50,7 +62,13 @@ def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
         out = (out ^ h[k : k + n]) * _MIX[0]
         out = (out ^ (out >> np.uint64(29))) * _MIX[1]
         out ^= out >> np.uint64(32)
-    return np.unique(out).view(np.int64)
+    return out
+
+
+def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's word shingles; a shorter text is one shingle."""
+    h = word_hashes(text)
+    return np.unique(_runs(h, shingle)).view(np.int64) if len(h) else np.zeros(0, np.int64)
 
 
 def mark(hashes: np.ndarray) -> int:
@@ -78,25 +96,56 @@ def leasts(hashes: np.ndarray) -> np.ndarray:
 
 
 def _mapped(docs: DataFrame, each, schema: str, names: list[str]) -> DataFrame:
-    """Rows that each(shingles) gives as arrays, for the texts of docs that have words."""
+    """Rows that each(word hashes) gives as arrays, for the texts of docs that have words."""
 
     def run(batches):
         enter("jaccard")
         for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
-            got = [each(h) for t in batch.column(0) if len(h := shingles(t.as_py()))]
+            got = [each(w) for t in batch.column(0) if len(w := word_hashes(t.as_py()))]
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got)], names=names)
 
     return docs.select("text").mapInArrow(run, schema)
 
 
-def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are common in a sample, in order, and their counts."""
+def _commonest(values: DataFrame, most: int, label: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of h that occur COMMON times or more, at most so many, in order, and their counts."""
+    counts = written(values.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON), label)
+    got = counts.orderBy(F.desc("n")).limit(most).toArrow()
+    release(counts)
+    h, n = (got.column(c).to_numpy() for c in ("h", "n"))
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles that are common in a sample, in order, and their counts; words likewise, and their weights, which
+    are sixteenths of the binary logarithm of their counts."""
     n = docs.count()
     part = docs.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(max(1, n // SAMPLE))) == 0)
-    counts = _mapped(part, lambda h: (h,), "h long", ["h"]).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    got = sorted((r.h, r.n) for r in counts.orderBy(F.desc("n")).limit(TOLD).collect())
-    return np.array([h for h, _ in got], np.int64), np.array([n for _, n in got], np.int64)
+    common, counts = _commonest(_mapped(part, lambda w: (np.unique(_runs(w, SHINGLE)).view(np.int64),), "h long", ["h"]), TOLD, "jaccardcommon")
+    words, often = _commonest(_mapped(part, lambda w: (w.view(np.int64),), "h long", ["h"]), WORDS, "jaccardwords")
+    return common, counts, words, np.rint(16 * np.log2(often)).astype(np.int64)
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of each wanted key, zero where the sorted keys have none."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
+
+
+def prefix(w: np.ndarray, common: np.ndarray, counts: np.ndarray, words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted shingles of a text, by its word hashes; the first of them in the order, as many as two similar sets
+    share one of; and their counts in the sample. Arguments are as `_common` gives them."""
+    h, at = np.unique(_runs(w, SHINGLE), return_index=True)
+    h, n = h.view(np.int64), len(h)
+    rank = _looked_up(common, counts, h)
+    total = np.concatenate(([0], np.cumsum(_looked_up(words, weights, w.view(np.int64)))))
+    size = min(SHINGLE, len(w))
+    chosen = np.lexsort((h, (total[size:] - total[:-size])[at], rank))[: n - -(-4 * n // 5) + 1]
+    return h, h[chosen], rank[chosen]
 
 
 def _postings(docs: DataFrame) -> DataFrame:
@@ -104,17 +153,11 @@ def _postings(docs: DataFrame) -> DataFrame:
     shingle before (t for the first). part is -1 but for shingles that are very common, whose lists are dealt out."""
     held = docs.sparkSession.sparkContext.broadcast(_common(docs))
 
-    def each(h):
-        common, counts = held.value
-        rank = np.zeros(len(h), np.int64)
-        if len(common):
-            at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-            rank = np.where(common[at] == h, counts[at], 0)
+    def each(w):
+        h, first, rank = prefix(w, *held.value)
         n, t = len(h), mark(h)
-        chosen = np.lexsort((h, rank))[: n - -(-4 * n // 5) + 1]
-        part = np.where(rank[chosen] >= HOT, t % PARTS, -1).astype(np.int32)
-        first = h[chosen]
-        return first, part, np.full(len(chosen), t), np.full(len(chosen), n, np.int32), np.arange(len(chosen), dtype=np.int32), np.concatenate(([t], first[:-1]))
+        part = np.where(rank >= HOT, t % PARTS, -1).astype(np.int32)
+        return first, part, np.full(len(first), t), np.full(len(first), n, np.int32), np.arange(len(first), dtype=np.int32), np.concatenate(([t], first[:-1]))
 
     return _mapped(docs, each, "tok long, part int, t long, n int, pos int, prev long", ["tok", "part", "t", "n", "pos", "prev"])
 
@@ -125,33 +168,83 @@ _CAN = "5L * least(a.n, b.n) >= 4L * greatest(a.n, b.n) and 9L * least(a.n - a.p
 _NEAR = "9 * (" + " + ".join(f"bit_count(a.{s} ^ b.{s})" for s in SKETCH) + ") <= a.n + b.n"
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by their sets, as a written table. A text goes once to each task
-    that compares others with it; one with many partners is compared in several tasks."""
+def long_sketch(hashes: np.ndarray) -> bytes:
+    """A set's size and its parity bits, at least four for each shingle: a power of two of classes, as `sketch` has."""
+    m = max(512, 1 << (4 * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes >> np.int64(20)) & (m - 1), minlength=m).astype(np.uint8) & 1
+    return len(hashes).to_bytes(8, "little") + np.packbits(odd, bitorder="little").tobytes()
+
+
+def _read_sketch(x: bytes) -> tuple[int, np.ndarray]:
+    return int.from_bytes(x[:8], "little"), np.frombuffer(x, np.uint64, offset=8)
+
+
+def _close(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> bool:
+    """Whether sets with these long sketches can be similar. Of sketches of two lengths the longer one is folded."""
+    (n, x), (m, y) = a, b
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return 9 * int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= n + m
+
+
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
+
+
+def _compared(pairs: DataFrame, things: DataFrame, sets: DataFrame, weight: float, read, test, label: str) -> list[DataFrame]:
+    """The pairs (a, b) of a written table whose things (t, x) pass the test once they are read, as written tables. A
+    thing goes once to each task that compares others with it; one with many partners is compared in several tasks.
+    Where more goes than a share of all texts, the tasks run in several portions; weight is a thing's size in texts."""
+    shares = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / DEALT).cast("long").alias("shares")), "jaccardshares")
+    moved = pairs.join(sets.select(F.col("t").alias("b"), "n"), "b").agg(F.sum("n").alias("n")).first().n or 0
+    whole = sets.agg(F.sum("n").alias("n")).first().n or 0
+    portions = max(1, math.ceil(weight * moved / max(LEAST_MOVED, MOVED * whole)))
+    tasks = shares.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"))
+    tasks = tasks.unionByName(pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), F.col("shares")).alias("share"), "b"))
+    tasks = written(tasks.withColumn("portion", F.pmod(F.xxhash64("a", "share", F.lit(2)), F.lit(portions)).cast("int")), "jaccardtasks")
+
+    def run(batches):
+        enter("jaccard")
+        head = None
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+            good = []
+            for b, x in zip(batch.column(2).to_pylist(), batch.column(3)):
+                x = read(x.as_py())
+                if b is None:  # stands before those that are compared with it
+                    head = x
+                good.append(b is not None and test(head, x))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    good = []
+    for k in range(portions):
+        now = tasks.where(F.col("portion") == k).withColumn("t", F.coalesce("b", "a")).join(things, "t").select("a", "share", "b", "x")
+        both = now.repartition("a", "share").sortWithinPartitions("a", "share", "b")
+        good.append(written(both.mapInArrow(run, "a long, b long"), label))
+    release(shares, tasks)
+    return good
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, sets: DataFrame) -> list[DataFrame]:
+    """The pairs (a, b) whose sets are similar, by their sets, as written tables. Long sketches are compared first, so
+    few texts move."""
     pairs = written(pairs, "jaccardpairs")
     ends = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct()
     wanted = written(texts.join(ends, "t", "left_semi").groupBy("t").agg(F.min("x").alias("x")), "jaccardwanted")
     few = docs.withColumn("x", F.xxhash64("text")).join(wanted.select("x"), "x", "left_semi").dropDuplicates(["x"])
-    named = written(few.join(wanted, "x").select("t", "text"), "jaccardnamed")
-    shares = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / DEALT).cast("long").alias("shares")), "jaccardshares")
-    heads = shares.join(named.withColumnRenamed("t", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"), "text")
-    tails = pairs.join(shares, "a").join(named.withColumnRenamed("t", "b"), "b").select("a", F.pmod(F.xxhash64("b"), F.col("shares")).alias("share"), "b", "text")
-    both = heads.unionByName(tails).repartition("a", "share").sortWithinPartitions("a", "share", "b")
+    named = written(few.join(wanted, "x").select("t", F.col("text").alias("x")), "jaccardnamed")
 
     def run(batches):
         enter("jaccard")
-        head = np.zeros(0, np.int64)
         for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
-            good = []
-            for b, text in zip(batch.column(2).to_pylist(), batch.column(3)):
-                h = shingles(text.as_py())
-                if b is None:  # stands before the texts that are compared with it
-                    head = h
-                good.append(b is not None and 9 * len(np.intersect1d(head, h, assume_unique=True)) >= 4 * (len(head) + len(h)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            found = [long_sketch(shingles(x.as_py())) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["t", "x"])
 
-    good = written(both.mapInArrow(run, "a long, b long"), "jaccardgood")
-    release(pairs, wanted, named, shares)
+    sketched = written(named.mapInArrow(run, "t long, x binary"), "jaccardbits")
+    left = _compared(pairs, sketched, sets, 0.125, _read_sketch, _close, "jaccardclose")
+    good = _compared(reduce(DataFrame.unionByName, left), named, sets, 1, shingles, _similar, "jaccardgood")
+    release(pairs, wanted, named, sketched, *left)
     return good
 
 
@@ -177,8 +270,8 @@ def similar_links(docs: DataFrame, fp: DataFrame) -> DataFrame:
     sets = written(fp.groupBy("t").agg(*(F.min(c).alias(c) for c in ("n", *SKETCH, *MINS))), "jaccardsets")
     one = written(texts.groupBy("t").agg(F.min("fp").alias("one")), "jaccardones")
     same = texts.join(one, "t").where("fp <> one").select(F.col("one").alias("a"), F.col("fp").alias("b"))
-    links = _verified(_hubs(sets), docs, texts)
-    of = written(connected_components(links).withColumnRenamed("node", "t"), "jaccardof")
+    links = _verified(_hubs(sets), docs, texts, sets)
+    of = written(connected_components(reduce(DataFrame.unionByName, links)).withColumnRenamed("node", "t"), "jaccardof")
     # one shuffle by list: distinct and both ends of a list need no other
     lists = _postings(docs).repartition("tok", "part").distinct()
     ends = Window.partitionBy("tok", "part")
@@ -190,9 +283,9 @@ def similar_links(docs: DataFrame, fp: DataFrame) -> DataFrame:
     full = written(grouped.join(span, "tok", "left_semi").join(sets.select("t", *SKETCH), "t"), "jaccardfull")
     # texts that have the shingle before in common as well have met in its list already
     more = full.alias("a").join(full.alias("b"), F.expr(f"a.tok = b.tok and a.t < b.t and a.c <> b.c and a.prev <> b.prev and {_CAN} and {_NEAR}"))
-    more = _verified(more.select(F.col("a.t").alias("a"), F.col("b.t").alias("b")).distinct(), docs, texts)
-    all_ = links.unionByName(more)
+    more = _verified(more.select(F.col("a.t").alias("a"), F.col("b.t").alias("b")).distinct(), docs, texts, sets)
+    all_ = reduce(DataFrame.unionByName, [*links, *more])
     named = all_.join(one.select(F.col("t").alias("a"), F.col("one").alias("u")), "a").join(one.select(F.col("t").alias("b"), F.col("one").alias("v")), "b")
     out = written(named.where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(same).distinct(), "jaccardlinks")
-    release(texts, one, rows, sets, full, links, more, of)
+    release(texts, one, rows, sets, full, of, *links, *more)
     return out

@@ -2,8 +2,11 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from ledgerlake.llm.near_jaccard import sketch
+from ledgerlake.llm import near_jaccard
+from ledgerlake.llm.common import written
+from ledgerlake.llm.near_jaccard import _close, _read_sketch, long_sketch, sketch
 from ledgerlake.llm.simhash_golay import fingerprint, keep_one_of_each, simhash_groups
 
 from .test_simhash_golay import components
@@ -56,6 +59,56 @@ def test_sketches_rule_out_nothing_similar():
         assert np.bitwise_count((sketch(x) ^ sketch(y)).view(np.uint64)).sum() <= apart
 
 
+def test_long_sketches_rule_out_nothing_similar_and_long_unlike_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 90, 700, 4000, 9000):
+        for share in (0.8, 0.85, 0.9, 1):
+            x = np.unique(rng.integers(-(1 << 63), 1 << 63, n))
+            for y in (x[: max(1, -(-int(100 * share) * n // 100))], np.concatenate([x, rng.integers(-(1 << 63), 1 << 63, n // 4)])):
+                assert 9 * len(np.intersect1d(x, y)) < 4 * (len(x) + len(y)) or _close(_read_sketch(long_sketch(x)), _read_sketch(long_sketch(y)))
+        y = rng.integers(-(1 << 63), 1 << 63, n)
+        assert n < 90 or not _close(_read_sketch(long_sketch(x)), _read_sketch(long_sketch(y)))
+
+
+def test_long_texts_that_share_a_line_alone_do_not_move(spark, monkeypatch):
+    rng = random.Random(6)
+    seen = {}
+
+    def spied(df, label, path=None):
+        out = written(df, label, path)
+        seen[label] = seen.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_jaccard, "written", spied)
+    texts = [" ".join([*(f"w{rng.randrange(5000)}" for _ in range(3000)), *(f"line{k // 2}x{j}" for j in range(8))]) for k in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash_groups(df, similar=True).collect()}
+    assert got == {k: k for k in range(20)}
+    assert seen["jaccardpairs"] >= 10 and seen["jaccardclose"] == 0
+
+
+def test_portions_change_no_group(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"h{rng.randrange(5000)}" for _ in range(150)]
+    rows = list(enumerate([edited(rng, words, rng.choice((1, 2, 3, 4))) for _ in range(30)]))
+    labels = []
+    monkeypatch.setattr(near_jaccard, "LEAST_MOVED", 1)
+    monkeypatch.setattr(near_jaccard, "MOVED", 0.5)
+    monkeypatch.setattr(near_jaccard, "DEALT", 4)
+    monkeypatch.setattr(near_jaccard, "written", lambda df, label, path=None: labels.append(label) or written(df, label, path))
+    got = {r.doc_id: r.component_id for r in simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), similar=True).collect()}
+    assert got == expected(rows)
+    assert labels.count("jaccardgood") > 2
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    kept = [written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test") for _ in range(3)]
+    assert [df.count() for df in kept] == [7, 7, 7]
+    assert tracker.shuffleStatuses().size() <= before + 3  # those of the counts above
+
+
 def test_pipeline_stage_drops_edited_copies(spark):
     import corpus_pipeline
 

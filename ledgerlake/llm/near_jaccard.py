@@ -14,8 +14,8 @@ shingles that are very common in the sample are dealt out in parts while it is f
 A set's sketch has a bit for each of 512 classes of shingles: whether it holds an odd number of them. Sets whose
 sketches differ in d bits differ in d shingles at least, so most pairs are ruled out, none wrongly, before texts
 are compared: first by 512 classes, where pairs are listed, then by more classes than the sets have shingles, since
-512 say nothing of long texts. Sketches and texts go to the tasks that compare them in portions, one after another, so
-the disk they take follows the texts and not the pairs.
+512 say nothing of long texts. Lists are paired off, and sketches and texts go to the tasks that compare them, in
+portions, one after another, so the disk they take follows the texts and not the pairs.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ TOLD = 500_000
 WORDS = 200_000
 #: Shingles of the texts that move at once: at most this share of all, or so many.
 MOVED, LEAST_MOVED = 0.5, 1 << 22
+#: Rows of lists that are paired off at once: at most this share of all shingles, or LEAST_MOVED.
+LISTED = 0.04
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
@@ -277,15 +279,22 @@ def similar_links(docs: DataFrame, fp: DataFrame) -> DataFrame:
     ends = Window.partitionBy("tok", "part")
     lists = lists.withColumns({"low": F.min("t").over(ends), "high": F.max("t").over(ends)}).where("low <> high or part >= 0")
     rows = written(lists.select("tok", "t", "n", "pos", "prev"), "jaccardlists")
-    grouped = rows.join(of, "t", "left").withColumn("c", F.coalesce("component", "t")).drop("component")
-    # lists within one group have nothing left to compare
-    span = grouped.groupBy("tok").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("tok")
-    full = written(grouped.join(span, "tok", "left_semi").join(sets.select("t", *SKETCH), "t"), "jaccardfull")
-    # texts that have the shingle before in common as well have met in its list already
-    more = full.alias("a").join(full.alias("b"), F.expr(f"a.tok = b.tok and a.t < b.t and a.c <> b.c and a.prev <> b.prev and {_CAN} and {_NEAR}"))
-    more = _verified(more.select(F.col("a.t").alias("a"), F.col("b.t").alias("b")).distinct(), docs, texts, sets)
+    whole = sets.agg(F.sum("n").alias("n")).first().n or 0
+    portions = max(1, math.ceil(rows.count() / max(LEAST_MOVED, LISTED * whole)))
+    met = []
+    for k in range(portions):
+        now = rows.where(F.pmod(F.xxhash64("tok"), F.lit(portions)) == k)
+        grouped = now.join(of, "t", "left").withColumn("c", F.coalesce("component", "t")).drop("component")
+        # lists within one group have nothing left to compare
+        span = grouped.groupBy("tok").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("tok")
+        full = written(grouped.join(span, "tok", "left_semi").join(sets.select("t", *SKETCH), "t"), "jaccardfull")
+        # texts that have the shingle before in common as well have met in its list already
+        more = full.alias("a").join(full.alias("b"), F.expr(f"a.tok = b.tok and a.t < b.t and a.c <> b.c and a.prev <> b.prev and {_CAN} and {_NEAR}"))
+        met.append(written(more.select(F.col("a.t").alias("a"), F.col("b.t").alias("b")).distinct(), "jaccardmet"))
+        release(full)
+    more = _verified(reduce(DataFrame.unionByName, met).distinct(), docs, texts, sets)
     all_ = reduce(DataFrame.unionByName, [*links, *more])
     named = all_.join(one.select(F.col("t").alias("a"), F.col("one").alias("u")), "a").join(one.select(F.col("t").alias("b"), F.col("one").alias("v")), "b")
     out = written(named.where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(same).distinct(), "jaccardlinks")
-    release(texts, one, rows, sets, full, of, *links, *more)
+    release(texts, one, rows, sets, of, *met, *links, *more)
     return out

@@ -94,11 +94,12 @@ def test_portions_change_no_group(spark, monkeypatch):
     labels = []
     monkeypatch.setattr(near_jaccard, "LEAST_MOVED", 1)
     monkeypatch.setattr(near_jaccard, "MOVED", 0.5)
+    monkeypatch.setattr(near_jaccard, "LISTED", 0.03)
     monkeypatch.setattr(near_jaccard, "DEALT", 4)
     monkeypatch.setattr(near_jaccard, "written", lambda df, label, path=None: labels.append(label) or written(df, label, path))
     got = {r.doc_id: r.component_id for r in simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), similar=True).collect()}
     assert got == expected(rows)
-    assert labels.count("jaccardgood") > 2
+    assert labels.count("jaccardgood") > 2 and labels.count("jaccardmet") > 1
 
 
 def test_written_tables_leave_no_shuffle_files(spark):

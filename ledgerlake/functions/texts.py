@@ -26,11 +26,23 @@ def csv_field(text: Column) -> Column:
     return F.when(t.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t)
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """As C's %.2f, with one to four decimals: the double's exact value counts, halves go to the even digit. `format_string`
+    rounds the shortest decimal that reads as the double, and halves up: 2.565, a double just below that, becomes 2.57.
+    `format_number` knows the exact value, but Java's takes the least double that reads as a half (0.0005, which is above it)
+    for less, and a decimal shorter than asked for as it is, as those of large numbers are: these are rounded as decimals.
+    From 2^63 on, zeros follow the shortest decimal's digits."""
+    size, whole = F.abs(x), x.cast("long")
+    usual = F.call_function("format_number", F.when(size == 0.5 / 10**digits, x * 1.5).otherwise(x), F.lit("0." + "0" * digits))
+    large = F.bround(whole.cast("decimal(19,0)") + (x - whole).cast("decimal(14,13)"), digits).cast("string")
+    return F.when(size < 2.0**39, usual).when(size < 2.0**63, large).when(size >= 2.0**63, F.replace(F.lower(F.format_string(f"%.{digits}f", x)), F.lit("infinity"), F.lit("inf")))
+
+
 def format_bytes(n: Column) -> Column:
     """Bytes whole, larger amounts in binary units with one decimal."""
     out = F.format_string("%d B", n.cast("long"))
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(n >= 1 << 10 * k, F.format_string(f"%.1f {unit}", n / float(1 << 10 * k))).otherwise(out)
+        out = F.when(n >= 1 << 10 * k, F.concat(fixed(n / float(1 << 10 * k), 1), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
@@ -44,37 +56,46 @@ def size_delta(ours: Column, theirs: Column) -> Column:
     """The difference in bytes with thousands marks, and in percent of theirs (zero where theirs is nothing)."""
     d = (ours - theirs).cast("long")
     share = F.when(theirs == 0, F.lit(0.0)).otherwise(F.try_divide(d * 100.0, theirs))
-    return F.format_string("%s%s B (%+.4f %%)", F.when(d >= 0, F.lit("+")).otherwise(F.lit("")), F.format_number(d, 0), share)
+    plus = F.when(d >= 0, F.lit("+")).otherwise(F.lit(""))
+    return F.format_string("%s%s B (%s%s %%)", plus, F.format_number(d, 0), plus, fixed(share, 4))
 
 
 def delta_ratio(ours: Column, theirs: Column) -> Column:
-    """Our time as a multiple of theirs, with the speed-up where ours is shorter; n/a where theirs is zero."""
-    ratio = F.try_divide(ours, theirs)
-    plain = F.format_string("%.2fx", ratio)
-    return F.when(theirs == 0, "n/a").when(ratio < 1, F.format_string("%s (%.2fx faster)", plain, F.try_divide(theirs, ours))).otherwise(plain)
+    """Our time as a multiple of theirs, with the speed-up where ours is shorter (inf where it is zero); n/a where theirs is
+    zero, null where one is unknown."""
+    speedup = F.when(ours == 0, "inf").otherwise(fixed(F.try_divide(theirs, ours), 2))
+    faster = F.when(ours < theirs, F.concat(F.lit(" ("), speedup, F.lit("x faster)"))).otherwise("")
+    return F.when(theirs == 0, "n/a").otherwise(F.concat(fixed(F.try_divide(ours, theirs), 2), F.lit("x"), faster))
 
 
 def human_size(n: Column) -> Column:
     """Whole KB and MB, GB with one decimal, by powers of 1,024."""
     out = F.format_string("%d B", n.cast("long"))
-    for k, unit, form in ((10, "KB", "%.0f"), (20, "MB", "%.0f"), (30, "GB", "%.1f")):
-        out = F.when(n >= 1 << k, F.format_string(f"{form} {unit}", F.bround(n / float(1 << k), 1 if k == 30 else 0))).otherwise(out)
-    return out
+    for k, unit in ((10, "KB"), (20, "MB")):
+        out = F.when(n >= 1 << k, F.format_string(f"%.0f {unit}", F.bround(n / float(1 << k), 0))).otherwise(out)
+    return F.when(n >= 1 << 30, F.concat(fixed(n / float(1 << 30), 1), F.lit(" GB"))).otherwise(out)
 
 
 def format_seconds(seconds: Column) -> Column:
-    return F.format_string("%.3f s", seconds)
+    return F.concat(fixed(seconds, 3), F.lit(" s"))
 
 
 def format_duration(ms: Column) -> Column:
     """Minutes and seconds from a minute on, else seconds with tenths that are cut off."""
-    s = F.floor(ms / 1000)
-    return F.when(s >= 60, F.format_string("%dm%02ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%d.%ds", s, F.floor(ms % 1000 / 100)))
+    ms = ms.cast("long")
+    s = _div(ms, 1000)
+    return F.when(s >= 60, F.format_string("%dm%02ds", _div(s, 60), s % 60)).otherwise(F.concat(s, F.lit("."), _div(ms % 1000, 100), F.lit("s")))
+
+
+def _div(a: Column, b: int) -> Column:
+    """Whole quotient of whole numbers; a quotient of doubles is off from 2^53 on."""
+    return F.call_function("div", a, F.lit(b))
 
 
 def count_prefix(ok: Column, failed: Column, skipped: Column) -> Column:
-    parts = F.concat_ws(", ", F.format_string("%d ok", ok), F.when(failed > 0, F.format_string("%d failed", failed)), F.when(skipped > 0, F.format_string("%d skipped", skipped)))
-    return F.when((failed == 0) & (skipped == 0), F.format_string("%d files", ok)).otherwise(parts)
+    """An unknown number of ok files makes the text null; unknown others are left out."""
+    others = F.concat(*(F.when(n > 0, F.concat(F.lit(", "), n, F.lit(f" {what}"))).otherwise("") for n, what in ((failed, "failed"), (skipped, "skipped"))))
+    return F.concat(ok, F.when((failed > 0) | (skipped > 0), F.concat(F.lit(" ok"), others)).otherwise(" files"))
 
 
 def summary_line(direction: Column, ok: Column, failed: Column, skipped: Column, size_in: Column, size_out: Column, ms: Column) -> Column:

@@ -326,8 +326,9 @@ SELECT o_orderkey, CASE WHEN ms >= 60000 THEN printf('%dm%02ds', ms // 60000, ms
   CASE WHEN b % 7000 = 0 THEN 'n/a' WHEN a < b % 7000 * 5000 THEN printf('%.2fx (%.2fx faster)', a / (b % 7000 * 5000.0), b % 7000 * 5000.0 / a) ELSE printf('%.2fx', a / (b % 7000 * 5000.0)) END AS ratio FROM d""")
 def report_amounts(spark, sf_dir):
     d = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 37).alias("ms"), F.round(F.col("o_totalprice") * 100).cast("long").alias("a"), (F.col("o_custkey") * 1000).alias("b"))
+    d = d.select("*", F.col("a").cast("double").alias("ours"), (F.col("b") % 7000 * 5000).cast("double").alias("theirs"))
     skipped = F.when(F.col("a") % 11 == 0, F.lit(2)).otherwise(F.lit(0))
-    return d.select("o_orderkey", texts.format_duration(F.col("ms")).alias("duration"), texts.count_prefix(F.col("a"), (F.col("b") % 3).cast("int"), skipped).alias("prefix"), texts.delta_ratio(F.col("a").cast("double"), (F.col("b") % 7000 * 5000).cast("double")).alias("ratio"))
+    return d.select("o_orderkey", texts.format_duration(F.col("ms")).alias("duration"), texts.count_prefix(F.col("a"), (F.col("b") % 3).cast("int"), skipped).alias("prefix"), texts.delta_ratio(F.col("ours"), F.col("theirs")).alias("ratio"))
 
 
 @query("""SELECT page_id, CASE lower(regexp_extract(url, '[^/]\\.([^./]*)$', 1)) WHEN 'rvz' THEN 'rvz' WHEN 'cue' THEN 'cue_set' WHEN 'chd' THEN 'chd_tracks' ELSE 'raw' END AS kind, NOT regexp_matches(url, '(?i)[^/]\\.(rvz|cue|chd)$') AS cheap FROM (

@@ -1,3 +1,4 @@
+import math
 import os
 
 import pytest
@@ -245,6 +246,23 @@ def test_lines_of_batches(spark):
     assert [value(spark, texts.human_size(F.lit(n))) for n in (12, 2048, 959_447_040, 1_503_238_554)] == ["12 B", "2 KB", "915 MB", "1.4 GB"]
 
 
+@pytest.mark.parametrize("digits", [1, 2, 3, 4])
+def test_decimals_round_the_exact_value(spark, digits):
+    """Python's % is C's. Every half between two decimals of 0 to 1, the same above some whole numbers, and odd values."""
+    halves = [(2 * k + 1) / (2 * 10**digits) for k in range(10**digits)]
+    xs = halves + [n + x for n in (1, 2, 1023, 1 << 30, 1 << 46) for x in halves[:500]] + [0.0, 5e-324, 0.99999, 70368744177664.09375, 2.0**62, math.nextafter(2.0**63, 0), math.inf, math.nan]
+    xs += [-x for x in xs]
+    got = spark.createDataFrame([(x,) for x in [*xs, None]], "x double").select(texts.fixed(F.col("x"), digits)).collect()
+    assert [r[0] for r in got] == [f"{x:.{digits}f}" for x in xs] + [None]
+
+
+def test_amounts_round_the_exact_value(spark):
+    assert value(spark, texts.delta_ratio(F.lit(38475000.0), F.lit(15000000.0))) == "2.56x" and value(spark, texts.delta_ratio(F.lit(0.0), F.lit(2.0))) == "0.00x (infx faster)"
+    assert value(spark, texts.format_bytes(F.lit(1280))) == "1.2 KiB" and value(spark, texts.format_seconds(F.lit(1.0005))) == "1.000 s"
+    assert value(spark, texts.size_delta(F.lit(1000001), F.lit(800000))) == "+200,001 B (+25.0001 %)" and value(spark, texts.size_delta(F.lit(799999), F.lit(800000))) == "-1 B (-0.0001 %)"
+    assert value(spark, texts.human_size(F.lit(5 << 28))) == "1.2 GB" and value(spark, texts.size_delta(F.lit(32033), F.lit(32000))) == "+33 B (+0.1031 %)"
+
+
 def test_cache_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a", 1, 2, 3, ("x", None, None, None, 5), None, None, None, None, {"chd": True}), ("é", 1, 2, 3, None, None, None, [(1, "AUDIO", ("c", None, None, None, 1))], [(1, 2, 3)], {})], cache.ENTRY)
     assert cache.load(spark, f"{tmp_path}/none").count() == 0
